@@ -1,0 +1,138 @@
+"""Porter (1980) stemming with the common later amendments.
+
+A small per-term helper; the jobs in ``operators.stems`` decide where it runs.
+"""
+
+from __future__ import annotations
+
+# Irregular words and their stems.
+_IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
+    "news": "news", "inning": "inning", "innings": "inning", "outing": "outing",
+    "outings": "outing", "canning": "canning", "cannings": "canning", "howe": "howe",
+    "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+
+# Suffixes and what replaces them, first match decides.
+_DERIVED = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"),
+    ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"),
+    ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"),
+    ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
+    ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"),
+)
+_RELATED = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"),
+    ("ful", ""), ("ness", ""),
+)
+_ENDINGS = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
+    "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+)
+
+
+def _shape(word: str) -> str:
+    """The word as a string of c(onsonant) and v(owel); y is a vowel after a consonant."""
+    marks: list[str] = []
+    for letter in word:
+        if letter in "aeiou" or (letter == "y" and marks and marks[-1] == "c"):
+            marks.append("v")
+        else:
+            marks.append("c")
+    return "".join(marks)
+
+
+def _measure(word: str) -> int:
+    """How often a vowel is followed by a consonant."""
+    return _shape(word).count("vc")
+
+
+def _ends_short(word: str) -> bool:
+    """Consonant-vowel-consonant at the end (last not w, x, y), or a two-letter vc."""
+    shape = _shape(word)
+    return (shape.endswith("cvc") and word[-1] not in "wxy") or shape == "vc"
+
+
+def _plural(word: str) -> str:
+    if word.endswith("sses"):
+        return word[:-2]
+    if word.endswith("ies"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    if word.endswith("s") and not word.endswith("ss"):
+        return word[:-1]
+    return word
+
+
+def _past(word: str) -> str:
+    if word.endswith("ied"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    if word.endswith("eed"):
+        return word[:-1] if _measure(word[:-3]) > 0 else word
+    for suffix in ("ed", "ing"):
+        if word.endswith(suffix):
+            stem = word[: -len(suffix)]
+            return _repaired(stem) if "v" in _shape(stem) else word
+    return word
+
+
+def _repaired(stem: str) -> str:
+    if stem.endswith(("at", "bl", "iz")):
+        return stem + "e"
+    doubled = len(stem) > 1 and stem[-1] == stem[-2] and _shape(stem)[-1] == "c"
+    if doubled:
+        return stem if stem[-1] in "lsz" else stem[:-1]
+    if _measure(stem) == 1 and _ends_short(stem):
+        return stem + "e"
+    return stem
+
+
+def _final_y(word: str) -> str:
+    if word.endswith("y") and len(word) > 2 and _shape(word)[-2] == "c":
+        return word[:-1] + "i"
+    return word
+
+
+def _swap(word: str, table: tuple[tuple[str, str], ...]) -> str:
+    for suffix, replacement in table:
+        if word.endswith(suffix):
+            stem = word[: -len(suffix)]
+            return stem + replacement if _measure(stem) > 0 else word
+    return word
+
+
+def _derived(word: str) -> str:
+    if word.endswith("alli") and _measure(word[:-4]) > 0:
+        return _derived(word[:-2])
+    if word.endswith("logi"):
+        return word[:-1] if _measure(word[:-3]) > 0 else word
+    return _swap(word, _DERIVED)
+
+
+def _cut_ending(word: str) -> str:
+    for suffix in _ENDINGS:
+        stem = word[: -len(suffix)]
+        if word.endswith(suffix) and (suffix != "ion" or stem.endswith(("s", "t"))):
+            return stem if _measure(stem) > 1 else word
+    return word
+
+
+def _tidy(word: str) -> str:
+    if word.endswith("e"):
+        stem = word[:-1]
+        measure = _measure(stem)
+        if measure > 1 or (measure == 1 and not _ends_short(stem)):
+            word = stem
+    if word.endswith("ll") and _measure(word[:-1]) > 1:
+        word = word[:-1]
+    return word
+
+
+def stem(term: str) -> str:
+    word = term.lower()
+    if word in _IRREGULAR:
+        return _IRREGULAR[word]
+    if len(word) <= 2:
+        return word
+    word = _final_y(_past(_plural(word)))
+    word = _swap(_derived(word), _RELATED)
+    return _tidy(_cut_ending(word))
