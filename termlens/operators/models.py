@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
@@ -74,28 +73,40 @@ def fit_classes(
     ).fit(labelled)
 
 
-def fit_summary(spark: SparkSession, model: LinearRegressionModel) -> DataFrame:
-    """One row on a fit: iterations, objective history, RMSE, r2, size of the model."""
+@dataclass(frozen=True)
+class FitSummary:
+    iterations: int
+    objective_history: list[float]
+    rmse: float
+    r2: float
+    intercept: float
+    n_features: int
+
+
+def summarize(model: LinearRegressionModel) -> FitSummary:
+    """Measures over the training rows; read them while those rows are kept."""
     summary = model.summary
-    row = (
-        int(summary.totalIterations),
-        [float(value) for value in summary.objectiveHistory],
-        float(summary.rootMeanSquaredError),
-        float(summary.r2),
-        float(model.intercept),
-        int(model.numFeatures),
+    return FitSummary(
+        iterations=int(summary.totalIterations),
+        objective_history=[float(value) for value in summary.objectiveHistory],
+        rmse=float(summary.rootMeanSquaredError),
+        r2=float(summary.r2),
+        intercept=float(model.intercept),
+        n_features=int(model.numFeatures),
     )
+
+
+def fit_summary(spark: SparkSession, summary: FitSummary) -> DataFrame:
+    """The summary of a fit as one row."""
     return spark.createDataFrame(
-        [row],
+        [astuple(summary)],
         "iterations int, objective_history array<double>, rmse double, r2 double,"
         " intercept double, n_features int",
     )
 
 
-def coefficients(spark: SparkSession, models: Iterable[LinearRegressionModel]) -> DataFrame:
-    """fit, index, coefficient: the non-zero ones; as many rows as the model is wide."""
-    rows = []
-    for fit, model in enumerate(models):
-        dense = model.coefficients.toArray()
-        rows += [(fit, int(i), float(dense[i])) for i in dense.nonzero()[0]]
-    return spark.createDataFrame(rows, "fit int, index int, coefficient double")
+def coefficients(spark: SparkSession, model: LinearRegressionModel) -> DataFrame:
+    """index, coefficient: the non-zero ones, at most as many as the model is wide."""
+    dense = model.coefficients.toArray()
+    rows = [(int(i), float(dense[i])) for i in dense.nonzero()[0]]
+    return spark.createDataFrame(rows, "index int, coefficient double")

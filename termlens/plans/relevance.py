@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,10 @@ from termlens.operators.models import (
     CLASS_FIT,
     FIELD_FIT,
     FitSettings,
+    FitSummary,
     fit_classes,
-    linear_regression,
+    fit_linear,
+    summarize,
 )
 from termlens.operators.products import (
     KEY,
@@ -81,56 +86,48 @@ def field_vectors(
     """Pairs with ``tf``: hashed counts of the four fields side by side.
 
     A product's description and attributes are cleaned and hashed once per
-    product; what meets the pairs are sparse vectors, not texts.
+    product; what meets the pairs are sparse vectors, not texts. With
+    ``how='left'`` pairs without a product are kept and get empty fields, for
+    which the tokens themselves are joined.
     """
-    texts = product_texts(
-        descriptions, attribute_text(attributes, name_value_text()), how="full" if how == "left" else how
+    own = pairs.withColumns(
+        {"title": clean_tokens("product_title"), "sterm": clean_tokens("search_term")}
     )
-    hashed = tf_stages(["descr", "attr"], buckets, "product_tf").transform(
-        texts.select(
-            KEY,
-            clean_tokens("product_description").alias("descr"),
-            clean_tokens("attributes").alias("attr"),
-        )
+    texts = product_texts(
+        descriptions,
+        attribute_text(attributes, name_value_text()),
+        how="full" if how == "left" else how,
+    ).select(
+        KEY,
+        clean_tokens("product_description").alias("descr"),
+        clean_tokens("attributes").alias("attr"),
     )
-    own = tf_stages(["title", "sterm"], buckets, "pair_tf").transform(
-        pairs.withColumns(
-            {"title": clean_tokens("product_title"), "sterm": clean_tokens("search_term")}
+    if how == "left":
+        none = F.array().cast("array<string>")
+        joined = join_pairs(own, texts, how).withColumns(
+            {name: F.coalesce(name, none) for name in ("descr", "attr")}
         )
-    )
+        hashed = tf_stages(FIELDS, buckets).transform(joined)
+        return hashed.select(*pairs.columns, "tf")
+    product_tf = tf_stages(["descr", "attr"], buckets, "product_tf").transform(texts)
+    pair_tf = tf_stages(["title", "sterm"], buckets, "pair_tf").transform(own)
     joined = join_pairs(
-        own.select(*pairs.columns, "pair_tf"), hashed.select(KEY, "product_tf"), how
+        pair_tf.select(*pairs.columns, "pair_tf"), product_tf.select(KEY, "product_tf"), how
     )
-    if how == "left":
-        # a pair without a product has no counts there
-        joined = _fill_empty(joined, "product_tf", 2 * buckets)
-    return assemble(joined, ["pair_tf", "product_tf"], "tf").drop("pair_tf", "product_tf")
-
-
-def _fill_empty(rows: DataFrame, column: str, size: int) -> DataFrame:
-    from pyspark.ml.feature import HashingTF
-
-    metadata = rows.schema[column].metadata
-    none = F.when(F.col(column).isNull(), F.array().cast("array<string>")).otherwise(
-        F.array().cast("array<string>")
-    )
-    empty = HashingTF(inputCol="_none", outputCol="_empty", numFeatures=size).transform(
-        rows.withColumn("_none", none)
-    )
-    filled = F.coalesce(F.col(column), F.col("_empty"))
-    return empty.withColumn(column, filled.alias(column, metadata=metadata)).drop("_none", "_empty")
+    return assemble(joined, ["pair_tf", "product_tf"], "tf").select(*pairs.columns, "tf")
 
 
 @dataclass(frozen=True)
 class FittedRelevance:
-    """A stored-and-reloadable model; ``model`` maps ``tf`` to ``prediction``."""
+    """``model`` maps ``tf`` to ``prediction`` and can be stored and loaded."""
 
     model: PipelineModel
+    summary: FitSummary
     train_rows: int
     skipped_rows: int
 
     @property
-    def regression(self):
+    def regression(self) -> LinearRegressionModel:
         return self.model.stages[-1]
 
 
@@ -141,20 +138,30 @@ def fit_relevance(
 
     Held-out rows have no part in the IDF weights unless ``idf_scope='all'``. Rows
     without a label are counted, not fitted. The vectors are kept while both fits
-    read them and can be recomputed if executors are lost.
+    and the summary read them, and are recomputed if executors are lost.
     """
-    kept = vectors.select("relevance", "split", "tf").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with _kept(vectors, idf_scope) as kept:
+        idf = fit_idf(kept)
         train = kept.where(F.col("split") == "train")
-        idf = fit_idf(kept if idf_scope == "all" else train)
-        usable = idf.transform(train.where(F.col("relevance").isNotNull()))
-        regression = linear_regression(settings).fit(usable.select("relevance", "features"))
+        regression = fit_linear(idf.transform(train), settings)
+        summary = summarize(regression)
         sizes = train.agg(
             F.count("relevance").alias("used"), F.count_if(F.isnull("relevance")).alias("skipped")
         ).first()
+    return FittedRelevance(
+        PipelineModel([idf, regression]), summary, sizes["used"], sizes["skipped"]
+    )
+
+
+@contextmanager
+def _kept(vectors: DataFrame, idf_scope: str) -> Iterator[DataFrame]:
+    """The rows a fit reads, persisted for as long as it runs."""
+    rows = vectors if idf_scope == "all" else vectors.where(F.col("split") == "train")
+    kept = rows.select("relevance", "split", "tf").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
     finally:
         kept.unpersist()
-    return FittedRelevance(PipelineModel([idf, regression]), sizes["used"], sizes["skipped"])
 
 
 def fit_bigrams(vectors: DataFrame, idf_scope: str = "train") -> FittedRelevance:
@@ -180,14 +187,11 @@ def fit_relevance_classes(
     vectors: DataFrame, settings: FitSettings = CLASS_FIT, idf_scope: str = "train"
 ) -> PipelineModel:
     """IDF and multinomial regression on the relevance classes."""
-    kept = vectors.select("relevance", "split", "tf").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with _kept(vectors, idf_scope) as kept:
+        idf = fit_idf(kept)
         train = kept.where(F.col("split") == "train")
-        idf = fit_idf(kept if idf_scope == "all" else train)
-        usable = idf.transform(train).withColumn("label", relevance_class("relevance"))
-        classes = fit_classes(usable, settings)
-    finally:
-        kept.unpersist()
+        labels = idf.transform(train).withColumn("label", relevance_class("relevance"))
+        classes = fit_classes(labels, settings)
     return PipelineModel([idf, classes])
 
 
