@@ -428,7 +428,9 @@ def embedding_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _document_tf(spark: SparkSession, sf: str) -> DataFrame:
-    return features.tf_stages(["tokens"]).transform(_document_tokens(spark, sf))
+    return features.hash_counts(_document_tokens(spark, sf), ["tokens"]).withColumnRenamed(
+        "tokens_tf", "tf"
+    )
 
 
 @query
@@ -462,16 +464,15 @@ def tfidf_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def assemble_features(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = relevance.field_vectors(
+    counts = relevance.field_counts(
         retail.pairs(spark, sf), retail.descriptions(spark, sf), retail.attributes(spark, sf)
     )
-    stored = vectors.select("id", F.unwrap_udt("tf").alias("v"))
-    weighted = F.zip_with("v.indices", "v.values", lambda i, x: i * x)
-    return stored.select(
+    weighted = F.zip_with("tf.indices", "tf.values", lambda i, x: i * x)
+    return counts.select(
         "id",
-        F.col("v.size").alias("width"),
-        F.size("v.indices").alias("entries"),
-        F.aggregate("v.values", F.lit(0.0), lambda a, x: a + x).alias("total"),
+        F.col("tf.size").alias("width"),
+        F.size("tf.indices").alias("entries"),
+        F.aggregate("tf.values", F.lit(0.0), lambda a, x: a + x).alias("total"),
         F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x).alias("checksum"),
     )
 
@@ -567,7 +568,8 @@ def _field_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bigram_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return relevance.bigram_vectors(_labelled(spark, sf), retail.attributes(spark, sf))
+    vectors = relevance.bigram_vectors(_labelled(spark, sf), retail.attributes(spark, sf))
+    return workspace.materialize(vectors.select("id", "relevance", "split", "tf"), "bigram-tf")
 
 
 @query

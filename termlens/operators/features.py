@@ -1,50 +1,86 @@
-"""Hashed TF-IDF vectors with Spark ML stages."""
+"""Hashed TF-IDF vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IDF, HashingTF, IDFModel
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from termlens.sources.workspace import new_folder
 
 FIELD_BUCKETS = 16_384
 BIGRAM_BUCKETS = 30_000
 
 
-def tf_stages(
-    fields: Iterable[str], buckets: int = FIELD_BUCKETS, output: str = "tf"
-) -> PipelineModel:
-    """Token columns to one term-frequency vector, the fields side by side.
+def hash_counts(
+    rows: DataFrame, fields: Iterable[str], buckets: int = FIELD_BUCKETS, suffix: str = "_tf"
+) -> DataFrame:
+    """Add per token column a vector of hashed term counts, named field + suffix."""
+    counted = rows
+    for name in fields:
+        stage = HashingTF(inputCol=name, outputCol=name + suffix, numFeatures=buckets)
+        counted = stage.transform(counted)
+    return counted
+
+
+def side_by_side(columns: Sequence[str], size: int) -> Column:
+    """Vector columns of ``size`` entries each, one behind the other, as a sparse
+    struct (type, size, indices, values); a null vector has no entries.
 
-    Nothing here is fitted. With several fields their vectors are assembled first,
-    so that one IDF fit over the wide vector replaces one fit (and one pass over
-    the data) per field; IDF works entry by entry, the weights are the same.
+    The ML assembler would name each of the entries in the column's metadata.
+    With tens of thousands of hashed entries that metadata travels with every
+    task of every later job, and outweighs the data of a small one.
     """
-    names = list(fields)
-    if len(names) == 1:
-        return PipelineModel([HashingTF(inputCol=names[0], outputCol=output, numFeatures=buckets)])
-    hashed = [
-        HashingTF(inputCol=name, outputCol=f"{name}_tf", numFeatures=buckets) for name in names
-    ]
-    wide = VectorAssembler(inputCols=[f"{name}_tf" for name in names], outputCol=output)
-    return PipelineModel([*hashed, wide])
+    indices, values = [], []
+    for place, name in enumerate(columns):
+        stored = F.unwrap_udt(name)
+        offset = F.lit(place * size)
+        dense = F.transform(stored["values"], lambda _, i: i)
+        own = F.coalesce(stored["indices"], dense, F.array().cast("array<int>"))
+        indices.append(_shifted(own, offset))
+        values.append(F.coalesce(stored["values"], F.array().cast("array<double>")))
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(len(columns) * size).alias("size"),
+        F.concat(*indices).alias("indices"),
+        F.concat(*values).alias("values"),
+    )
+
+
+def _shifted(indices: Column, offset: Column) -> Column:
+    return F.transform(indices, lambda i: i + offset)
+
+
+def store_vectors(rows: DataFrame, column: str, size: int, path: str | None = None) -> DataFrame:
+    """Write ``rows`` and read them back with the sparse struct ``column`` as an ML
+    vector; the stored table is what the fits read again and again."""
+    spark = rows.sparkSession
+    target = path or new_folder(spark, "vectors")
+    rows.write.mode("overwrite").parquet(target)
+    width = {"ml_attr": {"num_attrs": size}}
+    schema = T.StructType(
+        [
+            T.StructField(column, VectorUDT(), True, width) if field.name == column else field
+            for field in rows.schema
+        ]
+    )
+    return spark.read.schema(schema).parquet(target)
 
 
 def fit_idf(
     vectors: DataFrame, column: str = "tf", output: str = "features", min_doc_freq: int = 0
 ) -> IDFModel:
+    """One fit, whatever the number of fields side by side in ``column``: IDF works
+    entry by entry, so the weights are those of one fit per field."""
     return IDF(inputCol=column, outputCol=output, minDocFreq=min_doc_freq).fit(vectors)
 
 
-def assemble(vectors: DataFrame, columns: Iterable[str], output: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=output).transform(vectors)
-
-
 def vector_entries(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """key, index, value: the stored entries of sparse vectors as rows."""
     stored = rows.select(key, F.unwrap_udt(vector).alias("v"))
     entries = F.arrays_zip(F.col("v.indices").alias("index"), F.col("v.values").alias("value"))
     return stored.select(key, F.inline(entries))
-

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
@@ -18,9 +15,10 @@ from termlens.functions.text import bigrams, clean_tokens, join_tokens
 from termlens.operators.features import (
     BIGRAM_BUCKETS,
     FIELD_BUCKETS,
-    assemble,
     fit_idf,
-    tf_stages,
+    hash_counts,
+    side_by_side,
+    store_vectors,
 )
 from termlens.operators.metrics import regression_metrics
 from termlens.operators.models import (
@@ -73,22 +71,22 @@ def bigram_vectors(
     tokens = pair_tokens(pairs, attributes, how)
     joined = join_tokens("title_tokens", "sterm_tokens", "attr_tokens")
     grams = tokens.select(*pairs.columns, bigrams(joined).alias("bigrams"))
-    return tf_stages(["bigrams"], buckets).transform(grams).drop("bigrams")
+    counted = hash_counts(grams, ["bigrams"], buckets)
+    return counted.select(*pairs.columns, F.col("bigrams_tf").alias("tf"))
 
 
-def field_vectors(
+def field_counts(
     pairs: DataFrame,
     descriptions: DataFrame,
     attributes: DataFrame,
     buckets: int = FIELD_BUCKETS,
     how: str = "inner",
 ) -> DataFrame:
-    """Pairs with ``tf``: hashed counts of the four fields side by side.
+    """Pairs with ``tf``: hashed counts of the four fields side by side, as a struct.
 
     A product's description and attributes are cleaned and hashed once per
     product; what meets the pairs are sparse vectors, not texts. With
-    ``how='left'`` pairs without a product are kept and get empty fields, for
-    which the tokens themselves are joined.
+    ``how='left'`` pairs without a product are kept, with nothing in those fields.
     """
     own = pairs.withColumns(
         {"title": clean_tokens("product_title"), "sterm": clean_tokens("search_term")}
@@ -102,19 +100,28 @@ def field_vectors(
         clean_tokens("product_description").alias("descr"),
         clean_tokens("attributes").alias("attr"),
     )
-    if how == "left":
-        none = F.array().cast("array<string>")
-        joined = join_pairs(own, texts, how).withColumns(
-            {name: F.coalesce(name, none) for name in ("descr", "attr")}
-        )
-        hashed = tf_stages(FIELDS, buckets).transform(joined)
-        return hashed.select(*pairs.columns, "tf")
-    product_tf = tf_stages(["descr", "attr"], buckets, "product_tf").transform(texts)
-    pair_tf = tf_stages(["title", "sterm"], buckets, "pair_tf").transform(own)
     joined = join_pairs(
-        pair_tf.select(*pairs.columns, "pair_tf"), product_tf.select(KEY, "product_tf"), how
+        hash_counts(own, ["title", "sterm"], buckets).drop("title", "sterm"),
+        hash_counts(texts, ["descr", "attr"], buckets).drop("descr", "attr"),
+        how,
+    )
+    wide = side_by_side([f"{name}_tf" for name in FIELDS], buckets)
+    return joined.select(*pairs.columns, wide.alias("tf"))
+
+
+def field_vectors(
+    pairs: DataFrame,
+    descriptions: DataFrame,
+    attributes: DataFrame,
+    buckets: int = FIELD_BUCKETS,
+    how: str = "inner",
+    path: str | None = None,
+) -> DataFrame:
+    """``field_counts`` stored, with ``tf`` as an ML vector; without the texts."""
+    counts = field_counts(pairs, descriptions, attributes, buckets, how)
+    return store_vectors(
+        counts.drop("product_title", "search_term"), "tf", len(FIELDS) * buckets, path
     )
-    return assemble(joined, ["pair_tf", "product_tf"], "tf").select(*pairs.columns, "tf")
 
 
 @dataclass(frozen=True)
@@ -137,33 +144,21 @@ def fit_relevance(
     """IDF and linear regression on the rows with ``split = 'train'``.
 
     Held-out rows have no part in the IDF weights unless ``idf_scope='all'``. Rows
-    without a label are counted, not fitted. The vectors are kept while both fits
-    and the summary read them, and are recomputed if executors are lost.
+    without a label are counted, not fitted. ``vectors`` is read several times:
+    give a stored table (``workspace.materialize``), so that the joins and the
+    hashing are done once and are not repeated when executors are lost.
     """
-    with _kept(vectors, idf_scope) as kept:
-        idf = fit_idf(kept)
-        train = kept.where(F.col("split") == "train")
-        regression = fit_linear(idf.transform(train), settings)
-        summary = summarize(regression)
-        sizes = train.agg(
-            F.count("relevance").alias("used"), F.count_if(F.isnull("relevance")).alias("skipped")
-        ).first()
+    train = vectors.where(F.col("split") == "train")
+    idf = fit_idf(vectors if idf_scope == "all" else train)
+    regression = fit_linear(idf.transform(train), settings)
+    sizes = train.agg(
+        F.count("relevance").alias("used"), F.count_if(F.isnull("relevance")).alias("skipped")
+    ).first()
     return FittedRelevance(
-        PipelineModel([idf, regression]), summary, sizes["used"], sizes["skipped"]
+        PipelineModel([idf, regression]), summarize(regression), sizes["used"], sizes["skipped"]
     )
 
 
-@contextmanager
-def _kept(vectors: DataFrame, idf_scope: str) -> Iterator[DataFrame]:
-    """The rows a fit reads, persisted for as long as it runs."""
-    rows = vectors if idf_scope == "all" else vectors.where(F.col("split") == "train")
-    kept = rows.select("relevance", "split", "tf").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
-
-
 def fit_bigrams(vectors: DataFrame, idf_scope: str = "train") -> FittedRelevance:
     return fit_relevance(vectors, BIGRAM_FIT, idf_scope)
 
@@ -186,13 +181,11 @@ def evaluate(model: PipelineModel, vectors: DataFrame, split: str = "test") -> D
 def fit_relevance_classes(
     vectors: DataFrame, settings: FitSettings = CLASS_FIT, idf_scope: str = "train"
 ) -> PipelineModel:
-    """IDF and multinomial regression on the relevance classes."""
-    with _kept(vectors, idf_scope) as kept:
-        idf = fit_idf(kept)
-        train = kept.where(F.col("split") == "train")
-        labels = idf.transform(train).withColumn("label", relevance_class("relevance"))
-        classes = fit_classes(labels, settings)
-    return PipelineModel([idf, classes])
+    """IDF and multinomial regression on the relevance classes; see fit_relevance."""
+    train = vectors.where(F.col("split") == "train")
+    idf = fit_idf(vectors if idf_scope == "all" else train)
+    labels = idf.transform(train).withColumn("label", relevance_class("relevance"))
+    return PipelineModel([idf, fit_classes(labels, settings)])
 
 
 def score_classes(model: PipelineModel, vectors: DataFrame) -> DataFrame:
