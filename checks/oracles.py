@@ -91,7 +91,8 @@ pair_tokens as (
 
 
 def _share(salt: int) -> str:
-    return f"((id % 1000003) * 7919 + {salt}) % 1000003 % 100 < 80"
+    spread = f"(((id % 1000003) * 7919 + {salt}) % 1000003)"
+    return f"({spread} * {spread} + {salt}) % 1000003 % 100 < 80"
 
 
 _SPLIT = f"case when {_share(45)} then 'train' else 'test' end"

@@ -14,10 +14,12 @@ def percentile_of_key(key: Column | str, salt: int, is_string: bool = False) ->
     column = F.col(key) if isinstance(key, str) else key
     if is_string:
         return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(100)).cast("int")
-    # reduced before multiplying, so no bigint key overflows under ANSI rules
+    # reduced before each product, so no bigint key overflows under ANSI rules
     reduced = F.pmod(column.cast("bigint"), F.lit(_PRIME))
     spread = F.pmod(reduced * F.lit(_SPREAD) + F.lit(salt), F.lit(_PRIME))
-    return (spread % F.lit(100)).cast("int")
+    # squared, or two salts would give the same split but for a shift
+    mixed = F.pmod(spread * spread + F.lit(salt), F.lit(_PRIME))
+    return (mixed % F.lit(100)).cast("int")
 
 
 def in_share(
