@@ -11,6 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termlens.operators.joins import join_unique
 from termlens.operators.vocabulary import SIZE
 
 PADDING_ID = 0
@@ -132,7 +133,7 @@ def _pool_by_join(
             F.col("term_id") != PADDING_ID
         )
         pooled = (
-            tokens.join(vectors, "term_id")
+            join_unique(tokens, vectors, "term_id", spread=key)
             .groupBy(key)
             .agg(
                 Summarizer.mean(F.col("vector")).alias("mean"),

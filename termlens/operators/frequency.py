@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlens.functions.text import term_counts
+from termlens.operators.joins import ROWS_PER_SPLIT, join_unique
 
 
 def tf_terms(documents: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
@@ -47,22 +48,32 @@ def tfidf_terms(
     tokens: str = "tokens",
     min_doc_freq: int = 0,
     fitted_on: DataFrame | None = None,
+    rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """key, term, tf, idf, tfidf; weights come from ``fitted_on`` when given.
 
-    The weights have one row per term, so a term found in a large share of all
-    documents is split by the adaptive skew join. Terms ``fitted_on`` never saw
-    have document frequency 0.
+    Terms ``fitted_on`` never saw have document frequency 0. A term found in a
+    large share of all documents is split over many tasks: its document frequency
+    is the number of rows it joins.
     """
-    base = documents if fitted_on is None else fitted_on
-    weights = idf_terms(base, tokens, min_doc_freq).select("term", "idf")
-    frequencies = tf_terms(documents, key, tokens)
     if fitted_on is None:
-        weighted = frequencies.join(weights, "term")
+        weights = idf_terms(documents, tokens, min_doc_freq).withColumnRenamed("df", "n")
     else:
-        number = base.agg(F.count(F.lit(1))).scalar()
+        number = fitted_on.agg(F.count(F.lit(1))).scalar()
         unseen = idf_weight(number, F.lit(0), min_doc_freq)
-        weighted = frequencies.join(weights, "term", "left").withColumn(
-            "idf", F.coalesce("idf", unseen)
+        fitted = idf_terms(fitted_on, tokens, min_doc_freq).select("term", "idf")
+        weights = (
+            document_frequency(documents, tokens)
+            .withColumnRenamed("df", "n")
+            .join(fitted, "term", "left")
+            .withColumn("idf", F.coalesce("idf", unseen))
         )
+    weighted = join_unique(
+        tf_terms(documents, key, tokens),
+        weights.select("term", "idf"),
+        "term",
+        spread=key,
+        counts=weights.select("term", "n"),
+        rows_per_split=rows_per_split,
+    )
     return weighted.select(key, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termlens.operators.joins import ROWS_PER_SPLIT, join_unique
+
 KEY = "product_uid"
 
 
@@ -52,11 +54,16 @@ def product_texts(*tables: DataFrame, how: str = "inner") -> DataFrame:
     return reduce(lambda left, right: left.join(right, KEY, how), tables)
 
 
-def join_pairs(pairs: DataFrame, products: DataFrame, how: str = "inner") -> DataFrame:
+def join_pairs(
+    pairs: DataFrame,
+    products: DataFrame,
+    how: str = "inner",
+    spread: str = "id",
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
     """Pairs with the texts of their product; pairs without are lost by default.
 
-    ``products`` has one row per product, so a product holding a large share of
-    all pairs is split by the adaptive skew join, which copies that one row. The
-    planner broadcasts the product side when its measured size allows.
+    ``products`` has one row per product. A product holding a large share of all
+    pairs is split over many tasks.
     """
-    return pairs.join(products, KEY, how)
+    return join_unique(pairs, products, KEY, spread, how, rows_per_split=rows_per_split)

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termlens.operators.joins import join_unique
+
 SIZE = 30_000
 MIN_DOCUMENTS = 2
 
@@ -112,7 +114,7 @@ def _encode_by_join(
     tokens = rows.select(key, F.inline(stacked)).select(
         key, "field", F.posexplode("tokens").alias("pos", "term")
     )
-    matched = tokens.join(known, "term")
+    matched = join_unique(tokens, known, "term", spread=key)
     encoded = matched.groupBy(key).agg(
         *[_ids_in_order(F.col("field") == old).alias(new) for old, new in fields.items()]
     )

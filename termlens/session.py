@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 SETTINGS = {
-    # one product or term may hold a large share of all rows: let the engine
-    # split that partition at run time and merge the small ones
+    # let the engine split skewed partitions at run time and merge the small ones
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

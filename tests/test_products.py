@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from termlens.operators import products
@@ -46,32 +47,33 @@ def test_inner_join_loses_and_left_join_keeps(spark):
     assert {r["id"]: r["attributes"] for r in kept.collect()} == {1: "t", 2: None, 3: "t"}
 
 
-def test_a_product_with_a_third_of_all_pairs_is_split(spark):
-    """The adaptive skew join must apply to the plan that join_pairs makes."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
-    }
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_product_with_a_third_of_all_pairs_is_split(spark, how):
+    n = 9_000
+    hot = F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 997)
+    pairs = spark.range(n).select("id", hot.alias("product_uid"))
+    entries = spark.range(900).select(
+        F.col("id").alias("product_uid"), F.lit("a").alias("name"), F.col("id").cast("string").alias("value")
+    )
+    texts = products.attribute_text(entries)
+    for rows_per_split in (100, 1_000_000):
+        joined = products.join_pairs(pairs, texts, how, rows_per_split=rows_per_split)
+        assert joined.columns == ["product_uid", "id", "attributes"]
+        assert joined.exceptAll(pairs.join(texts, "product_uid", how)).count() == 0
+        assert joined.count() == pairs.join(texts, "product_uid", how).count()
+
+
+def test_the_hot_product_reaches_many_tasks(spark):
+    from termlens.operators import joins
+
+    pairs = spark.range(4_000).select("id", F.lit(5).alias("product_uid"))
+    texts = spark.createDataFrame([(5, "t")], "product_uid int, attributes string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        n = 60_000
-        pairs = spark.range(0, n, 1, 8).select(
-            "id",
-            F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 997).alias("product_uid"),
-            F.sha2(F.col("id").cast("string"), 256).alias("search_term"),
-        )
-        texts = spark.range(997).select(
-            F.col("id").alias("product_uid"), F.repeat(F.lit("y"), 20).alias("attributes")
-        )
-        joined = products.join_pairs(pairs, texts)
-        assert len(joined.collect()) == n
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "isSkew=true" in plan or "skewed=true" in plan
+        joined = joins.join_unique(pairs, texts, "product_uid", "id", rows_per_split=100)
+        tasks = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 8 and max(r["count"] for r in tasks) < 1_500
     finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

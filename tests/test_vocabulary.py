@@ -90,6 +90,16 @@ def test_idf_by_hand(spark):
     assert {r["term"]: round(r["tfidf"], 4) for r in applied} == {"x": 0.2877, "q": 1.3863}
 
 
+def test_tfidf_does_not_depend_on_the_splits(spark, tiny):
+    from checks.queries import _document_tokens
+
+    documents = _document_tokens(spark, tiny)
+    whole = frequency.tfidf_terms(documents, "doc_id")
+    split = frequency.tfidf_terms(documents, "doc_id", rows_per_split=3)
+    assert whole.exceptAll(split).count() == 0
+    assert whole.count() == split.count()
+
+
 def test_mean_length(spark):
     rows = spark.createDataFrame([([1, 2],), ([1],), ([1, 2],)], "a array<int>")
     assert metrics.mean_sequence_length(rows, "a").first()["a"] == 1
