@@ -41,7 +41,7 @@ def _joined(tokens: str | Column) -> Column:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return retail.table(spark, sf, "documents").select("doc_id", "text")
+    return retail.texts(spark, sf, "documents", "doc_id", "text")
 
 
 def _document_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,9 +85,8 @@ def clean_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def clean_conversations(spark: SparkSession, sf: str) -> DataFrame:
     tokens = text.clean_tokens("text", drop_empty=True)
-    return retail.table(spark, sf, "conversations").select(
-        "conv_id", "turn", _joined(tokens).alias("tokens")
-    )
+    turns = retail.texts(spark, sf, "conversations", "conv_id", "turn", "text")
+    return turns.select("conv_id", "turn", _joined(tokens).alias("tokens"))
 
 
 @query
@@ -270,7 +269,7 @@ def vocab_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _encoded_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _labelled(spark, sf)
+    pairs = workspace.materialize(_labelled(spark, sf), "pairs")
     terms = workspace.materialize(sequences.pair_vocabulary(pairs), "vocabulary")
     return sequences.encode_pairs(pairs, terms)
 
@@ -399,7 +398,7 @@ def embedding_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pooled_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _labelled(spark, sf)
+    pairs = workspace.materialize(_labelled(spark, sf), "pairs")
     terms = workspace.materialize(sequences.pair_vocabulary(pairs), "vocabulary")
     matrix = workspace.materialize(
         embeddings.embedding_matrix(terms, _word_vectors(spark, sf, terms), VECTOR_SIZE), "matrix"
@@ -418,7 +417,9 @@ def sequence_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def embedding_regression(spark: SparkSession, sf: str) -> DataFrame:
-    pooled = _pooled_pairs(spark, sf)
+    pooled = workspace.materialize(
+        _pooled_pairs(spark, sf).select("id", "relevance", "split", "features"), "pooled"
+    )
     model = sequences.fit_pooled(pooled)
     test = model.transform(pooled.where(F.col("split") == "test"))
     return test.select("id", "relevance", "prediction")
@@ -456,7 +457,7 @@ def idf_hashed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tfidf_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    counted = _document_tf(spark, sf)
+    counted = workspace.materialize(_document_tf(spark, sf).select("doc_id", "tf"), "document-tf")
     weighted = features.fit_idf(counted).transform(counted)
     entries = features.vector_entries(weighted, "doc_id", "features")
     return entries.withColumn("value", F.round("value", 6))
@@ -483,12 +484,13 @@ def assemble_features(spark: SparkSession, sf: str) -> DataFrame:
 def _token_number(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs with one numeric feature, the number of tokens of title and search term."""
     pairs = sequences.clean_pairs(_labelled(spark, sf))
-    return pairs.select(
+    numbered = pairs.select(
         "id",
         F.col("relevance").cast("double").alias("relevance"),
         "split",
         array_to_vector(F.array(F.size("tokens").cast("double"))).alias("features"),
     )
+    return workspace.materialize(numbered, "numbered")
 
 
 def _one_feature_fit(rows: DataFrame, solver: str):

@@ -34,6 +34,17 @@ def read_delimited(
     return reader.csv(path)
 
 
+def fill_cores(rows: DataFrame) -> DataFrame:
+    """Spread a table read as fewer partitions than there are cores.
+
+    Text work is heavy per byte, and a file of one row group would keep one core
+    busy. A table of more partitions than cores is returned as it is, so only
+    tables too small to fill the cluster are ever moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

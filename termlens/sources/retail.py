@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termlens.sources.readers import fill_cores
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of long texts."""
+    return fill_cores(table(spark, sf_dir, name).select(*columns))
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """product_uid, product_title."""
     return table(spark, sf_dir, "part").select(
@@ -40,7 +47,7 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """product_uid, product_description."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(
         F.col("doc_id").alias("product_uid"), F.col("text").alias("product_description")
     )
 
