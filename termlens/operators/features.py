@@ -27,34 +27,40 @@ def hash_counts(
     return counted
 
 
-def side_by_side(columns: Sequence[str], size: int) -> Column:
-    """Vector columns of ``size`` entries each, one behind the other, as a sparse
-    struct (type, size, indices, values); a null vector has no entries.
+def entries(columns: Sequence[str], size: int, first: int = 0) -> Column:
+    """The entries (indices, values) of vector columns of ``size`` entries each, put
+    one behind the other from place ``first`` on."""
+    indices, values = [], []
+    for place, name in enumerate(columns, start=first):
+        stored = F.unwrap_udt(name)
+        dense = F.transform(stored["values"], lambda _, i: i)
+        own = F.coalesce(stored["indices"], dense)
+        indices.append(own if place == 0 else _shifted(own, F.lit(place * size)))
+        values.append(stored["values"])
+    return F.struct(F.concat(*indices).alias("indices"), F.concat(*values).alias("values"))
+
+
+def _shifted(indices: Column, offset: Column) -> Column:
+    return F.transform(indices, lambda i: i + offset)
+
+
+def assemble(parts: Sequence[str], size: int) -> Column:
+    """Entry columns with rising indices as one sparse struct (type, size, indices,
+    values); a null part has no entries.
 
     The ML assembler would name each of the entries in the column's metadata.
     With tens of thousands of hashed entries that metadata travels with every
     task of every later job, and outweighs the data of a small one.
     """
-    indices, values = [], []
-    for place, name in enumerate(columns):
-        stored = F.unwrap_udt(name)
-        offset = F.lit(place * size)
-        dense = F.transform(stored["values"], lambda _, i: i)
-        own = F.coalesce(stored["indices"], dense, F.array().cast("array<int>"))
-        indices.append(_shifted(own, offset))
-        values.append(F.coalesce(stored["values"], F.array().cast("array<double>")))
+    no_indices, no_values = (F.array().cast(f"array<{kind}>") for kind in ("int", "double"))
     return F.struct(
         F.lit(0).cast("tinyint").alias("type"),
-        F.lit(len(columns) * size).alias("size"),
-        F.concat(*indices).alias("indices"),
-        F.concat(*values).alias("values"),
+        F.lit(size).alias("size"),
+        F.concat(*[F.coalesce(f"{part}.indices", no_indices) for part in parts]).alias("indices"),
+        F.concat(*[F.coalesce(f"{part}.values", no_values) for part in parts]).alias("values"),
     )
 
 
-def _shifted(indices: Column, offset: Column) -> Column:
-    return F.transform(indices, lambda i: i + offset)
-
-
 def store_vectors(rows: DataFrame, column: str, size: int, path: str | None = None) -> DataFrame:
     """Write ``rows`` and read them back with the sparse struct ``column`` as an ML
     vector; the stored table is what the fits read again and again."""

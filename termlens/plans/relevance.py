@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -15,9 +16,10 @@ from termlens.functions.text import bigrams, clean_tokens, join_tokens
 from termlens.operators.features import (
     BIGRAM_BUCKETS,
     FIELD_BUCKETS,
+    assemble,
+    entries,
     fit_idf,
     hash_counts,
-    side_by_side,
     store_vectors,
 )
 from termlens.operators.metrics import regression_metrics
@@ -91,24 +93,30 @@ def field_counts(
     own = pairs.withColumns(
         {"title": clean_tokens("product_title"), "sterm": clean_tokens("search_term")}
     )
+    both = "full" if how == "left" else how
     texts = product_texts(
-        descriptions,
-        attribute_text(attributes, name_value_text()),
-        how="full" if how == "left" else how,
+        descriptions, attribute_text(attributes, name_value_text()), how=both
     ).select(
         KEY,
         clean_tokens("product_description").alias("descr"),
         clean_tokens("attributes").alias("attr"),
     )
-    joined = join_pairs(
-        hash_counts(own, ["title", "sterm"], buckets).drop("title", "sterm"),
-        hash_counts(texts, ["descr", "attr"], buckets).drop("descr", "attr"),
-        how,
+    pair_fields, product_fields = FIELDS[:2], FIELDS[2:]
+    pair_entries = hash_counts(own, pair_fields, buckets).select(
+        *pairs.columns, entries(_counted(pair_fields), buckets).alias("pair_part")
     )
-    wide = side_by_side([f"{name}_tf" for name in FIELDS], buckets)
+    product_entries = hash_counts(texts, product_fields, buckets).select(
+        KEY, entries(_counted(product_fields), buckets, len(pair_fields)).alias("product_part")
+    )
+    joined = join_pairs(pair_entries, product_entries, how)
+    wide = assemble(["pair_part", "product_part"], len(FIELDS) * buckets)
     return joined.select(*pairs.columns, wide.alias("tf"))
 
 
+def _counted(fields: Iterable[str]) -> list[str]:
+    return [f"{name}_tf" for name in fields]
+
+
 def field_vectors(
     pairs: DataFrame,
     descriptions: DataFrame,
