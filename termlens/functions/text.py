@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,12 +77,18 @@ def tokenize(text: ColumnOrName) -> Column:
     return bind(F.lower(_column(text)), split)
 
 
+@lru_cache
+def _literals(words: tuple[str, ...]) -> tuple[Column, ...]:
+    """Made once: a literal costs a call to the JVM, and a plan cleans many columns."""
+    return tuple(F.lit(word) for word in words)
+
+
 def remove_stop_words(
     tokens: ColumnOrName, stop_words: Sequence[str] = ENGLISH
 ) -> Column:
     """Drop stop words, whatever their case; order and copies are kept."""
-    listed = [word.lower() for word in stop_words]
-    return F.filter(_column(tokens), lambda token: ~F.lower(token).isin(listed))
+    listed = _literals(tuple(word.lower() for word in stop_words))
+    return F.filter(_column(tokens), lambda token: ~F.lower(token).isin(*listed))
 
 
 def clean_tokens(
@@ -90,8 +97,9 @@ def clean_tokens(
     drop_empty: bool = False,
 ) -> Column:
     """Digits, punctuation, tokens, stop words: the whole chain as one expression."""
-    listed = [word.lower() for word in stop_words] + ([""] if drop_empty else [])
-    return F.filter(tokenize(clean_text(text)), lambda token: ~token.isin(listed))
+    dropped = [*(word.lower() for word in stop_words), *([""] if drop_empty else [])]
+    listed = _literals(tuple(dropped))
+    return F.filter(tokenize(clean_text(text)), lambda token: ~token.isin(*listed))
 
 
 def join_tokens(*arrays: ColumnOrName) -> Column:
