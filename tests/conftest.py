@@ -8,7 +8,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__  # noqa: E402,F401  (puts the package on the workers' path)
+import __spark_entry__  # noqa: E402,F401  (sends the package's functions to the workers)
 from termlens.session import builder  # noqa: E402
 
 
