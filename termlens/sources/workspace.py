@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the session.
 
-    Only a local session without the setting gets a temporary folder of its own;
-    on a cluster such a folder would not be shared, so that is an error.
+    Where the setting is missing, a session whose driver and executors are one
+    process gets a temporary folder, removed when the process ends; any other
+    session (a cluster, however small) is an error.
     """
     named = spark.conf.get(_SETTING, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext._jsc.sc().isLocal():
         raise ValueError(f"set {_SETTING} to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="termlens-")
-    spark.conf.set(_SETTING, made)
-    return made
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="termlens-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -31,6 +36,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/termlens/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing will read again."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as parquet and read it back: short lineage, kept when
     executors are lost, and its size is known to the planner."""
