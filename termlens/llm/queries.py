@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termlens.llm import decontaminate, simhash, token_store
+from termlens.llm import decontaminate, fingerprints, lines, mixing, simhash, token_store
 from termlens.sources.workspace import new_folder
 
 
@@ -12,12 +12,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_page_lines(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-store")
     token_store.write_tokens(_table(spark, sf_dir, "documents"), path)
     return token_store.read_tokens(spark, path, with_ids=False)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -26,8 +34,15 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), copy_column="copy")
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_token_store": op3_token_store,
+    "op5_fingerprints": op5_fingerprints,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
+    "op10_mixing": op10_mixing,
 }
