@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termlens.llm import decontaminate, simhash, token_store
+from termlens.llm import decontaminate, mixing, quality, simhash, token_store
 from termlens.sources.workspace import materialize, new_folder
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each_group(docs)
 
@@ -19,17 +23,25 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # in the order of the mixed rows, so that the ids stay shuffled
     path = new_folder(spark, "token-store")
     token_store.write_tokens(docs, path, ordered=False)
     return token_store.read_tokens(spark, path)
 
 
 STAGES = [
+    ("quality_classifier", quality_classifier),
     ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
     ("token_output", token_output),
 ]
+#: The classifier is learned and the fingerprints are XXH64, so SQL cannot express the stages.
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termlens.llm import decontaminate, fingerprints, lines, mixing, simhash, token_store
+from termlens.llm import decontaminate, fingerprints, language, lines, mixing, quality, simhash, token_store
 from termlens.sources.workspace import new_folder
 
 
@@ -22,10 +22,23 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path, with_ids=False)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = quality.train(documents, _table(spark, sf_dir, "labels"))
+    return quality.scored(documents, model)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = language.train(documents.where(~language.held_out()).select("doc_id", "lang", "text"))
+    rows = documents.select("doc_id", "text", language.held_out().alias("held_out"))
+    return language.identify(rows, model, ["doc_id", "held_out"])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +54,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_store": op3_token_store,
+    "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
+    "op6_language": op6_language,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
