@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termlens.llm import decontaminate, fingerprints, language, lines, mixing, quality, simhash, token_store
+from termlens.llm import decontaminate, extraction, fingerprints, language, lines, mixing, quality, simhash, token_store
 from termlens.sources.workspace import new_folder
 
 
@@ -39,6 +39,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, model, ["doc_id", "held_out"])
 
 
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_language": op6_language,
+    "op7_extraction": op7_extraction,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
