@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termlens.llm import decontaminate, extraction, fingerprints, language, lines, mixing, quality, simhash, token_store
+from termlens.llm import decontaminate, extraction, fingerprints, language, lines, mixing, quality, simhash, suffixes, token_store
 from termlens.sources.workspace import new_folder
 
 
@@ -16,6 +16,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_page_lines(_table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.duplicated_spans(_table(spark, sf_dir, "documents")))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-store")
     token_store.write_tokens(_table(spark, sf_dir, "documents"), path)
@@ -57,6 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_store": op3_token_store,
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
