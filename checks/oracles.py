@@ -61,11 +61,9 @@ pairs as (
 _ATTRIBUTES = """
 attribute_rows as (
   select p_partkey as product_uid, n.name,
-         case when p_size % 5 <> 0 then
-           case n.name when 'brand' then p_brand when 'type' then p_type
-                       else cast(p_size as varchar) end end as value
-  from part, (values ('brand'), ('type'), ('size')) n(name)
-  where p_partkey % 10 <> 9)
+         case n.name when 'brand' then p_brand when 'type' then p_type
+                     else cast(p_size as varchar) end as value
+  from part, (values ('brand'), ('type'), ('size')) n(name))
 """
 
 
@@ -98,7 +96,7 @@ def _share(salt: int) -> str:
 _SPLIT = f"case when {_share(45)} then 'train' else 'test' end"
 
 
-def _vocabulary(source: str, key: str, where: str = "") -> str:
+def _vocabulary(source: str, key: str, where: str = "", least: int = 2, size: int = 30000) -> str:
     """``source`` has columns ``key`` and tokens."""
     return f"""
 tokens_of as (select {key}, unnest(tokens) as term from {source} {where}),
@@ -106,7 +104,7 @@ totals as (
   select term, count(*) as tf, count(distinct {key}) as df from tokens_of group by term),
 vocabulary as (
   select term, tf, df, cast(row_number() over (order by tf desc, term) as integer) as term_id
-  from totals where df >= 2 qualify term_id <= 30000)
+  from totals where df >= {least} qualify term_id <= {size})
 """
 
 
@@ -290,11 +288,14 @@ ORACLES: dict[str, str] = {
     "join_pairs_attributes": f"""with {_PAIRS}, {_VALUE_TEXT}
         select product_uid, id, product_title, search_term, relevance, attributes
         from pairs join attribute_text using (product_uid)""",
+    "join_pairs_left_null_keys": f"""with {_PAIRS}, {_VALUE_TEXT},
+        thinned as (select id, case when id % 10 = 1 then product_uid end as product_uid from pairs)
+        select id, product_uid, attributes from thinned left join attribute_text using (product_uid)""",
     "join_pairs_all": _all_joined(
         "", "product_uid, id, product_title, search_term, relevance"
     ),
     "join_new_pairs_all": _all_joined(
-        "where id % 5 = 0", "product_uid, id, product_title, search_term"
+        "", "product_uid, id, product_title, search_term"
     ),
     "preview_top_n": f"with {_PAIRS} select * from pairs order by id limit 20",
     "split_by_key": f"""with {_PAIRS}
@@ -319,6 +320,11 @@ ORACLES: dict[str, str] = {
         from counts join frequency using (term)""",
     "build_vocabulary": f"with {_DOCUMENT_VOCABULARY} select term, tf, df, term_id from vocabulary",
     "build_pair_vocabulary": f"with {_PAIR_VOCABULARY} select term, tf, df, term_id from vocabulary",
+    "build_vocabulary_limited": f"""with {_DOCUMENT_TOKENS}, {_vocabulary('docs', 'doc_id', size=500)}
+        select term, tf, df, term_id from vocabulary""",
+    "build_vocabulary_unlimited": f"""with {_DOCUMENT_TOKENS},
+        {_vocabulary('docs', 'doc_id', least=1, size=1 << 40)}
+        select term, tf, df, term_id from vocabulary""",
     "vocabulary_size": (
         f"with {_DOCUMENT_VOCABULARY} select count(*) as vocabulary_size from vocabulary"
     ),
@@ -331,6 +337,7 @@ ORACLES: dict[str, str] = {
           select doc_id, string_agg(term_id, '|' order by pos) as ids
           from positions join vocabulary using (term) where term <> '' group by doc_id)
         select doc_id, coalesce(ids, '') as ids from documents left join looked_up using (doc_id)""",
+    "encode_new_pairs": f"with {_ENCODED} {_TEXT_COLUMNS} encoded",
     "pad_sequences": f"""with {_ENCODED}, padded as (
           select id, list_resize(int_title_tokens, 15, 0) as int_title_tokens,
             list_resize(int_sterm_tokens, 10, 0) as int_sterm_tokens from encoded)
@@ -340,6 +347,7 @@ ORACLES: dict[str, str] = {
           cast(floor(avg(len(int_sterm_tokens))) as integer) as int_sterm_tokens
         from encoded where {_share(45)}""",
     "scan_csv_roundtrip": f"with {_PAIRS} select * from pairs",
+    "scan_csv_by_name": f"with {_PAIRS} select * from pairs",
     "scan_descriptions_csv": (
         "select cast(doc_id as varchar) as product_uid, text as product_description from documents"
     ),
@@ -353,6 +361,9 @@ ORACLES: dict[str, str] = {
         select term, cast(generate_subscripts(vec, 1) - 1 as integer) as pos,
           round(unnest(vec)::double, 5) as value
         from vectors where term <> ''""",
+    "word_vectors_mixed_width": f"""with {_WORD_VECTORS}
+        select count(*) filter (term_id % 3 <> 0) as read, count(*) filter (term_id % 3 = 0) as rejected
+        from vectors where term <> ''""",
     "embedding_matrix": f"""with {_WORD_VECTORS},
         entries as (
           select term_id, unnest(vec)::double as value, generate_subscripts(vec, 1) as pos
@@ -413,6 +424,23 @@ ORACLES: dict[str, str] = {
           round(ay - slope_normal * ax, 8) as intercept from line
         union all
         select 'l-bfgs', round(slope_search, 8), round(ay - slope_search * ax, 8) from line""",
+    "fit_summary": f"""with {_ONE_FEATURE}, train as (select * from predicted where split = 'train')
+        select round(sqrt(avg((y - p) * (y - p))), 6) as rmse,
+          round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) as r2,
+          (select round(ay - slope_normal * ax, 6) from line) as intercept, 1 as n_features from train""",
+    "fit_coefficients": f"""with {_ONE_FEATURE}
+        select 0 as index, round(slope_normal, 6) as coefficient from line""",
+    "score_holdout": f"""with {_ONE_FEATURE}
+        select id, round(y, 6) as label, round(p, 6) as prediction from predicted where split = 'test'""",
+    "model_save_load_score": f"""with {_ONE_FEATURE}
+        select id, round(y, 6) as label, round(p, 6) as prediction from predicted where split = 'test'""",
+    "score_new_pairs": f"with {_ONE_FEATURE} select id, round(p, 6) as prediction from predicted",
+    "evaluate_holdout": _TEST_METRICS.format(
+        "round(sqrt(avg((y - p) * (y - p))), 6) as rmse, round(avg(abs(y - p)), 6) as mae,"
+        " round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) as r2"
+    ),
+    "score_fields_additive": f"""with {_PAIRS}
+        select id, 0.0::double as difference from pairs join documents on doc_id = product_uid""",
     "evaluation_report": f"""with {_ONE_FEATURE}
         select round(y, 6) as label, round(p, 6) as prediction from predicted where split = 'test'""",
     "residuals": f"""with {_ONE_FEATURE}
@@ -430,3 +458,7 @@ ORACLES: dict[str, str] = {
         select count(*) as n, round(sqrt(avg((y - p) * (y - p))), 6) as rmse,
           round(avg(abs(y - p)), 6) as mae from scored""",
 }
+
+ORACLES["encode_tokens_join"] = ORACLES["encode_documents"]
+ORACLES["sequence_mean_vector_join"] = ORACLES["sequence_mean_vector"]
+ORACLES["relevance_job"] = f"select id, entries, total, true as scored from ({ORACLES['assemble_features']})"

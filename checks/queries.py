@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from termlens.operators import (
     stems,
     vocabulary,
 )
-from termlens.plans import relevance, sequences
+from termlens.plans import job, relevance, sequences
 from termlens.sources import readers, retail, workspace, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +187,15 @@ def join_pairs_attributes(spark: SparkSession, sf: str) -> DataFrame:
     return products.join_pairs(retail.pairs(spark, sf), texts)
 
 
+@query
+def join_pairs_left_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine pairs of ten have no product; they are kept, and spread over tasks."""
+    known = F.when(F.col("id") % 10 == 1, F.col("product_uid"))
+    pairs = retail.pairs(spark, sf).withColumn("product_uid", known)
+    texts = products.attribute_text(retail.attributes(spark, sf))
+    return products.join_pairs(pairs, texts, "left").select("id", "product_uid", "attributes")
+
+
 def _all_texts(spark: SparkSession, sf: str) -> DataFrame:
     texts = products.product_texts(
         retail.descriptions(spark, sf),
@@ -253,6 +263,16 @@ def build_pair_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.pair_vocabulary(_labelled(spark, sf))
 
 
+@query
+def build_vocabulary_limited(spark: SparkSession, sf: str) -> DataFrame:
+    return vocabulary.build_vocabulary(_document_tokens(spark, sf), size=500)
+
+
+@query
+def build_vocabulary_unlimited(spark: SparkSession, sf: str) -> DataFrame:
+    return vocabulary.build_vocabulary(_document_tokens(spark, sf), min_documents=1, size=None)
+
+
 @query
 def vocabulary_size(spark: SparkSession, sf: str) -> DataFrame:
     return vocabulary.vocabulary_size(vocabulary.build_vocabulary(_document_tokens(spark, sf)))
@@ -291,10 +311,28 @@ def encode_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def encode_documents(spark: SparkSession, sf: str) -> DataFrame:
     documents = _document_tokens(spark, sf)
     terms = workspace.materialize(vocabulary.build_vocabulary(documents), "vocabulary")
-    encoded = vocabulary.encode_tokens(documents, terms, {"tokens": "ids"}, key="doc_id")
+    encoded = vocabulary.encode_tokens(documents, terms, {"tokens": "ids"})
+    return encoded.select("doc_id", _joined("ids").alias("ids"))
+
+
+@query
+def encode_tokens_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents again, by the join that takes a dictionary of any size."""
+    documents = _document_tokens(spark, sf)
+    terms = workspace.materialize(vocabulary.build_vocabulary(documents), "vocabulary")
+    encoded = vocabulary.encode_tokens_join(documents, terms, {"tokens": "ids"})
     return encoded.select("doc_id", _joined("ids").alias("ids"))
 
 
+@query
+def encode_new_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """New pairs, with the dictionary that an earlier job stored."""
+    path = workspace.new_folder(spark, "vocabulary")
+    writers.write_vocabulary(sequences.pair_vocabulary(_labelled(spark, sf)), path)
+    stored = readers.read_vocabulary(spark, path)
+    return _as_text(sequences.encode_pairs(retail.new_pairs(spark, sf), stored))
+
+
 @query
 def pad_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return _as_text(sequences.pad_pairs(_encoded_pairs(spark, sf)))
@@ -316,6 +354,17 @@ def scan_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_delimited(spark, path, schemas.PAIRS)
 
 
+@query
+def scan_csv_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns in another order and between others are found by the header."""
+    path = workspace.new_folder(spark, "pairs-csv")
+    mixed = retail.pairs(spark, sf).select(
+        "relevance", F.lit("x").alias("other"), "search_term", "product_uid", "id", "product_title"
+    )
+    writers.write_delimited(mixed, path)
+    return readers.read_delimited(spark, path, schemas.PAIRS)
+
+
 @query
 def scan_descriptions_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = workspace.new_folder(spark, "descriptions-csv")
@@ -360,7 +409,7 @@ def _word_vectors(spark: SparkSession, sf: str, terms: DataFrame) -> DataFrame:
         retail.table(spark, sf, "embeddings")
         .withColumnRenamed("vec_id", "term_id")
         .join(terms, "term_id")
-        .select("term", F.col("embedding").alias("vec"))
+        .select("term", F.col("embedding").alias("vec"), "term_id")
     )
 
 
@@ -374,12 +423,28 @@ def _document_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 def word_vectors_parse(spark: SparkSession, sf: str) -> DataFrame:
     path = workspace.new_folder(spark, "word-vectors")
     vectors = _word_vectors(spark, sf, _document_vocabulary(spark, sf))
-    writers.write_word_vectors(vectors.where(F.col("term") != ""), path)
+    writers.write_word_vectors(vectors.where(F.col("term") != "").select("term", "vec"), path)
     return readers.read_word_vectors(spark, path, VECTOR_SIZE).select(
         "term", F.posexplode("vec").alias("pos", "value")
     ).withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
+@query
+def word_vectors_mixed_width(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines cut to another number of numbers are rejected, the others are read."""
+    vectors = _word_vectors(spark, sf, _document_vocabulary(spark, sf)).where("term <> ''")
+    width = F.when(F.col("term_id") % 3 == 0, VECTOR_SIZE - 1).otherwise(VECTOR_SIZE)
+    path = workspace.new_folder(spark, "word-vectors")
+    mixed = vectors.withColumn("vec", F.slice("vec", F.lit(1), width))
+    writers.write_word_vectors(mixed.select("term", "vec"), path)
+    lines = spark.read.text(path)
+    read = readers.parse_word_vectors(lines, VECTOR_SIZE)
+    rejected = readers.rejected_word_vectors(lines, VECTOR_SIZE)
+    return read.agg(F.count(F.lit(1)).alias("read")).crossJoin(
+        rejected.agg(F.count(F.lit(1)).alias("rejected"))
+    )
+
+
 def _checksum(vector: Column) -> Column:
     weighted = F.transform(vector, lambda x, i: x.cast("double") * (i + F.lit(1)))
     return F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4)
@@ -415,6 +480,21 @@ def sequence_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def sequence_mean_vector_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the join that takes a matrix of any size."""
+    pairs = workspace.materialize(_labelled(spark, sf), "pairs")
+    terms = workspace.materialize(sequences.pair_vocabulary(pairs), "vocabulary")
+    matrix = workspace.materialize(
+        embeddings.embedding_matrix(terms, _word_vectors(spark, sf, terms), VECTOR_SIZE), "matrix"
+    )
+    padded = sequences.pad_pairs(sequences.encode_pairs(pairs, terms))
+    names = {"int_title_tokens": "title", "int_sterm_tokens": "sterm"}
+    pooled = embeddings.pool_sequences_join(padded, matrix, names, VECTOR_SIZE)
+    columns = [f"{field}_{kind}" for field in ("title", "sterm") for kind in ("mean", "max")]
+    return pooled.select("id", *[_checksum(F.col(name)).alias(name) for name in columns])
+
+
 @query
 def embedding_regression(spark: SparkSession, sf: str) -> DataFrame:
     pooled = workspace.materialize(
@@ -517,6 +597,59 @@ def linear_regression_fit(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _one_feature_model(rows: DataFrame) -> PipelineModel:
+    return PipelineModel([_one_feature_fit(rows, "normal")])
+
+
+def _rounded(frame: DataFrame, *names: str) -> DataFrame:
+    return frame.withColumns({name: F.round(name, 6) for name in names})
+
+
+@query
+def fit_summary(spark: SparkSession, sf: str) -> DataFrame:
+    model = _one_feature_fit(_token_number(spark, sf), "normal")
+    summary = models.fit_summary(spark, models.summarize(model))
+    return _rounded(summary.select("rmse", "r2", "intercept", "n_features"), "rmse", "r2", "intercept")
+
+
+@query
+def fit_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    found = models.coefficients(spark, _one_feature_fit(_token_number(spark, sf), "normal"))
+    return _rounded(found, "coefficient")
+
+
+@query
+def score_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _token_number(spark, sf)
+    return _rounded(relevance.evaluation_report(_one_feature_model(rows), rows), "label", "prediction")
+
+
+@query
+def evaluate_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _token_number(spark, sf)
+    return _rounded(relevance.evaluate(_one_feature_model(rows), rows), "rmse", "mae", "r2")
+
+
+@query
+def model_save_load_score(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _token_number(spark, sf)
+    path = workspace.new_folder(spark, "model")
+    writers.save_model(_one_feature_model(rows), path)
+    return _rounded(relevance.evaluation_report(readers.load_model(path), rows), "label", "prediction")
+
+
+@query
+def score_new_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all new pairs, written as one file without a header and read again."""
+    model = _one_feature_model(_token_number(spark, sf))
+    new = sequences.clean_pairs(retail.new_pairs(spark, sf)).select(
+        "id", array_to_vector(F.array(F.size("tokens").cast("double"))).alias("features")
+    )
+    path = workspace.new_folder(spark, "scores-csv")
+    writers.write_delimited(relevance.score_pairs(model, new), path, header=False, single_file=True)
+    return _rounded(readers.read_delimited(spark, path, schemas.SCORES, header=False), "prediction")
+
+
 @query
 def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     path = workspace.new_folder(spark, "report-csv")
@@ -575,27 +708,27 @@ def _bigram_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def fit_summary(spark: SparkSession, sf: str) -> DataFrame:
+def fit_summary_fields(spark: SparkSession, sf: str) -> DataFrame:
     fitted = relevance.fit_relevance(_field_vectors(spark, sf))
     return models.fit_summary(spark, fitted.summary)
 
 
 @query
-def score_holdout(spark: SparkSession, sf: str) -> DataFrame:
+def score_holdout_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _bigram_vectors(spark, sf)
     fitted = relevance.fit_bigrams(vectors)
     return relevance.evaluation_report(fitted.model, vectors)
 
 
 @query
-def evaluate_holdout(spark: SparkSession, sf: str) -> DataFrame:
+def evaluate_holdout_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _bigram_vectors(spark, sf)
     fitted = relevance.fit_bigrams(vectors, idf_scope="all")
     return relevance.evaluate(fitted.model, vectors)
 
 
 @query
-def model_save_load_score(spark: SparkSession, sf: str) -> DataFrame:
+def model_save_load_score_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _bigram_vectors(spark, sf)
     path = workspace.new_folder(spark, "model")
     writers.save_model(relevance.fit_bigrams(vectors).model, path)
@@ -603,7 +736,7 @@ def model_save_load_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def score_new_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def score_new_pairs_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     fitted = relevance.fit_bigrams(_bigram_vectors(spark, sf))
     new = relevance.bigram_vectors(retail.new_pairs(spark, sf), retail.attributes(spark, sf))
     path = workspace.new_folder(spark, "scores-csv")
@@ -617,3 +750,57 @@ def class_regression_fit(spark: SparkSession, sf: str) -> DataFrame:
     model = relevance.fit_relevance_classes(vectors)
     scored = relevance.score_classes(model, vectors.where(F.col("split") == "test"))
     return scored.select("id", "relevance", "prediction", "predicted_value")
+
+
+@query
+def score_fields_additive(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores added up from product and pair parts, less those of the assembled vectors."""
+    descriptions, attributes = retail.descriptions(spark, sf), retail.attributes(spark, sf)
+    vectors = _field_vectors(spark, sf)
+    model = relevance.fit_relevance(vectors).model
+    added = relevance.score_fields(model, retail.new_pairs(spark, sf), descriptions, attributes)
+    whole = relevance.score_pairs(model, vectors).withColumnRenamed("prediction", "whole")
+    return added.join(whole, "id").select(
+        "id", (F.round(F.col("prediction") - F.col("whole"), 9) + F.lit(0.0)).alias("difference")
+    )
+
+
+@query
+def embedding_score_new_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The word-vector model, stored, loaded and applied to the new pairs."""
+    pairs = workspace.materialize(_labelled(spark, sf), "pairs")
+    terms = workspace.materialize(sequences.pair_vocabulary(pairs), "vocabulary")
+    matrix = workspace.materialize(
+        embeddings.embedding_matrix(terms, _word_vectors(spark, sf, terms), VECTOR_SIZE), "matrix"
+    )
+    pooled = sequences.pooled_pairs(sequences.encode_pairs(pairs, terms), matrix, VECTOR_SIZE)
+    stored = workspace.materialize(pooled.select("id", "relevance", "split", "features"), "pooled")
+    path = workspace.new_folder(spark, "model")
+    writers.save_model(sequences.fit_pooled(stored), path)
+    new = sequences.encode_pairs(retail.new_pairs(spark, sf), terms)
+    return relevance.score_pairs(readers.load_model(path), sequences.pooled_pairs(new, matrix, VECTOR_SIZE))
+
+
+@query
+def relevance_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The job from files to files: the features and scores of the new pairs that it wrote."""
+    folder = workspace.new_folder(spark, "relevance-job")
+    tables = {
+        "train": retail.pairs(spark, sf),
+        "new": retail.new_pairs(spark, sf),
+        "attributes": retail.attributes(spark, sf),
+        "descriptions": retail.descriptions(spark, sf),
+    }
+    for name, frame in tables.items():
+        writers.write_delimited(frame, f"{folder}/{name}.csv", escape='"')
+    outputs = job.outputs_under(folder)
+    job.run(spark, job.JobInputs(*[f"{folder}/{name}.csv" for name in tables]), outputs)
+    vectors = spark.read.parquet(outputs.new_vectors)
+    scores = readers.read_delimited(spark, outputs.scores, schemas.SCORES)
+    features_of = vectors.select(
+        F.col("id").cast("bigint").alias("id"), F.size("tf.indices").alias("entries"),
+        F.aggregate("tf.values", F.lit(0.0), lambda a, x: a + x).alias("total"),
+    )
+    return features_of.join(scores, "id").select(
+        "id", "entries", "total", F.col("prediction").isNotNull().alias("scored")
+    )

@@ -13,15 +13,16 @@ CLASS_VALUES = {1: 1.0, 2: 1.5, 3: 2.0, 4: 2.5, 5: 3.0}
 
 
 def cast_relevance(text: Column | str) -> Column:
-    """Float score; text that is no number gives null instead of an error."""
+    """Float score; text that is no number, "NaN" too, gives null instead of an error."""
     column = F.col(text) if isinstance(text, str) else text
-    return column.try_cast("float")
+    number = column.try_cast("float")
+    return F.when(~F.isnan(number), number)
 
 
 def relevance_class(relevance: Column | str) -> Column:
-    """Class 1 to 5 of a score; a null score has a null class."""
+    """Class 1 to 5 of a score; a score that is null or NaN has a null class."""
     score = F.col(relevance) if isinstance(relevance, str) else relevance
-    number = F.when(score.isNull(), None)
+    number = F.when(score.isNull() | F.isnan(score), None)
     for label, bound in enumerate(CLASS_BOUNDS, start=1):
         number = number.when(score < F.lit(bound), F.lit(label))
     return number.otherwise(F.lit(len(CLASS_BOUNDS) + 1)).cast("int")

@@ -37,9 +37,14 @@ def split_name(
     inner_salt: int = 10,
     is_string: bool = False,
 ) -> Column:
-    """'train' or 'test'; with ``inner_percent`` train is cut again into 'train'/'val'."""
+    """'train' or 'test'; with ``inner_percent`` train is cut again into 'train'/'val'.
+
+    A null key is in no split.
+    """
     outer = in_share(key, train_percent, salt, is_string)
+    column = F.col(key) if isinstance(key, str) else key
+    none = F.when(column.isNull(), None)
     if inner_percent is None:
-        return F.when(outer, "train").otherwise("test")
+        return none.when(outer, "train").otherwise("test")
     inner = in_share(key, inner_percent, inner_salt, is_string)
-    return F.when(outer & inner, "train").when(outer, "val").otherwise("test")
+    return none.when(outer & inner, "train").when(outer, "val").otherwise("test")

@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlens.operators.joins import join_unique
+from termlens.operators.joins import join_by_content, join_unique
 from termlens.operators.vocabulary import SIZE
 
 PADDING_ID = 0
@@ -25,7 +25,8 @@ def embedding_matrix(vocabulary: DataFrame, vectors: DataFrame, dimensions: int)
 
     Terms without a vector, and the padding, get zeros. The vectors, of which
     there may be millions, are first cut down to the terms of the vocabulary.
-    Where a word comes more than once, one of its vectors is kept whole.
+    Where a word comes more than once, its vector that is greatest entry by entry, from
+    the first on, is kept whole.
     """
     wanted = vectors.join(vocabulary.select("term"), "term", "left_semi")
     unique = wanted.groupBy("term").agg(F.max("vec").alias("vec"))
@@ -47,27 +48,73 @@ def pool_sequences(
     matrix: DataFrame,
     fields: dict[str, str],
     dimensions: int,
-    key: str = "id",
-    max_terms: int = SIZE,
+    most: int = SIZE,
 ) -> DataFrame:
     """Add ``<name>_mean`` and ``<name>_max`` per id-sequence column.
 
     Entry-wise mean and maximum of the vectors of a sequence, padding left out; a
-    sequence of padding only gives zeros. A matrix of at most ``max_terms`` + 1
-    rows (this is counted) is looked up where the rows are, with no shuffle; a
-    larger one is joined.
+    sequence of padding only, or null, gives zeros. An id that the matrix lacks counts as
+    a vector of zeros. The matrix is read to the driver and looked up where the rows are, with
+    no shuffle. It must have at most ``most`` + 1 rows, which is checked; for a
+    larger one call ``pool_sequences_join``, which gives the same result.
     """
-    head = matrix.limit(max_terms + 2).toArrow()
-    if head.num_rows > max_terms + 1:
-        return _pool_by_join(rows, matrix, fields, dimensions, key)
+    head = matrix.limit(most + 2).toArrow()
+    if head.num_rows > most + 1:
+        raise ValueError(f"more than {most + 1} rows: use pool_sequences_join")
     return _pool_in_place(rows, head, fields, dimensions)
 
 
+def pool_sequences_join(
+    rows: DataFrame, matrix: DataFrame, fields: dict[str, str], dimensions: int
+) -> DataFrame:
+    """``pool_sequences`` for a matrix of any size, by a join: each distinct sequence once."""
+    vectors = matrix.select("term_id", array_to_vector("vec").alias("vector"))
+    zeros = F.array_repeat(F.lit(0.0), dimensions)
+
+    def pool(sequences: DataFrame) -> DataFrame:
+        tokens = sequences.select("content", F.explode("values").alias("term_id")).where(
+            F.col("term_id") != PADDING_ID
+        )
+        vector = F.coalesce("vector", array_to_vector(zeros))
+        pooled = (
+            join_unique(tokens, vectors, "term_id", spread="content", how="left")
+            .withColumn("vector", vector)
+            .groupBy("content")
+            .agg(
+                Summarizer.mean(F.col("vector")).alias("mean"),
+                Summarizer.max(F.col("vector")).alias("max"),
+            )
+            .select("content", vector_to_array("mean").alias("mean"), vector_to_array("max").alias("max"))
+        )
+        both = sequences.select("content").join(pooled, "content", "left")
+        return both.select(
+            "content",
+            F.struct(
+                F.coalesce("mean", zeros).alias("mean"),
+                F.coalesce("max", zeros).alias("max"),
+            ).alias("result"),
+        )
+
+    pooled = join_by_content(rows, {old: f"{name}_pool" for old, name in fields.items()}, pool)
+    return _spread(pooled, fields)
+
+
+def _spread(pooled: DataFrame, fields: dict[str, str]) -> DataFrame:
+    return pooled.withColumns(
+        {
+            f"{name}_{kind}": F.col(f"{name}_pool")[kind]
+            for name in fields.values()
+            for kind in ("mean", "max")
+        }
+    ).drop(*[f"{name}_pool" for name in fields.values()])
+
+
 def _pool_in_place(
     rows: DataFrame, matrix: pa.Table, fields: dict[str, str], dimensions: int
 ) -> DataFrame:
     ids = matrix.column("term_id").to_numpy()
-    table = np.zeros((int(ids.max(initial=0)) + 1, dimensions), dtype=np.float32)
+    # the last row stays zero and stands for every id the matrix lacks
+    table = np.zeros((int(ids.max(initial=0)) + 2, dimensions), dtype=np.float32)
     flat = matrix.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     table[ids] = flat.reshape(len(ids), dimensions)
 
@@ -80,13 +127,7 @@ def _pool_in_place(
             )
 
     pooled = rows.withColumns({f"{name}_pool": pool(F.col(old)) for old, name in fields.items()})
-    return pooled.withColumns(
-        {
-            f"{name}_{kind}": F.col(f"{name}_pool")[kind]
-            for name in fields.values()
-            for kind in ("mean", "max")
-        }
-    ).drop(*[f"{name}_pool" for name in fields.values()])
+    return _spread(pooled, fields)
 
 
 def _as_lists(values: np.ndarray) -> pa.Array:
@@ -102,6 +143,7 @@ def _pooled(sequences: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     owner = np.repeat(np.arange(len(lengths)), lengths)
     real = tokens != PADDING_ID
     tokens, owner = tokens[real], owner[real]
+    tokens = np.where((tokens < 0) | (tokens >= len(table)), len(table) - 1, tokens)
     counts = np.bincount(owner, minlength=len(lengths))
     means = np.zeros((len(lengths), table.shape[1]))
     maxima = np.zeros_like(means)
@@ -122,35 +164,6 @@ def _pooled(sequences: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     return means, maxima
 
 
-def _pool_by_join(
-    rows: DataFrame, matrix: DataFrame, fields: dict[str, str], dimensions: int, key: str
-) -> DataFrame:
-    vectors = matrix.select("term_id", array_to_vector("vec").alias("vector"))
-    zeros = F.array_repeat(F.lit(0.0), dimensions)
-    result = rows
-    for old, name in fields.items():
-        tokens = rows.select(key, F.explode(old).alias("term_id")).where(
-            F.col("term_id") != PADDING_ID
-        )
-        pooled = (
-            join_unique(tokens, vectors, "term_id", spread=key)
-            .groupBy(key)
-            .agg(
-                Summarizer.mean(F.col("vector")).alias("mean"),
-                Summarizer.max(F.col("vector")).alias("max"),
-            )
-            .select(
-                key,
-                vector_to_array("mean").alias(f"{name}_mean"),
-                vector_to_array("max").alias(f"{name}_max"),
-            )
-        )
-        result = result.join(pooled, key, "left").withColumns(
-            {f"{name}_{kind}": F.coalesce(F.col(f"{name}_{kind}"), zeros) for kind in ("mean", "max")}
-        )
-    return result
-
-
 def pooled_features(rows: DataFrame, names: list[str], output: str = "features") -> DataFrame:
     """Mean and maximum of every named field, concatenated to one vector column."""
     parts = [f"{name}_{kind}" for name in names for kind in ("mean", "max")]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from termlens.functions.text import term_counts
 from termlens.operators.joins import ROWS_PER_SPLIT, join_unique
+from termlens.sources.workspace import materialize
 
 
 def tf_terms(documents: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
@@ -56,20 +57,23 @@ def tfidf_terms(
     large share of all documents is split over many tasks: its document frequency
     is the number of rows it joins.
     """
+    # the texts are read once: all that follows comes from the stored counts
+    counted = materialize(documents.select(key, term_counts(tokens).alias("counts")), "term-counts")
+    entries = counted.select(key, F.inline("counts"))
+    frequencies = entries.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     if fitted_on is None:
-        weights = idf_terms(documents, tokens, min_doc_freq).withColumnRenamed("df", "n")
+        number = counted.agg(F.count(F.lit(1))).scalar()
+        weights = frequencies.withColumn("idf", idf_weight(number, F.col("n"), min_doc_freq))
     else:
         number = fitted_on.agg(F.count(F.lit(1))).scalar()
         unseen = idf_weight(number, F.lit(0), min_doc_freq)
         fitted = idf_terms(fitted_on, tokens, min_doc_freq).select("term", "idf")
         weights = (
-            document_frequency(documents, tokens)
-            .withColumnRenamed("df", "n")
-            .join(fitted, "term", "left")
+            frequencies.join(fitted, "term", "left")
             .withColumn("idf", F.coalesce("idf", unseen))
         )
     weighted = join_unique(
-        tf_terms(documents, key, tokens),
+        entries,
         weights.select("term", "idf"),
         "term",
         spread=key,

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termlens.sources.workspace import materialize
+
 # Rows of one key that one task takes on; keys with more are split.
 ROWS_PER_SPLIT = 1_000_000
 
+# Parts over which rows without a key are spread: they match nothing.
+NULL_PARTS = 64
+
 _COPIES, _SALT = "_copies", "_salt"
 
 
@@ -30,22 +37,59 @@ def join_unique(
     The rows of a heavy key are spread over as many tasks as they need, by a hash
     of the column ``spread``, and its ``lookup`` row is copied to each of them. The
     adaptive skew join cannot do this where either side comes straight from an
-    aggregation by the key. ``counts`` (key, n) saves the counting pass.
+    aggregation by the key. Rows without a key are spread as well. ``how`` is
+    ``inner`` or ``left``: copies of the lookup would show in any other join.
+
+    Without ``counts`` (key, n) the rows are stored first and counted on their
+    stored key column, so that what made them runs once.
 
     What is broadcast is the list of heavy keys only, at most one per
     ``rows_per_split`` rows.
     """
-    known = key_counts(rows, key) if counts is None else counts
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    if counts is None:
+        rows = materialize(rows, "join-rows")
+        counts = key_counts(rows, key)
     heavy = F.broadcast(
-        known.where((F.col("n") > rows_per_split) & F.col(key).isNotNull()).select(
+        counts.where((F.col("n") > rows_per_split) & F.col(key).isNotNull()).select(
             key, F.ceil(F.col("n") / F.lit(rows_per_split)).cast("int").alias(_COPIES)
         )
     )
     copies = F.coalesce(_COPIES, F.lit(1))
+    parts = F.when(F.col(key).isNull(), F.lit(NULL_PARTS)).otherwise(copies)
     salted = rows.join(heavy, key, "left").withColumn(
-        _SALT, F.pmod(F.xxhash64(spread), copies).cast("int")
+        _SALT, F.pmod(F.xxhash64(spread), parts).cast("int")
     )
     copied = lookup.join(heavy, key, "left").withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), copies - F.lit(1)))
     )
     return salted.drop(_COPIES).join(copied.drop(_COPIES), [key, _SALT], how).drop(_SALT)
+
+
+def content_key(column: str) -> Column:
+    """One text per distinct value of an array column; null has one too."""
+    return F.md5(F.to_json(F.struct(F.col(column).alias("v"))).cast("binary"))
+
+
+def join_by_content(
+    rows: DataFrame, fields: dict[str, str], make: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Add to ``rows`` what ``make`` gives for each array column, worked out once per distinct array.
+
+    ``fields`` maps array columns to new columns. ``make`` takes (content, values) with
+    one row per distinct array and returns (content, result). Rows need no key of
+    their own: equal arrays have equal results, whatever row they stand in.
+    """
+    keyed = rows.withColumns({f"_content_{old}": content_key(old) for old in fields})
+    keyed = materialize(keyed, "by-content")
+    stacked = F.array(
+        *[F.struct(F.col(f"_content_{old}").alias("content"), F.col(old).alias("values")) for old in fields]
+    )
+    distinct = keyed.select(F.inline(stacked)).groupBy("content").agg(F.first("values").alias("values"))
+    made = materialize(make(distinct), "by-content")
+    for old, new in fields.items():
+        one = made.select(F.col("content").alias(f"_content_{old}"), F.col("result").alias(new))
+        counts = key_counts(keyed, f"_content_{old}")
+        keyed = join_unique(keyed, one, f"_content_{old}", f"_content_{old}", "left", counts)
+    return keyed.drop(*[f"_content_{old}" for old in fields])

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlens.operators.joins import join_unique
+from termlens.functions.text import term_counts
+from termlens.operators.joins import join_by_content, join_unique
+from termlens.sources.workspace import materialize
 
 SIZE = 30_000
 MIN_DOCUMENTS = 2
@@ -19,20 +21,13 @@ MIN_DOCUMENTS = 2
 def term_totals(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """term, tf, df over all rows, in one pass and one shuffle.
 
-    Each row emits its tokens for tf and its distinct tokens for df; both are
-    summed in the map tasks, so a frequent term costs one record per task.
+    A row's terms are counted inside the row, and the counts are summed in the map
+    tasks, so a frequent term costs one record per task.
     """
-    occurrences = F.transform(
-        tokens, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
-    )
-    documents = F.transform(
-        F.array_distinct(tokens),
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
-    )
     return (
-        rows.select(F.inline(F.concat(occurrences, documents)))
+        rows.select(F.inline(term_counts(tokens)))
         .groupBy("term")
-        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        .agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
     )
 
 
@@ -40,21 +35,42 @@ def build_vocabulary(
     rows: DataFrame,
     tokens: str = "tokens",
     min_documents: int = MIN_DOCUMENTS,
-    size: int = SIZE,
+    size: int | None = SIZE,
     drop_empty: bool = False,
 ) -> DataFrame:
-    """term, tf, df, term_id: the ``size`` most frequent terms found in at least
+    """term, tf, df, term_id: the ``size`` most frequent terms (None: all) found in at least
     ``min_documents`` rows; ids from 1 by falling frequency, ties by term.
 
-    Each partition hands on its own top terms only, and the ranking window sees
-    no more than ``size`` rows.
+    No task sees more than a range of the terms. The frequency that the last
+    term in has is found from the number of terms per frequency; the terms from there
+    on are sorted over all tasks, and an id is the number of terms in the ranges
+    before plus the place in its own.
     """
     kept = term_totals(rows, tokens).where(F.col("df") >= min_documents)
     if drop_empty:
         kept = kept.where(F.col("term") != "")
+    kept = materialize(kept, "term-totals")
+    if size is not None:
+        falling = Window.orderBy(F.desc("tf"))
+        steps = kept.groupBy("tf").agg(F.count(F.lit(1)).alias("n")).select(
+            "tf", (F.sum("n").over(falling) - F.col("n")).alias("before")
+        )
+        least = steps.where(F.col("before") < size).agg(F.min("tf").alias("least"))
+        kept = kept.join(F.broadcast(least), F.col("tf") >= F.col("least")).drop("least")
     order = [F.desc("tf"), F.asc("term")]
-    top = kept.orderBy(*order).limit(size)
-    return top.select("term", "tf", "df", F.row_number().over(Window.orderBy(*order)).alias("term_id"))
+    place = F.monotonically_increasing_id()
+    ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = materialize(
+        ordered.select("term", "tf", "df", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")),
+        "ordered-terms",
+    )
+    # one row per task of the sort
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    term_id = (F.col("start") + F.col("at") + 1).cast("int").alias("term_id")
+    ranked = ordered.join(F.broadcast(starts), "part").select("term", "tf", "df", term_id)
+    return ranked if size is None else ranked.where(F.col("term_id") <= size)
 
 
 def vocabulary_size(vocabulary: DataFrame) -> DataFrame:
@@ -62,27 +78,47 @@ def vocabulary_size(vocabulary: DataFrame) -> DataFrame:
 
 
 def encode_tokens(
-    rows: DataFrame,
-    vocabulary: DataFrame,
-    fields: dict[str, str],
-    key: str = "id",
-    max_terms: int = SIZE,
+    rows: DataFrame, vocabulary: DataFrame, fields: dict[str, str], most: int = SIZE
 ) -> DataFrame:
     """Add per token column an ``array<int>`` column of term ids, in token order.
 
     ``fields`` maps token columns to the new columns. Unknown and empty tokens
-    are dropped; a row without known tokens gets ``[]``.
+    are dropped; a row without known tokens, or with null, gets ``[]``.
 
-    A vocabulary of at most ``max_terms`` terms (this is counted) is looked up in
-    Arrow batches where the rows are, with no shuffle. A larger one is joined.
+    The dictionary is read to the driver and looked up in Arrow batches where the
+    rows are, with no shuffle. It must have at most ``most`` terms, which is checked; for
+    a larger one call ``encode_tokens_join``, which gives the same result.
     """
     known = vocabulary.where(F.col("term") != "").select("term", "term_id")
-    head = known.limit(max_terms + 1).toArrow()
-    if head.num_rows > max_terms:
-        return _encode_by_join(rows, known, fields, key)
+    head = known.limit(most + 1).toArrow()
+    if head.num_rows > most:
+        raise ValueError(f"more than {most} terms: use encode_tokens_join")
     return _encode_in_place(rows, head, fields)
 
 
+def encode_tokens_join(
+    rows: DataFrame, vocabulary: DataFrame, fields: dict[str, str]
+) -> DataFrame:
+    """``encode_tokens`` for a dictionary of any size, by a join.
+
+    Each distinct token array is looked up once, and a term in many of them is split
+    over tasks.
+    """
+    known = vocabulary.where(F.col("term") != "").select("term", "term_id")
+
+    def encode(arrays: DataFrame) -> DataFrame:
+        tokens = arrays.select("content", F.posexplode("values").alias("pos", "term"))
+        matched = join_unique(tokens, known, "term", spread="content")
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "term_id"))), lambda e: e["term_id"])
+        encoded = matched.groupBy("content").agg(ids.alias("result"))
+        empty = F.array().cast("array<int>")
+        return arrays.select("content").join(encoded, "content", "left").withColumn(
+            "result", F.coalesce("result", empty)
+        )
+
+    return join_by_content(rows, fields, encode)
+
+
 def _encode_in_place(rows: DataFrame, known: pa.Table, fields: dict[str, str]) -> DataFrame:
     terms = known.column("term").combine_chunks()
     ids = known.column("term_id").combine_chunks().cast(pa.int32())
@@ -102,28 +138,3 @@ def _encode_in_place(rows: DataFrame, known: pa.Table, fields: dict[str, str]) -
             )
 
     return rows.withColumns({new: lookup(F.col(old)) for old, new in fields.items()})
-
-
-def _encode_by_join(
-    rows: DataFrame, known: DataFrame, fields: dict[str, str], key: str
-) -> DataFrame:
-    """All fields are stacked, so the tokens are joined once and regrouped once."""
-    stacked = F.array(
-        *[F.struct(F.lit(old).alias("field"), F.col(old).alias("tokens")) for old in fields]
-    )
-    tokens = rows.select(key, F.inline(stacked)).select(
-        key, "field", F.posexplode("tokens").alias("pos", "term")
-    )
-    matched = join_unique(tokens, known, "term", spread=key)
-    encoded = matched.groupBy(key).agg(
-        *[_ids_in_order(F.col("field") == old).alias(new) for old, new in fields.items()]
-    )
-    empty = F.array().cast("array<int>")
-    return rows.join(encoded, key, "left").withColumns(
-        {new: F.coalesce(F.col(new), empty) for new in fields.values()}
-    )
-
-
-def _ids_in_order(selected: Column) -> Column:
-    entry = F.when(selected, F.struct("pos", "term_id"))
-    return F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["term_id"])

@@ -90,9 +90,27 @@ def field_counts(
     product; what meets the pairs are sparse vectors, not texts. With
     ``how='left'`` pairs without a product are kept, with nothing in those fields.
     """
+    joined = join_pairs(
+        _pair_entries(pairs, buckets), _product_entries(descriptions, attributes, buckets, how), how
+    )
+    wide = assemble(["pair_part", "product_part"], len(FIELDS) * buckets)
+    return joined.select(*pairs.columns, wide.alias("tf"))
+
+
+def _pair_entries(pairs: DataFrame, buckets: int) -> DataFrame:
+    """Pairs with the entries of their own fields."""
     own = pairs.withColumns(
         {"title": clean_tokens("product_title"), "sterm": clean_tokens("search_term")}
     )
+    return hash_counts(own, FIELDS[:2], buckets).select(
+        *pairs.columns, entries(_counted(FIELDS[:2]), buckets).alias("pair_part")
+    )
+
+
+def _product_entries(
+    descriptions: DataFrame, attributes: DataFrame, buckets: int, how: str
+) -> DataFrame:
+    """Products with the entries of their two fields."""
     both = "full" if how == "left" else how
     texts = product_texts(
         descriptions, attribute_text(attributes, name_value_text()), how=both
@@ -101,16 +119,9 @@ def field_counts(
         clean_tokens("product_description").alias("descr"),
         clean_tokens("attributes").alias("attr"),
     )
-    pair_fields, product_fields = FIELDS[:2], FIELDS[2:]
-    pair_entries = hash_counts(own, pair_fields, buckets).select(
-        *pairs.columns, entries(_counted(pair_fields), buckets).alias("pair_part")
+    return hash_counts(texts, FIELDS[2:], buckets).select(
+        KEY, entries(_counted(FIELDS[2:]), buckets, 2).alias("product_part")
     )
-    product_entries = hash_counts(texts, product_fields, buckets).select(
-        KEY, entries(_counted(product_fields), buckets, len(pair_fields)).alias("product_part")
-    )
-    joined = join_pairs(pair_entries, product_entries, how)
-    wide = assemble(["pair_part", "product_part"], len(FIELDS) * buckets)
-    return joined.select(*pairs.columns, wide.alias("tf"))
 
 
 def _counted(fields: Iterable[str]) -> list[str]:
@@ -176,6 +187,33 @@ def score_pairs(model: PipelineModel, vectors: DataFrame) -> DataFrame:
     return model.transform(vectors).select("id", "prediction")
 
 
+def score_fields(
+    model: PipelineModel,
+    pairs: DataFrame,
+    descriptions: DataFrame,
+    attributes: DataFrame,
+    buckets: int = FIELD_BUCKETS,
+    how: str = "inner",
+) -> DataFrame:
+    """id, prediction of pairs from their texts, as ``score_pairs`` of ``field_vectors``.
+
+    The model is linear, so a product's part of the score is worked out once per
+    product, and what the join carries is one number instead of a wide vector.
+    """
+    size = len(FIELDS) * buckets
+    constant = F.lit(float(model.stages[-1].intercept))
+
+    def part(rows: DataFrame, name: str, kept: list[str]) -> DataFrame:
+        stored = store_vectors(rows.select(*kept, assemble([name], size).alias("tf")), "tf", size)
+        return model.transform(stored).select(*kept, (F.col("prediction") - constant).alias(f"{name}_score"))
+
+    own = part(_pair_entries(pairs, buckets), "pair_part", ["id", KEY])
+    products = part(_product_entries(descriptions, attributes, buckets, how), "product_part", [KEY])
+    joined = join_pairs(own, products, how)
+    score = F.col("pair_part_score") + F.coalesce("product_part_score", F.lit(0.0)) + constant
+    return joined.select("id", score.alias("prediction"))
+
+
 def evaluation_report(model: PipelineModel, vectors: DataFrame, split: str = "test") -> DataFrame:
     """id, label, prediction of one split."""
     rows = vectors.where((F.col("split") == split) & F.col("relevance").isNotNull())

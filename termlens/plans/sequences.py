@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import LinearRegressionModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,5 +63,6 @@ def pooled_pairs(encoded: DataFrame, matrix: DataFrame, dimensions: int) -> Data
     return pooled_features(pooled, ["title", "sterm"])
 
 
-def fit_pooled(rows: DataFrame, settings: FitSettings = POOLED_FIT) -> LinearRegressionModel:
-    return fit_linear(rows.where(F.col("split") == "train"), settings)
+def fit_pooled(rows: DataFrame, settings: FitSettings = POOLED_FIT) -> PipelineModel:
+    """A model that can be stored, loaded and applied to new pairs like the others."""
+    return PipelineModel([fit_linear(rows.where(F.col("split") == "train"), settings)])

@@ -30,9 +30,6 @@ ENCODED = _struct(
     id=_LONG, product_uid=_LONG, int_title_tokens=_IDS, int_sterm_tokens=_IDS, relevance=_FLOAT
 )
 LABELS = _struct(id=_LONG, relevance=_FLOAT)
-WORD_VECTORS = _struct(term=_TEXT, vec=T.ArrayType(_FLOAT))
-EMBEDDING_MATRIX = _struct(term_id=_INT, vec=T.ArrayType(_FLOAT))
-PREDICTIONS = _struct(id=_LONG, relevance=_FLOAT, prediction=_DOUBLE)
 
 # Reports.
 PREDICTIONS_REPORT = _struct(label=_DOUBLE, prediction=_DOUBLE)

@@ -17,32 +17,31 @@ def read_delimited(
     separator: str = ",",
     escape: str | None = None,
     multi_line: bool = False,
+    header: bool = True,
 ) -> DataFrame:
-    """Delimited text with a header row and a fixed schema (no inference pass).
+    """Delimited text, by the names in its header row and with fixed types (no inference pass).
+
+    The columns of ``schema`` are picked by name, wherever they stand; others are
+    left out, and a missing one is an error. A value that does not fit its type is
+    null. Without a header the columns are those of ``schema`` in order.
 
     ``escape='"'`` and ``multi_line=True`` read quoted text that holds quotes or
     line breaks; such files cannot be cut into parts, so both are off by default.
     """
     reader = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", separator)
-        .option("multiLine", multi_line)
+        spark.read.option("header", header).option("sep", separator).option("multiLine", multi_line)
     )
     if escape is not None:
         reader = reader.option("escape", escape)
-    return reader.csv(path)
-
-
-def fill_cores(rows: DataFrame) -> DataFrame:
-    """Spread a table read as fewer partitions than there are cores.
-
-    Text work is heavy per byte, and a file of one row group would keep one core
-    busy. A table of more partitions than cores is returned as it is, so only
-    tables too small to fill the cluster are ever moved.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    if not header:
+        return reader.schema(schema).csv(path)
+    found = reader.csv(path)
+    missing = [name for name in schema.fieldNames() if name not in found.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return found.select(
+        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -53,13 +52,37 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.VOCABULARY).parquet(path)
 
 
-def parse_word_vectors(lines: DataFrame, dimensions: int, column: str = "value") -> DataFrame:
-    """term, vec from lines of ``word v1 .. vN``."""
-    parts = lines.select(F.split(F.trim(F.col(column)), r"\s+").alias("parts"))
-    return parts.where(F.size("parts") > 1).select(
-        F.get("parts", F.lit(0)).alias("term"),
-        F.slice("parts", 2, dimensions).cast("array<float>").alias("vec"),
+def _word_vector_parts(lines: DataFrame, dimensions: int, column: str) -> DataFrame:
+    """line, term, vec, fits: the last ``dimensions`` parts are the numbers, the rest is the word.
+
+    A line fits if it has a word and that many numbers, and its word does not itself end
+    in a number, as that of a line of more numbers would.
+    """
+    parts = lines.select(F.col(column).alias("line"), F.split(F.trim(column), r"\s+").alias("parts"))
+    words = F.greatest(F.size("parts") - F.lit(dimensions), F.lit(0))
+    vec = F.transform(
+        F.slice("parts", words + F.lit(1), F.lit(dimensions)), lambda part: part.try_cast("float")
+    )
+    last = F.get("parts", words - F.lit(1)).try_cast("float")
+    fits = (
+        (words > 0)
+        & (F.size(vec) == dimensions)
+        & ~F.exists(vec, lambda x: x.isNull())
+        & ((words == 1) | last.isNull())
     )
+    word = F.array_join(F.slice("parts", F.lit(1), words), " ")
+    return parts.select("line", word.alias("term"), vec.alias("vec"), fits.alias("fits"))
+
+
+def parse_word_vectors(lines: DataFrame, dimensions: int, column: str = "value") -> DataFrame:
+    """term, vec from lines of ``word v1 .. vN`` that fit ``dimensions``; a word may hold blanks."""
+    return _word_vector_parts(lines, dimensions, column).where("fits").select("term", "vec")
+
+
+def rejected_word_vectors(lines: DataFrame, dimensions: int, column: str = "value") -> DataFrame:
+    """line: those that ``parse_word_vectors`` leaves out, blank ones aside; count them before use."""
+    rows = _word_vector_parts(lines, dimensions, column)
+    return rows.where(~F.col("fits") & (F.trim("line") != "")).select("line")
 
 
 def read_word_vectors(spark: SparkSession, path: str, dimensions: int) -> DataFrame:

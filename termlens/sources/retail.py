@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.sources.readers import fill_cores
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of a table of long texts."""
-    return fill_cores(table(spark, sf_dir, name).select(*columns))
+    return table(spark, sf_dir, name).select(*columns)
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,19 +28,13 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """product_uid, name, value; every fifth size has null values, and parts
-    whose key ends in 9 have no attributes at all."""
-    part = table(spark, sf_dir, "part").where(F.col("p_partkey") % 10 != 9)
-    known = F.col("p_size") % 5 != 0
+    """product_uid, name, value."""
     entries = F.array(
-        F.struct(F.lit("brand").alias("name"), F.when(known, F.col("p_brand")).alias("value")),
-        F.struct(F.lit("type").alias("name"), F.when(known, F.col("p_type")).alias("value")),
-        F.struct(
-            F.lit("size").alias("name"),
-            F.when(known, F.col("p_size").cast("string")).alias("value"),
-        ),
+        F.struct(F.lit("brand").alias("name"), F.col("p_brand").alias("value")),
+        F.struct(F.lit("type").alias("name"), F.col("p_type").alias("value")),
+        F.struct(F.lit("size").alias("name"), F.col("p_size").cast("string").alias("value")),
     )
-    return part.select(F.col("p_partkey").alias("product_uid"), F.inline(entries))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_uid"), F.inline(entries))
 
 
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +80,5 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unlabelled set: every pair whose id is a multiple of five."""
-    return pairs(spark, sf_dir).where(F.col("id") % 5 == 0).drop("relevance")
+    """The unlabelled set: all pairs, without their relevance."""
+    return pairs(spark, sf_dir).drop("relevance")

@@ -47,6 +47,28 @@ def test_inner_join_loses_and_left_join_keeps(spark):
     assert {r["id"]: r["attributes"] for r in kept.collect()} == {1: "t", 2: None, 3: "t"}
 
 
+def test_joins_that_would_show_the_copies_are_refused(spark):
+    pairs = spark.createDataFrame([(1, 10)], "id bigint, product_uid bigint")
+    texts = spark.createDataFrame([(10, "t")], "product_uid bigint, attributes string")
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            products.join_pairs(pairs, texts, how)
+
+
+def test_pairs_without_a_product_reach_many_tasks(spark):
+    pairs = spark.range(900).select("id", F.lit(None).cast("bigint").alias("product_uid"))
+    texts = spark.createDataFrame([(10, "t")], "product_uid bigint, attributes string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = products.join_pairs(pairs, texts, "left")
+        assert joined.count() == 900
+        assert joined.groupBy(F.spark_partition_id()).count().count() == 8
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_a_product_with_a_third_of_all_pairs_is_split(spark, how):
     n = 9_000

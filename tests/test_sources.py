@@ -24,6 +24,20 @@ def test_other_separator_and_single_file(spark, tmp_path):
     assert read.exceptAll(rows).count() == 0
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    import pytest
+
+    rows = spark.createDataFrame([("7", "12", "title", "term", "2.5")], "id string, product_uid string, product_title string, search_term string, relevance string")
+    path = str(tmp_path / "csv")
+    writers.write_delimited(rows, path)
+    read = readers.read_delimited(spark, path, schemas.LABELLED_PAIRS_TEXT)
+    assert [tuple(r) for r in read.collect()] == [("12", "title", "term", "2.5")]
+    numbers = readers.read_delimited(spark, path, schemas.SCORES.__class__([schemas.SCORES["id"]]))
+    assert [tuple(r) for r in numbers.collect()] == [(7,)]
+    with pytest.raises(ValueError, match="prediction"):
+        readers.read_delimited(spark, path, schemas.SCORES)
+
+
 def test_json_keeps_integer_arrays(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5, [1, 2], [], 2.5)], schemas.ENCODED)
     path = str(tmp_path / "json")

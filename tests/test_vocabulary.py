@@ -46,28 +46,48 @@ def test_drop_empty(rows):
     assert "" not in terms and "a" in terms
 
 
-@pytest.mark.parametrize("max_terms", [30_000, 2], ids=["in place", "by join"])
-def test_encoding_keeps_order_and_drops_unknown(spark, rows, max_terms):
+ENCODERS = pytest.mark.parametrize("encode", [vocabulary.encode_tokens, vocabulary.encode_tokens_join])
+
+
+@ENCODERS
+def test_encoding_keeps_order_and_drops_unknown(spark, rows, encode):
     terms = vocabulary.build_vocabulary(rows)
     ids = {r["term"]: r["term_id"] for r in terms.collect() if r["term"]}
     both = rows.withColumn("again", rows["tokens"])
-    encoded = vocabulary.encode_tokens(
-        both, terms, {"tokens": "ids", "again": "more"}, max_terms=max_terms
-    )
+    encoded = encode(both, terms, {"tokens": "ids", "again": "more"})
     assert encoded.schema["ids"].dataType.simpleString() == "array<int>"
     for row in encoded.collect():
         expected = [ids[t] for t in row["tokens"] if t in ids]
         assert row["ids"] == expected and row["more"] == expected
 
 
+@ENCODERS
+def test_encoding_needs_no_key(spark, encode):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (1, ["b"]), (None, ["a"]), (None, None), (2, ["?", ""])], "id int, tokens array<string>")
+    terms = spark.createDataFrame([("a", 1), ("b", 2), ("", 3)], "term string, term_id int")
+    got = encode(rows, terms, {"tokens": "ids"})
+    assert sorted((r["ids"] for r in got.collect())) == [[], [], [1], [1, 2], [2]]
+    assert got.columns == ["id", "tokens", "ids"]
+
+
+def test_a_dictionary_too_large_for_the_driver_is_refused(spark, rows):
+    terms = spark.createDataFrame([("a", 1), ("b", 2)], "term string, term_id int")
+    with pytest.raises(ValueError, match="encode_tokens_join"):
+        vocabulary.encode_tokens(rows, terms, {"tokens": "ids"}, most=1)
+
+
+def test_vocabulary_without_a_limit(rows):
+    assert _table(vocabulary.build_vocabulary(rows, min_documents=1, size=None)) == _brute(TEXTS, 1, 10**9)
+
+
 def test_both_encodings_agree_on_documents(spark, tiny):
     from checks.queries import _document_tokens
 
     documents = _document_tokens(spark, tiny)
     terms = vocabulary.build_vocabulary(documents)
     fields = {"tokens": "ids"}
-    near = vocabulary.encode_tokens(documents, terms, fields, "doc_id").select("doc_id", "ids")
-    far = vocabulary.encode_tokens(documents, terms, fields, "doc_id", max_terms=1)
+    near = vocabulary.encode_tokens(documents, terms, fields).select("doc_id", "ids")
+    far = vocabulary.encode_tokens_join(documents, terms, fields)
     assert near.exceptAll(far.select("doc_id", "ids")).count() == 0
 
 
