@@ -26,7 +26,9 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -151,22 +153,35 @@ class WordEncoder:
     def _learn(self, words: set[bytes]) -> None:
         if len(self._known) + len(words) > CACHE_WORDS:
             self._known.clear()
-        cut = {}
+        whole, cut = set(), []
         for word in words:
             core = word.rstrip(_TRAILING)
-            apart = core != word and core[-1:].isalnum()
-            cut[word] = (core, word[len(core) :]) if apart else (word,)
-        fresh = list({part for parts in cut.values() for part in parts if part not in self._known})
-        coded = self._tokenizer.encode_batch_fast([f.decode("utf-8", "replace") for f in fresh], add_special_tokens=False)
-        parts_of = {f: np.array(c.ids, "<u4").tobytes() for f, c in zip(fresh, coded)}
-        for word, parts in cut.items():
-            self._known[word] = b"".join([parts_of[p] if p in parts_of else self._known[p] for p in parts])
+            if core != word and core[-1:].isalnum():
+                cut.append(word)
+                whole.add(core)
+                whole.add(word[len(core) :])
+            else:
+                whole.add(word)
+        whole.difference_update(self._known)
+        # plain lower-case letters are one piece of the vocabulary's own splitting, so its model takes them as they are
+        plain = [w for w in whole if w.islower() and w.isalpha()]
+        other = list(whole.difference(plain))
+        tokenize = self._tokenizer.model.tokenize
+        made = {w: array("I", [t.id for t in tokenize(w.decode())]).tobytes() for w in plain}
+        coded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+        made.update((w, array("I", c.ids).tobytes()) for w, c in zip(other, coded))
+        self._known.update(made)
+        for word in cut:
+            core = word.rstrip(_TRAILING)
+            self._known[word] = self._known[core] + self._known[word[len(core) :]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         # a special token is spelled in lower case, so only texts without one are lowered here
         split = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        fresh = set().union(*split).difference(self._known)
+        fresh: set[bytes] = set()
+        for words in split:
+            fresh.update(filterfalse(self._known.__contains__, words))
         if fresh:
             if len(self._known) + len(fresh) > CACHE_WORDS:
                 fresh = set().union(*split)
