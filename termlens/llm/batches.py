@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts handled at once inside a batch, in bytes (one longer text is handled alone).
 PIECE_BYTES = 4 << 20
@@ -29,7 +30,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYT
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         begin = held = 0
         for row, length in enumerate(lengths):
             if held and held + length > most:

@@ -14,7 +14,7 @@ smallest hashes. Each sampled document is cut to its set of feature buckets, at
 ``BUCKETS``. Features that do not tell grades apart in the sample beyond chance get no weight, so
 that the many rare words of a long text cannot add up. Scoring looks at every word of every text.
 
-Defined results: a null or empty text has no words; its features are the empty shape. A label of
+Defined results: a null or empty text has no words; it has no features. A label of
 a null doc_id or a null quality is not used; a null toxic counts as 0. Rows that repeat a doc_id
 are each scored; labels that repeat are each used. Without any usable label, or with one grade
 only, fitting raises ValueError. Columns other than the named ones are not looked at.
@@ -56,7 +56,8 @@ def features(text: bytes) -> np.ndarray:
         b"again": sum([a == b for a, b in zip(raw, raw[1:])]),
         b"distinct": len(set(raw)),
     }
-    found.update(b"%s:%d" % (name, 8 * number // count) for name, number in shapes.items())
+    # a share in eighths counts as all smaller ones too, so near shares look alike
+    found.update(b"%s:%d" % (name, n) for name, number in shapes.items() for n in range(1, 8 * number // count + 1))
     return np.array(sorted({zlib.crc32(f) % BUCKETS for f in found}), np.int32)
 
 

@@ -27,8 +27,8 @@ def _corpus(chance, count):
 
 
 def test_features():
-    assert np.array_equal(Q.features("The the".encode()), Q.features("the THE the".encode())) is False
-    assert len(Q.features(b"")) == len(Q.features(b" \n")) == 5
+    assert len(Q.features(b"")) == len(Q.features(b" \n")) == 0
+    assert set(Q.features(b"a b c d")) < set(Q.features(b"a b c D#"))
     row = Q.features("Ein Wort, ein Wort".encode())
     assert np.array_equal(row, np.unique(row)) and row.max() < Q.BUCKETS
 
