@@ -46,8 +46,8 @@ from termlens.sources.workspace import materialize, new_folder, remove
 LENGTH = 50
 SEED = 24
 BATCHES = 4
-CHUNK_BYTES = 16 << 20
-BUCKET_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 #: Bytes hashed at once inside a chunk.
 PIECE = 1 << 20
 
