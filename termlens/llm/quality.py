@@ -17,7 +17,7 @@ that the many rare words of a long text cannot add up. Scoring looks at every wo
 Defined results: a null or empty text has no words; it has no features. A label of
 a null doc_id or a null quality is not used; a null toxic counts as 0. Rows that repeat a doc_id
 are each scored; labels that repeat are each used. Without any usable label, or with one grade
-only, fitting raises ValueError. Columns other than the named ones are not looked at.
+only, nothing can be told apart: nothing is rejected, and every tail is 1. Columns other than the named ones are not looked at.
 """
 
 from __future__ import annotations
@@ -77,14 +77,15 @@ class OrdinalModel:
         return np.array([self.weights[np.isin(self.buckets, row, assume_unique=True)].sum() for row in rows])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, penalty: float = 0.3, steps: int = 400) -> OrdinalModel:
-    """Penalised maximum likelihood of the cumulative logit model.
+def fit(
+    rows: list[np.ndarray], grades: np.ndarray, levels: int = 2, penalty: float = 0.3, steps: int = 400
+) -> OrdinalModel:
+    """Penalised maximum likelihood of the cumulative logit model of grades 0 to ``levels``.
 
     Thresholds are the first and the logarithms of the gaps to the next, so they stay in order.
     """
-    levels = int(grades.max(initial=0))
-    if len(rows) == 0 or len(np.unique(grades)) < 2:
-        raise ValueError("the labels must show at least two grades")
+    if len(np.unique(grades)) < 2:
+        return OrdinalModel(np.zeros(0, np.int32), np.zeros(0), np.full(levels, -1000.0))
     lengths = np.array([len(r) for r in rows])
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
     with_it = np.bincount(flat, minlength=BUCKETS)
