@@ -439,6 +439,7 @@ ORACLES: dict[str, str] = {
         "round(sqrt(avg((y - p) * (y - p))), 6) as rmse, round(avg(abs(y - p)), 6) as mae,"
         " round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) as r2"
     ),
+    "embedding_regression_optimum": f"select i::integer as index, 0.0::double as slope from range({4 * VECTOR_SIZE}) r(i)",
     "score_fields_additive": f"""with {_PAIRS}
         select id, 0.0::double as difference from pairs join documents on doc_id = product_uid""",
     "evaluation_report": f"""with {_ONE_FEATURE}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -505,6 +506,43 @@ def embedding_regression(spark: SparkSession, sf: str) -> DataFrame:
     return test.select("id", "relevance", "prediction")
 
 
+@query
+def embedding_regression_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """Slope of the penalised loss at the fitted weights, by weight: zero where the fit is right.
+
+    The loss is half the mean squared error plus half the penalty on the weights, each times
+    its feature's deviation, over the deviation of the label.
+    """
+    pooled = workspace.materialize(
+        _pooled_pairs(spark, sf).select("id", "relevance", "split", "features"), "pooled"
+    )
+    model = sequences.fit_pooled(pooled)
+    train = pooled.where((F.col("split") == "train") & F.col("relevance").isNotNull())
+    error = model.transform(train).withColumn("error", F.col("prediction") - F.col("relevance"))
+    weighted = F.transform(vector_to_array("features"), lambda x: x * F.col("error"))
+    sums = error.select(
+        Summarizer.mean(array_to_vector(weighted)).alias("slope"),
+        Summarizer.variance(F.col("features")).alias("variance"),
+        F.stddev_pop("relevance").alias("deviation"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    fitted = model.stages[-1]
+    weights = spark.createDataFrame(
+        [(i, float(w)) for i, w in enumerate(fitted.coefficients)], "index int, weight double"
+    )
+    by_weight = sums.select(
+        F.posexplode(F.arrays_zip(vector_to_array("slope").alias("slope"), vector_to_array("variance").alias("variance"))),
+        "deviation",
+        "n",
+    )
+    penalty = F.lit(models.POOLED_FIT.reg_param) / F.col("deviation")
+    spread = F.col("col.variance") * (F.col("n") - 1) / F.col("n")
+    slope = F.col("col.slope") + penalty * spread * F.col("weight")
+    return by_weight.join(weights, F.col("pos") == F.col("index")).select(
+        "index", (F.round(slope, 6) + F.lit(0.0)).alias("slope")
+    )
+
+
 # --- vectors ----------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/termlens/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/termlens/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -42,6 +45,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove_stored(spark: SparkSession) -> None:
+    """Delete every table that this process has stored, once the results that read them are written."""
+    while _made:
+        remove(spark, _made.pop())
+
+
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as parquet and read it back: short lineage, kept when
     executors are lost, and its size is known to the planner."""

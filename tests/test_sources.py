@@ -55,5 +55,15 @@ def test_stored_tables_lie_in_the_shared_folder(spark):
     assert stored.inputFiles()[0].startswith(f"file://{shared}/termlens/x-")
 
 
+def test_stored_tables_can_be_removed(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(workspace, "_made", [])
+    folder = workspace.materialize(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(folder)
+    workspace.remove_stored(spark)
+    assert not os.path.exists(folder) and not workspace._made
+
+
 def test_preview_is_ordered(spark):
     assert [r[0] for r in writers.preview(spark.range(100).repartition(3), "id", n=3).collect()] == [0, 1, 2]
