@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks.queries import ONE_FEATURE_LAMBDA, VECTOR_SIZE
+from termlens.functions import stems
 from termlens.functions.stopwords import ENGLISH
 
 _STOP_LIST = ", ".join("'" + word.replace("'", "''") + "'" for word in ENGLISH)
@@ -238,7 +239,78 @@ pooled as (
   from per_entry join lengths using (id, field) group by id, field)
 """
 
+def _stems(source: str) -> str:
+    """stems(term, stem) of the distinct terms of ``source``, step by step as published."""
+    shape = "regexp_replace(regexp_replace(w, '[^aeiouy]', 'c', 'g'), '[aeiou]', 'v', 'g')"
+    for _ in range(stems.Y_PAIRS):
+        shape = rf"regexp_replace(regexp_replace({shape}, 'cy', 'cv', 'g'), '(^|v)y', '\1c', 'g')"
+    shape = f"replace({shape}, 'y', 'c')"
+
+    def cut(text: str, count: int) -> str:
+        return f"left({text}, length({text}) - {count})"
+
+    def measure(text: str) -> str:
+        return f"(length({text}) - length(replace({text}, 'vc', ''))) // 2"
+
+    def ends(text: str, *suffixes: str) -> str:
+        return "(" + " or ".join(f"suffix({text}, '{s}')" for s in suffixes) + ")"
+
+    def short(text: str, marks: str) -> str:
+        return f"(({ends(marks, 'cvc')} and not {ends(text, 'w', 'x', 'y')}) or {marks} = 'vc')"
+
+    def repaired(text: str, marks: str) -> str:
+        return f"""case when {ends(text, 'at', 'bl', 'iz')} then {text} || 'e'
+          when length({text}) > 1 and right({text}, 1) = left(right({text}, 2), 1) and {ends(marks, 'c')}
+            then case when {ends(text, 'l', 's', 'z')} then {text} else {cut(text, 1)} end
+          when {measure(marks)} = 1 and {short(text, marks)} then {text} || 'e' else {text} end"""
+
+    def swap(table) -> str:
+        return " ".join(
+            f"when {ends('w', s)} then case when {measure(cut('s', len(s)))} > 0 then {cut('w', len(s))} || '{r}' else w end"
+            for s, r in table
+        )
+
+    def past(suffix: str) -> str:
+        n = len(suffix)
+        return f"when {ends('w', suffix)} then case when contains({cut('s', n)}, 'v') then {repaired(cut('w', n), cut('s', n))} else w end"
+
+    ie = f"then case when length(w) = 4 then {cut('w', 1)} else {cut('w', 2)} end"
+    endings = " ".join(
+        f"when {ends('w', s)}" + (f" and {ends(cut('w', 3), 's', 't')}" if s == "ion" else "")
+        + f" then case when {measure(cut('s', len(s)))} > 1 then {cut('w', len(s))} else w end"
+        for s in stems.ENDINGS
+    )
+    one_less = cut("s", 1)
+    steps = [
+        f"when {ends('w', 'sses')} then {cut('w', 2)} when {ends('w', 'ies')} {ie} when {ends('w', 's')} and not {ends('w', 'ss')} then {cut('w', 1)}",
+        f"when {ends('w', 'ied')} {ie} when {ends('w', 'eed')} then case when {measure(cut('s', 3))} > 0 then {cut('w', 1)} else w end {past('ed')} {past('ing')}",
+        f"when {ends('w', 'y')} and length(w) > 2 and left(right(s, 2), 1) = 'c' then {cut('w', 1)} || 'i'",
+        f"when {ends('w', 'alli')} and {measure(cut('s', 4))} > 0 then {cut('w', 2)}",
+        f"when {ends('w', 'logi')} then case when {measure(cut('s', 3))} > 0 then {cut('w', 1)} else w end {swap(stems.DERIVED)}",
+        swap(stems.RELATED),
+        endings,
+        f"when {ends('w', 'e')} and ({measure(one_less)} > 1 or ({measure(one_less)} = 1 and not {short(cut('w', 1), one_less)})) then {cut('w', 1)}",
+        f"when {ends('w', 'll')} and {measure(one_less)} > 1 then {cut('w', 1)}",
+    ]
+    parts = [f"step0 as (select distinct term, lower(term) as w from {source})"]
+    for number, step in enumerate(steps, 1):
+        parts.append(f"shape{number} as materialized (select term, w, {shape} as s from step{number - 1})")
+        parts.append(f"step{number} as materialized (select term, case {step} else w end as w from shape{number})")
+    irregular = " ".join(f"when lower(term) = '{w}' then '{s}'" for w, s in stems.IRREGULAR.items())
+    parts.append(
+        f"stems as (select term, case when length(term) <= 2 then lower(term) {irregular} else w end as stem from step{len(steps)})"
+    )
+    return ", ".join(parts)
+
+
+_STEMMED = f"""{_DOCUMENT_TOKENS},
+tokens_of as (select doc_id, unnest(tokens) as term, generate_subscripts(tokens, 1) as pos from docs), {_stems('tokens_of')}"""
+
 ORACLES: dict[str, str] = {
+    "stem_terms": f"with {_STEMMED} select term, stem from stems",
+    "stem_tokens": f"""with {_STEMMED},
+        joined as (select doc_id, string_agg(stem, '|' order by pos) as stems from tokens_of join stems using (term) group by doc_id)
+        select doc_id, coalesce(joined.stems, '') as stems from documents left join joined using (doc_id)""",
     "replace_digits": "select doc_id, regexp_replace(text, '[0-9]+', '#', 'g') as text from documents",
     "remove_punctuation": (
         "select doc_id, regexp_replace(text, '[^a-zA-Z# ]', '', 'g') as text from documents"

@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlens.functions.porter import stem
+from termlens.functions.stems import stem
+from termlens.operators.joins import join_by_content, join_unique
+from termlens.sources.workspace import materialize
 
 
 def stem_terms(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """term, stem over the distinct terms of all rows."""
-
-    @F.pandas_udf("string")
-    def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for terms in batches:
-            yield terms.map(stem)
-
     terms = rows.select(F.explode(F.array_distinct(tokens)).alias("term")).distinct()
-    return terms.withColumn("stem", stems("term"))
+    return terms.withColumn("stem", stem("term"))
 
 
 def stem_tokens(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Add a stemmed copy of token columns; the distinct terms of each batch are
-    stemmed where the rows are, so nothing is shuffled."""
-
-    @F.arrow_udf("array<string>")
-    def stemmed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for tokens in batches:
-            coded = tokens.flatten().dictionary_encode()
-            stems = pa.array([stem(term) for term in coded.dictionary.to_pylist()], pa.string())
-            ends = pc.cumulative_sum(pc.list_value_length(tokens).fill_null(0).cast(pa.int32()))
-            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-            yield pa.ListArray.from_arrays(offsets, stems.take(coded.indices))
-
-    return rows.withColumns({new: stemmed(F.col(old)) for old, new in fields.items()})
+    """Add a stemmed copy of token columns, by a join to the stems of the distinct terms."""
+
+    def stemmed(arrays: DataFrame) -> DataFrame:
+        stems = materialize(stem_terms(arrays, "values"), "stems")
+        tokens = arrays.select("content", F.posexplode("values").alias("pos", "term"))
+        matched = join_unique(tokens, stems, "term", spread="content")
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda e: e["stem"])
+        made = matched.groupBy("content").agg(in_order.alias("result"))
+        empty = F.array().cast("array<string>")
+        return arrays.select("content").join(made, "content", "left").withColumn(
+            "result", F.coalesce("result", empty)
+        )
+
+    return join_by_content(rows, fields, stemmed)

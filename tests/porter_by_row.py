@@ -1,7 +1,4 @@
-"""Porter (1980) stemming with the common later amendments.
-
-A small per-term helper; the jobs in ``operators.stems`` decide where it runs.
-"""
+"""Porter (1980) stemming of one word in plain Python: what the native expressions are tested against."""
 
 from __future__ import annotations
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import pytest
 
-from termlens.functions.porter import stem
+from porter_by_row import stem
+
+from termlens.functions import stems as native
 from termlens.operators import stems
 
 # Words and stems, from the published description of the algorithm
@@ -31,6 +33,21 @@ def test_published_stems(word):
     assert stem(word) == STEMS[word]
 
 
+def test_native_stems_equal_those_by_row(spark):
+    import itertools
+    import random
+
+    chance = random.Random(8)
+    starts = ["", "b", "y", "tr", "hop", "rel", "yyb", "sky", "oper", "fall", "agr", "controll", "biz", "tax", "éa", "#x", "ay"]
+    middles = ["", "a", "e", "ss", "ll", "at", "bl", "iz", "y", "eed", "tt"]
+    ends = [s for s, _ in native.DERIVED + native.RELATED] + list(native.ENDINGS) + ["s", "ies", "sses", "ied", "eed", "ed", "ing", "y", "logi", "e", "ll", ""]
+    words = {"".join(p) for p in itertools.product(starts, middles, ends)} | set(STEMS) | set(native.IRREGULAR)
+    words |= {"".join(chance.choices("aeiouystlbn", k=chance.randrange(1, 9))) for _ in range(3000)}
+    frame = spark.createDataFrame([(w,) for w in sorted(words)], "term string").repartition(8)
+    got = {r["term"]: r["stem"] for r in frame.withColumn("stem", native.stem("term")).collect()}
+    assert {w: s for w, s in got.items() if s != stem(w)} == {} and len(got) == len(words)
+
+
 def test_jobs_stem_every_term(spark):
     tokens = spark.createDataFrame(
         [(1, ["cats", "hopping", "cats"]), (2, []), (3, ["", "happy"])], "id int, tokens array<string>"
