@@ -20,8 +20,8 @@ first document, to buckets by seed. There all strings of 50 bytes are compared w
 other: by hash, then byte by byte. What comes back is, for each sent string, at which places an earlier
 document has the same 50 bytes.
 
-Equal texts are one text with their first doc_id before all this, combined before the shuffle, so groups
-of copies of any size cost one row per task; the same holds for lines and passages, of which a
+Equal texts are one text with their first doc_id before all this, combined before the shuffle, so a group
+of copies of any size sends its text once per task; the same holds for lines and passages, of which a
 chunk sends one. Chunks are a stored, bucketed table, so seeds and matches travel to the
 texts, not the texts to them.
 
@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termlens.llm.batches import binary_column, pieces
 from termlens.llm.components import join_spread
 from termlens.sources.workspace import materialize, new_folder, remove
 
@@ -438,31 +439,53 @@ def cut_texts(texts: DataFrame, told: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------- the operator
 
 
-def stored_chunks(documents: DataFrame, batches: int, chunk_bytes: int) -> tuple[str, int, int]:
-    """Distinct texts with their first doc_id, as a table bucketed by chunk: table, chunks a batch, bytes."""
+def _first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text travels once per task, with its md5; its copies send the md5 and, where smaller, their doc_id."""
+    smallest: dict[bytes, int] = {}
+    for piece in pieces(batches, "text"):
+        names, firsts, texts = [], [], []
+        for doc, text in zip(piece.column("doc_id").to_pylist(), binary_column(piece, "text")):
+            name, doc = hashlib.md5(text).digest(), _LAST if doc is None else doc
+            known = smallest.get(name)
+            if known is None or doc < known:
+                smallest[name] = doc
+                names.append(name.hex())
+                firsts.append(doc)
+                texts.append(text if known is None else None)
+        columns = [pa.array(names, pa.string()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["name", "first", "text"])
+
+
+def stored_chunks(documents: DataFrame, batches: int, chunk_bytes: int) -> tuple[str, int]:
+    """Distinct texts (batch, chunk, first, name, text) as a table bucketed by chunk; their bytes before that."""
     spark = documents.sparkSession
     size, *bounds = documents.agg(
         F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [n / batches for n in range(1, batches)], 10_000)
     ).first()
     size, bounds = size or 0, sorted(set(bounds[0] or []))
-    chunks = max(1, -(-size // (chunk_bytes * batches)))
-    distinct = documents.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("first"))
+    chunks = max(1, -(-size // chunk_bytes))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+        _first_in_task, "name string, first bigint, text binary"
+    )
+    chunk = F.pmod(F.xxhash64("name"), F.lit(chunks)).cast("int")
+    # one exchange: the grouping and the buckets both follow the chunk
+    dealt = sent.withColumn("chunk", chunk).repartition(parts, "chunk")
+    distinct = dealt.groupBy("chunk", "name").agg(F.min("first").alias("first"), F.max("text").alias("text"))
     batch = F.lit(0)
     for bound in bounds:
         batch = batch + (F.col("first") > bound).cast("int")
-    chunk = (batch * F.lit(chunks) + F.pmod(F.xxhash64("text"), F.lit(chunks)).cast("int")).alias("chunk")
-    rows = distinct.select(batch.alias("batch"), chunk, "first", F.md5(F.col("text").cast("binary")).alias("name"), F.col("text").cast("binary").alias("text"))
     name = f"termlens_chunks_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(parts, "chunk").write.bucketBy(parts, "chunk").option("path", new_folder(spark, "chunks")).saveAsTable(name)
-    return name, chunks, size
+    rows = distinct.select(batch.alias("batch"), "chunk", "first", "name", "text")
+    rows.write.bucketBy(parts, "chunk").option("path", new_folder(spark, "chunks")).saveAsTable(name)
+    return name, size
 
 
 def duplicated_spans(documents: DataFrame, batches: int = BATCHES, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (removed bytes [begin, end)), kept_sha256 of documents (doc_id, text)."""
     spark: SparkSession = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    name, chunks, size = stored_chunks(source, batches, chunk_bytes)
+    name, size = stored_chunks(source, batches, chunk_bytes)
     texts = spark.table(name)
     buckets = max(1, -(-size // bucket_bytes))
     levels: dict[int, str] = {}
