@@ -230,9 +230,16 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE, most_bits: int =
 
 
 def one_of_each_group(documents: DataFrame, width: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """The document with the smallest doc_id of each group, with all its columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row")
-    found = _grouped(documents.select("doc_id", "text", row), ["doc_id", "__row"], width, most_bits)
+    """The document with the smallest doc_id of each group, with all its columns.
+
+    Groups are found on ids and hashes alone; the texts are shuffled once, to meet the list of rows to
+    keep. Rows that agree in doc_id and text are one row, whatever their other columns hold.
+    """
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null"))
+    key = [name.alias("__name"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("__text_md5")]
+    narrow = documents.select("doc_id", "text", *key)
+    found = _grouped(narrow, ["doc_id", "__name", "__text_md5"], width, most_bits)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # rows that repeat the smallest doc_id, or lack one, fall together here
-    return first.dropDuplicates(["__group"]).select("__row.*")
+    kept = first.groupBy("__group").agg(F.min(F.struct("__name", "__text_md5")).alias("__kept")).select("__kept.*")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), *key)
+    return rows.join(kept, ["__name", "__text_md5"]).dropDuplicates(["__name", "__text_md5"]).select("__row.*")
