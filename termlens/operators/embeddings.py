@@ -102,7 +102,7 @@ def pool_sequences_join(
 def _spread(pooled: DataFrame, fields: dict[str, str]) -> DataFrame:
     return pooled.withColumns(
         {
-            f"{name}_{kind}": F.col(f"{name}_pool")[kind]
+            f"{name}_{kind}": F.col(f"{name}_pool")[kind].cast("array<double>")
             for name in fields.values()
             for kind in ("mean", "max")
         }
@@ -118,7 +118,7 @@ def _pool_in_place(
     flat = matrix.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     table[ids] = flat.reshape(len(ids), dimensions)
 
-    @F.arrow_udf("struct<mean: array<double>, max: array<double>>")
+    @F.arrow_udf("struct<mean: array<double>, max: array<float>>")
     def pool(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for sequences in batches:
             means, maxima = _pooled(sequences, table)
@@ -146,7 +146,8 @@ def _pooled(sequences: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     tokens = np.where((tokens < 0) | (tokens >= len(table)), len(table) - 1, tokens)
     counts = np.bincount(owner, minlength=len(lengths))
     means = np.zeros((len(lengths), table.shape[1]))
-    maxima = np.zeros_like(means)
+    # a maximum is one of the vectors' own floats, so it is sent as one
+    maxima = np.zeros(means.shape, np.float32)
     filled = np.flatnonzero(counts)
     starts = np.concatenate(([0], np.cumsum(counts[filled])))
     first = 0
@@ -155,10 +156,10 @@ def _pooled(sequences: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndar
         last = int(np.searchsorted(starts, starts[first] + _TOKENS_AT_ONCE, side="right")) - 1
         last = min(max(last, first + 1), len(filled))
         part = slice(first, last)
-        gathered = table[tokens[starts[first] : starts[last]]].astype(np.float64)
+        gathered = table[tokens[starts[first] : starts[last]]]
         cuts = starts[part] - starts[first]
         rows = filled[part]
-        means[rows] = np.add.reduceat(gathered, cuts, axis=0) / counts[rows, None]
+        means[rows] = np.add.reduceat(gathered.astype(np.float64), cuts, axis=0) / counts[rows, None]
         maxima[rows] = np.maximum.reduceat(gathered, cuts, axis=0)
         first = last
     return means, maxima
