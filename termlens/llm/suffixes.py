@@ -52,6 +52,7 @@ BUCKET_BYTES = 6 << 20
 #: Bytes hashed at once inside a chunk.
 PIECE = 1 << 20
 
+_TABLE = "termlens_chunks_"
 _BASE = 0x9E3779B97F4A7C15
 _LAST = np.iinfo(np.int64).max
 _REACH = LENGTH - SEED
@@ -475,12 +476,18 @@ def stored_chunks(documents: DataFrame, batches: int, chunk_bytes: int) -> tuple
     batch = F.lit(0)
     for bound in bounds:
         batch = batch + (F.col("first") > bound).cast("int")
-    name = f"termlens_chunks_{uuid.uuid4().hex}"
+    name = f"{_TABLE}{uuid.uuid4().hex}"
     rows = distinct.select(batch.alias("batch"), "chunk", "first", "name", "text")
     rows.write.bucketBy(parts, "chunk").option("path", new_folder(spark, "chunks")).saveAsTable(name)
     return name, size
 
 
+def drop_chunks(spark: SparkSession) -> None:
+    """Take the bucketed tables of earlier calls out of the catalog, once their results are written."""
+    for table in spark.catalog.listTables(pattern=f"{_TABLE}*"):
+        spark.sql(f"DROP TABLE {table.name}")
+
+
 def duplicated_spans(documents: DataFrame, batches: int = BATCHES, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (removed bytes [begin, end)), kept_sha256 of documents (doc_id, text)."""
     spark: SparkSession = documents.sparkSession

@@ -81,6 +81,8 @@ def test_equals_brute_force(spark, sizes):
 
 def test_empty_table(spark):
     assert X.duplicated_spans(spark.createDataFrame([], DOCS)).count() == 0
+    X.drop_chunks(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("termlens_chunks_")]
 
 
 def test_same_hash_of_different_strings(monkeypatch):
