@@ -7,7 +7,7 @@ against brute force, round trips and held-out accuracy.
 
 from __future__ import annotations
 
-from termlens.llm import decontaminate, lines, mixing
+from termlens.llm import decontaminate, lines, mixing, suffixes
 
 _OP1 = rf"""
 WITH bare AS (
@@ -29,6 +29,35 @@ SELECT page_id, host, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT
 FROM k
 """
 
+_OP2 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {2**63 - 1}) AS doc, hex(encode(coalesce(text, ''))) AS h
+  FROM documents
+), blocks AS (
+  SELECT r, doc, start, substr(h, 2 * start + 1, 2 * (128 + {suffixes.LENGTH} - 1)) AS part
+  FROM (SELECT r, doc, h, unnest(range(0, length(h) // 2, 128)) AS start FROM d)
+), p AS (
+  SELECT r, doc, start + off AS place, md5_number(substr(part, 2 * off + 1, {2 * suffixes.LENGTH})) AS s
+  FROM (SELECT r, doc, start, part, unnest(range(0, length(part) // 2 - {suffixes.LENGTH} + 1)) AS off FROM blocks)
+), f AS (SELECT s, min(doc) AS first FROM p GROUP BY s),
+hit AS (SELECT r, place FROM p JOIN f USING (s) WHERE doc > first),
+marked AS (
+  SELECT r, place, coalesce(place > lag(place) OVER (PARTITION BY r ORDER BY place) + {suffixes.LENGTH}, true) AS opens FROM hit
+), runs AS (SELECT r, place, sum(opens::INT) OVER (PARTITION BY r ORDER BY place) AS run FROM marked),
+spans AS (SELECT r, min(place) AS b, max(place) + {suffixes.LENGTH} AS e FROM runs GROUP BY r, run),
+edges AS (
+  SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS kept_from FROM spans
+), kept AS (
+  SELECT r, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS tail,
+    string_agg(substr(h, 2 * kept_from + 1, 2 * (b - kept_from)), '' ORDER BY b) AS head
+  FROM edges JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 _OP9 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
@@ -83,6 +112,7 @@ FROM (SELECT doc_id, source, text, unnest(range(1, n + 1)) AS copy FROM drawn JO
 
 ORACLES = {
     "op1_line_dedup": _OP1,
+    "op2_suffix_dedup": _OP2,
     "op9_decontaminate": _OP9,
     "op10_mixing": _OP10,
 }
