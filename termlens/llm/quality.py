@@ -168,7 +168,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Ordina
 
 
 def scored(documents: DataFrame, model: OrdinalModel, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns ``keep``), expected_grade, tail (P(grade > j) for each j), good.
+    """doc_id (or the columns ``keep``), expected_grade, tail (P(grade > j) for each j), keep.
 
     The model has at most ``BUCKETS`` weights; it travels with the tasks.
     """
@@ -189,11 +189,11 @@ def scored(documents: DataFrame, model: OrdinalModel, keep: list[str] | None = N
             yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names[:-1], "expected_grade", "tail"])
 
     rated = source.mapInArrow(rate, f"{fields}, expected_grade double, tail array<double>")
-    return rated.withColumn("good", F.get("tail", F.lit(KEEP_ABOVE)) >= KEEP)
+    return rated.withColumn("keep", F.get("tail", F.lit(KEEP_ABOVE)) >= KEEP)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """The documents that the model does not reject, with all their columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row")
     model = train(documents, labels, most)
-    return scored(documents.select(row, "text"), model, ["__row"]).where("good").select("__row.*")
+    return scored(documents.select(row, "text"), model, ["__row"]).where("keep").select("__row.*")

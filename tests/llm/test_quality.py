@@ -6,7 +6,7 @@ import numpy as np
 
 from termlens.llm import quality as Q
 
-DOCS = "doc_id bigint, text string, tail string, good string"
+DOCS = "doc_id bigint, text string, tail string, keep string"
 LABELS = "doc_id bigint, quality int, toxic int, text string"
 
 
@@ -42,11 +42,11 @@ def test_held_out_accuracy_and_all_rows(spark):
     got = Q.scored(docs, model).collect()
     assert len(got) == len(rows) and all(0 <= r.expected_grade <= 2 and r.tail[0] >= r.tail[1] for r in got)
     truth = {r[0]: r[1] == 1 and r[2] == 0 for r in labels}
-    later = [(r.good, truth[r.doc_id]) for r in got if r.doc_id is not None and 700 <= r.doc_id < 1200]
+    later = [(r.keep, truth[r.doc_id]) for r in got if r.doc_id is not None and 700 <= r.doc_id < 1200]
     assert np.mean([g for g, t in later if t]) > 0.98 and np.mean([not g for g, t in later if not t]) > 0.98
     kept = Q.keep_good(docs, spark.createDataFrame(known, LABELS))
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.good)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.keep)
     assert Q.scored(docs.limit(0), model).count() == 0
 
 
