@@ -31,6 +31,7 @@ repeat a doc_id do not shorten each other. Texts below 50 bytes stay. Other colu
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -482,6 +483,12 @@ def stored_chunks(documents: DataFrame, batches: int, chunk_bytes: int) -> tuple
     return name, size
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps deleted: the context cleaner does it when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_chunks(spark: SparkSession) -> None:
     """Take the bucketed tables of earlier calls out of the catalog, once their results are written."""
     for table in spark.catalog.listTables(pattern=f"{_TABLE}*"):
@@ -494,10 +501,12 @@ def duplicated_spans(documents: DataFrame, batches: int = BATCHES, chunk_bytes:
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     name, size = stored_chunks(source, batches, chunk_bytes)
     texts = spark.table(name)
+    release_shuffles(spark)
     buckets = max(1, -(-size // bucket_bytes))
     levels: dict[int, str] = {}
     reports = None
     steps: list[str] = []
+    every: list[str] = []
     for number in range(1, batches + 1):
         arrays = chunk_arrays(texts.where(F.col("batch") == number - 1), buckets)
         found, levels, path = add_batch(arrays, levels, number)
@@ -506,8 +515,14 @@ def duplicated_spans(documents: DataFrame, batches: int = BATCHES, chunk_bytes:
             steps.remove(old)
         steps.append(path)
         reports = found if reports is None else reports.unionByName(found)
+        every.append(path)
+        release_shuffles(spark)
     texts = texts.drop("batch")
     reports = materialize(reports, "reports")
+    # this call's index has done its work
+    for path in every:
+        remove(spark, path)
+    release_shuffles(spark)
     answers = answer(send_strings(texts, reports, buckets))
     empty = F.lit(None).cast("binary")
     told = reports.select("chunk", "keys", empty.alias("numbers"), empty.alias("masks")).unionByName(
