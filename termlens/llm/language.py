@@ -8,9 +8,10 @@ a logistic function of the margin to the second language, scaled by the root of
 is calibrated on training texts, and a score below ``REJECT`` marks the text as rejected.
 
 Counting covers every letter of every training text: tasks count, and Spark adds the counts by
-language and 4-gram. A 4-gram is then named by a hash of ``HASH_BITS`` bits; 4-grams that share one are
-counted as one, under the smallest of them, so the model has at most 2**HASH_BITS rows of one number per language whatever
-the corpus. It is stored as hash arrays in ascending order, which travel to the tasks.
+language and 4-gram, which is named by its own 64 bits. While 4-grams times languages stay within ``SENT``, the model is
+arrays in the order of a hash, which travel to the tasks; 4-grams of one hash stand side by side and are told apart by
+their bits. A larger model stays in stored tables (``TableModels``): its lower orders are counted in Spark, and the texts meet
+the distinct 4-grams of their piece by joins. Both forms give the same results.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0. A document with a
 null lang or text, or a null doc_id, is not learned from; a null doc_id counts as held out. With no
@@ -20,18 +21,23 @@ language that is first by name. Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlens.llm.batches import pieces, worker_state
+from termlens.sources.workspace import materialize
 
 ORDER = 4
+#: Least bits of the hash that the arrays are looked up by; more 4-grams take more.
 HASH_BITS = 21
+#: Largest model, in 4-grams times languages, that is fitted on the driver and sent to the tasks.
+SENT = 4_000_000
 #: Training texts on which scores are calibrated: those whose doc_ids have the smallest hashes.
 CALIBRATION = 4_000
 REJECT = 0.5
@@ -69,10 +75,14 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed, owner
 
 
-def hashed(packed: np.ndarray) -> np.ndarray:
+def hashed(packed: np.ndarray, bits: int = HASH_BITS) -> np.ndarray:
     mixed = (packed ^ (packed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return (mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bits(rows: int) -> int:
+    return max(HASH_BITS, rows.bit_length() + 1)
 
 
 def _suffix(packed: np.ndarray, order: int) -> np.ndarray:
@@ -97,10 +107,23 @@ class CharacterModels:
     logistic: tuple[float, float] = (0.0, 1.0)
 
     def index(self) -> np.ndarray:
-        """Row of the top level for each hash, -1 where there is none."""
-        rows = np.full(1 << HASH_BITS, -1, np.int32)
-        rows[self.hashes] = np.arange(len(self.hashes))
-        return rows
+        """First row of the top level for each hash; its rows end where those of the next hash begin."""
+        counts = np.bincount(self.hashes, minlength=1 << _bits(len(self.hashes)))
+        return np.r_[0, np.cumsum(counts)].astype(np.int32)
+
+    def _rows(self, packed: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Row of the top level for each 4-gram, -1 where it has none."""
+        places, keys = hashed(packed, _bits(len(self.hashes))), self.levels[-1].keys
+        rows, ends = index[places], index[places + 1]
+        found = np.full(len(packed), -1, np.int32)
+        left = np.flatnonzero(rows < ends)
+        while len(left):
+            same = keys[rows[left]] == packed[left]
+            found[left[same]] = rows[left[same]]
+            left = left[~same]
+            rows[left] += 1
+            left = left[rows[left] < ends[left]]
+        return found
 
     def _lower(self, packed: np.ndarray, order: int) -> np.ndarray:
         """Log probabilities under the orders up to ``order``, for n-grams by their own letters."""
@@ -127,32 +150,78 @@ class CharacterModels:
     def entropies(self, texts: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character for text and language, and the characters of each text."""
         packed, owner = grams(texts)
-        rows = index[hashed(packed)]
-        # a row stands for one 4-gram; others of the same hash are left to the orders below
-        missing = np.flatnonzero((rows < 0) | (self.levels[-1].keys[rows] != packed))
-        sums = np.zeros((len(texts), len(self.languages)))
+        rows = self._rows(packed, index)
+        missing = np.flatnonzero(rows < 0)
         chances = self.levels[-1].chances[rows]
         if len(missing):
             chances[missing] = self._back_off(packed[missing], ORDER)
-        for number in range(len(self.languages)):
-            sums[:, number] = np.bincount(owner, chances[:, number], len(texts))
-        lengths = np.bincount(owner, minlength=len(texts))
-        return -sums / np.maximum(lengths, 1)[:, None], lengths
+        return _means(chances, owner, len(texts))
 
     def predict(self, texts: list[str | None], index: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and calibrated margin of each text."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         entropy, lengths = self.entropies([t or "" for t in texts], index)
-        best = entropy.argmin(axis=1)
-        lowest = entropy[np.arange(len(texts)), best]
-        entropy[np.arange(len(texts)), best] = np.inf
-        margin = (entropy.min(axis=1) - lowest) * np.sqrt(lengths) if len(self.languages) > 1 else np.full(len(texts), 10.0)
-        margin = np.where(lengths > 0, margin, 0.0)
-        offset, slope = self.logistic
-        score = np.where(lengths > 0, 1 / (1 + np.exp(-np.clip(offset + slope * margin, -50, 50))), 0.0)
-        names = [self.languages[b] if n else UNKNOWN for b, n in zip(best, lengths)]
-        return names, score, margin
+        return _judged(self.languages, self.logistic, entropy, lengths)
+
+
+@dataclass
+class TableModels:
+    """Models too large to send: the orders 1 to 4 as stored tables.
+
+    ``grams`` hold gram and its counts by language (an array), ``contexts`` gram and the total and the types of what follows it.
+    """
+
+    languages: list[str]
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    discounts: list[list[float]]
+    letters: list[float]
+    logistic: tuple[float, float] = (0.0, 1.0)
+
+    def chances(self, queries: DataFrame, order: int = ORDER) -> DataFrame:
+        """gram and its log probabilities by language, for the distinct n-grams ``gram`` of ``queries``.
+
+        A join key has at most 2**16 rows: the letters before or after it.
+        """
+        return self._chances(queries, order).select("gram", F.transform("p", lambda p: F.log(p).cast("float")).alias("chances"))
+
+    def _chances(self, queries: DataFrame, order: int) -> DataFrame:
+        wanted = queries.select("gram", _shorter(order - 1).alias("short"), F.shiftrightunsigned("gram", 16).alias("context"))
+        joined = wanted.join(self.grams[order - 1], "gram", "left")
+        joined = joined.join(self.contexts[order - 1].withColumnRenamed("gram", "context"), "context", "left")
+        if order > 1:
+            lower = self._chances(wanted.select(F.col("short").alias("gram")).distinct(), order - 1)
+            joined = joined.join(lower.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short")
+        entries = []
+        for number, discount in enumerate(self.discounts[order - 1]):
+            held, total, types = (F.coalesce(F.col(c)[number], F.lit(0.0)) for c in ("held", "total", "types"))
+            uniform = F.when(F.col("held").isNull(), 1 / 65_536.0).otherwise(1 / (self.letters[number] + 1))
+            base = F.col("below")[number] if order > 1 else uniform
+            known = F.greatest(held - discount, F.lit(0.0)) / total + discount * types / total * base
+            entries.append(F.when(total > 0, known).otherwise(base))
+        return joined.select("gram", F.array(*entries).alias("p"))
+
+
+def _means(chances: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    sums = np.zeros((texts, chances.shape[1]))
+    for number in range(chances.shape[1]):
+        sums[:, number] = np.bincount(owner, chances[:, number], texts)
+    lengths = np.bincount(owner, minlength=texts)
+    return -sums / np.maximum(lengths, 1)[:, None], lengths
+
+
+def _judged(languages: list[str], logistic: tuple[float, float], entropy: np.ndarray, lengths: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and calibrated margin from the cross-entropies by text and language."""
+    texts = np.arange(len(lengths))
+    best = entropy.argmin(axis=1)
+    lowest = entropy[texts, best]
+    entropy[texts, best] = np.inf
+    margin = (entropy.min(axis=1) - lowest) * np.sqrt(lengths) if len(languages) > 1 else np.full(len(texts), 10.0)
+    margin = np.where(lengths > 0, margin, 0.0)
+    offset, slope = logistic
+    score = np.where(lengths > 0, 1 / (1 + np.exp(-np.clip(offset + slope * margin, -50, 50))), 0.0)
+    return [languages[b] if n else UNKNOWN for b, n in zip(best, lengths)], score, margin
 
 
 def _discount(counts: np.ndarray) -> np.ndarray:
@@ -216,29 +285,55 @@ def count_grams(documents: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("count").alias("count"))
 
 
-def train(documents: DataFrame, calibration: int = CALIBRATION) -> CharacterModels:
-    """Models of all languages of ``documents`` (doc_id, lang, text)."""
+def _shorter(order: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << (16 * order)) - 1))
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = hashed(batch.column("gram").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places)], names=[*batch.schema.names, "place"])
 
-    counted = count_grams(documents).mapInArrow(names, "lang string, gram bigint, count bigint, place bigint")
-    # at most 2**HASH_BITS rows a language
-    table = counted.groupBy("lang", "place").agg(F.sum("count").alias("count"), F.min("gram").alias("gram")).toArrow()
-    languages = sorted(set(table.column("lang").to_pylist()))
-    if not languages:
-        return CharacterModels([])
-    place, gram = table.column("place").to_numpy(), table.column("gram").to_numpy()
-    hashes, row = np.unique(place, return_inverse=True)
-    stands = np.full(len(hashes), np.iinfo(np.int64).max)
-    np.minimum.at(stands, row, gram)
+def _array_model(counted: DataFrame, languages: list[str]) -> CharacterModels:
+    table = counted.toArrow()
+    packed, row = np.unique(table.column("gram").to_numpy().view(np.uint64), return_inverse=True)
+    places = hashed(packed, _bits(len(packed)))
+    order = np.argsort(places, kind="stable")
     lang = np.searchsorted(languages, np.array(table.column("lang").to_pylist()))
-    counts = np.zeros((len(hashes), len(languages)))
+    counts = np.zeros((len(packed), len(languages)))
     counts[row, lang] = table.column("count").to_numpy()
-    levels = kneser_ney(stands.view(np.uint64), counts)
-    model = CharacterModels(languages, hashes, levels)
+    return CharacterModels(languages, places[order], kneser_ney(packed[order], counts[order]))
+
+
+def _table_model(counted: DataFrame, languages: list[str]) -> TableModels:
+    """The levels of ``kneser_ney`` as stored tables; every order is counted in Spark."""
+    size = range(len(languages))
+
+    def added(value: Callable[[int], Column]) -> Column:
+        return F.array(*[F.sum(value(n)).cast("double") for n in size])
+
+    def any_of(n: int) -> Column:
+        return (F.col("held")[n] > 0).cast("int")
+
+    held = added(lambda n: F.when(F.col("lang") == languages[n], F.col("count")).otherwise(0))
+    grams = [materialize(counted.groupBy("gram").agg(held.alias("held")).repartitionByRange("gram"), "grams")]
+    for order in range(ORDER - 1, 0, -1):
+        below = grams[0].groupBy(_shorter(order).alias("gram")).agg(added(any_of).alias("held"))
+        grams.insert(0, materialize(below.repartitionByRange("gram"), "grams"))
+    contexts, discounts = [], []
+    for table in grams:
+        totals = [added(lambda n: F.col("held")[n]).alias("total"), added(any_of).alias("types")]
+        contexts.append(materialize(table.groupBy(F.shiftrightunsigned("gram", 16).alias("gram")).agg(*totals), "contexts"))
+        often = [added(lambda n, times=times: (F.col("held")[n] == times).cast("int")) for times in (1, 2)]
+        once, twice = table.agg(*often).first()
+        discounts.append([a / (a + 2 * b) if a else 0.5 for a, b in zip(once, twice)])
+    letters = [max(n, 1.0) for n in grams[0].agg(added(any_of)).first()[0]]
+    return TableModels(languages, grams, contexts, discounts, letters)
+
+
+def train(documents: DataFrame, calibration: int = CALIBRATION, sent: int = SENT) -> CharacterModels | TableModels:
+    """Models of all languages of ``documents`` (doc_id, lang, text)."""
+    counted = materialize(count_grams(documents), "counted-grams")
+    languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    if not languages:
+        return CharacterModels([])
+    size = counted.select("gram").distinct().count() * len(languages)
+    model = _array_model(counted, languages) if size <= sent else _table_model(counted, languages)
     sample = documents.where("lang is not null and text is not null").withColumn("__order", F.xxhash64("doc_id"))
     few = sample.select("doc_id", "__order").orderBy("__order").limit(calibration).select(F.col("doc_id").alias("__id")).distinct()
     few = sample.join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
@@ -261,13 +356,71 @@ def _calibrated(margin: np.ndarray, right: np.ndarray) -> tuple[float, float]:
     return float(line[0]), float(max(line[1], 0.0))
 
 
-def identify(documents: DataFrame, model: CharacterModels, keep: list[str] | None = None, with_margin: bool = False) -> DataFrame:
+def identify(
+    documents: DataFrame, model: CharacterModels | TableModels, keep: list[str] | None = None, with_margin: bool = False
+) -> DataFrame:
     """doc_id (or the columns ``keep``), lang_pred, score, rejected."""
     kept = ["doc_id"] if keep is None else keep
     source = documents.select(*kept, F.col("text").alias("__text"))
+    judged = _by_tables(source, model) if isinstance(model, TableModels) else _by_arrays(source, model)
+    judged = judged.withColumn("rejected", F.col("score") < REJECT)
+    return judged if with_margin else judged.drop("margin")
+
+
+def _schema(source: DataFrame) -> str:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return f"{fields}, lang_pred string, score double, margin double"
+
+
+def _by_tables(source: DataFrame, model: TableModels) -> DataFrame:
+    """The texts are stored in pieces; each meets the probabilities of its own distinct 4-grams, which joins find."""
+    languages, logistic = model.languages, model.logistic
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for number, piece in enumerate(pieces(batches, "__text")):
+            part = pa.array(np.full(piece.num_rows, task + number))
+            yield pa.RecordBatch.from_arrays([part, *piece.columns], names=["__part", *piece.schema.names])
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("__part").to_numpy()
+            for piece in (batch.slice(b, e - b) for b, e in _runs(part)):
+                found = np.unique(grams([t or "" for t in piece.column("__text").to_pylist()])[0]).view(np.int64)
+                parts = np.full(len(found), piece.column("__part")[0].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(found)], names=["__part", "gram"])
+
+    def judge(texts: pa.Table, lookup: pa.Table) -> pa.Table:
+        packed, owner = grams([t or "" for t in texts.column("__text").to_pylist()])
+        keys = lookup.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        lists = lookup.column("chances").combine_chunks()
+        values = (pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists).flatten().to_numpy()
+        rows = order[np.searchsorted(keys, packed, sorter=order)] if len(packed) else np.zeros(0, np.int64)
+        entropy, lengths = _means(values.reshape(-1, len(languages))[rows], owner, texts.num_rows)
+        names, scores, margins = _judged(languages, logistic, entropy, lengths)
+        columns = [texts.column(n) for n in texts.column_names if n not in ("__part", "__text")]
+        columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())]
+        return pa.table(columns, names=[*texts.column_names[1:-1], "lang_pred", "score", "margin"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    stored = materialize(source.mapInArrow(cut, f"__part bigint, {fields}"), "pieces")
+    wanted = materialize(stored.mapInArrow(needed, "__part bigint, gram bigint").distinct(), "needed-grams")
+    lookup = wanted.join(model.chances(wanted.select("gram").distinct()), "gram").select("__part", "gram", "chances")
+    return stored.groupBy("__part").cogroup(lookup.groupBy("__part")).applyInArrow(judge, _schema(source))
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(values):
+        return []
+    cuts = (np.flatnonzero(np.diff(values)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(values)]))
+
+
+def _by_arrays(source: DataFrame, model: CharacterModels) -> DataFrame:
     levels = [(n.keys, n.chances, n.contexts, n.weights) for n in model.levels]
-    sent = documents.sparkSession.sparkContext.broadcast((model.languages, model.hashes, levels, model.logistic))
+    sent = source.sparkSession.sparkContext.broadcast((model.languages, model.hashes, levels, model.logistic))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, hashes, levels, logistic = sent.value
@@ -279,9 +432,7 @@ def identify(documents: DataFrame, model: CharacterModels, keep: list[str] | Non
             columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names[:-1], "lang_pred", "score", "margin"])
 
-    judged = source.mapInArrow(judge, f"{fields}, lang_pred string, score double, margin double")
-    judged = judged.withColumn("rejected", F.col("score") < REJECT)
-    return judged if with_margin else judged.drop("margin")
+    return source.mapInArrow(judge, _schema(source))
 
 
 def held_out() -> Column:

@@ -94,3 +94,41 @@ def test_nothing_to_learn(spark):
     assert G.identify(docs.limit(0), model).count() == 0
     one = G.train(spark.createDataFrame([(1, "a", "abc", "s")], DOCS))
     assert G.identify(docs, one).first().lang_pred == "a"
+
+
+def test_every_gram_keeps_its_own_counts(spark):
+    chance = random.Random(8)
+    rows = [(doc, "xy"[doc % 2], "".join(chance.choices("abcdefghijklmnopqrstuvwxyz", k=5_000)), "s") for doc in range(40)]
+    model = G.train(spark.createDataFrame(rows, DOCS).repartition(3))
+    expected = np.unique(G.grams([r[2] for r in rows])[0])
+    assert len(set(G.hashed(expected).tolist())) < len(expected)
+    assert np.array_equal(np.sort(model.levels[-1].keys), expected)
+    for order in (1, 2, 3):
+        assert np.array_equal(model.levels[order - 1].keys, np.unique(G._suffix(expected, order)))
+    assert np.array_equal(model._rows(model.levels[-1].keys, model.index()), np.arange(len(expected)))
+    unknown = np.array([1 << 50], np.uint64)
+    assert model._rows(unknown, model.index()).tolist() == [-1]
+
+
+def test_tables_give_the_results_of_arrays(spark):
+    chance = random.Random(4)
+    sounds = {"x": ["ka", "to", "ri", "mé"], "y": ["shr", "unt", "ost", "el"], "z": ["ka", "ost", "ñi", "lu"]}
+    rows = []
+    for doc in range(120):
+        lang = chance.choice("xyz")
+        rows.append((doc, lang, " ".join("".join(chance.choices(sounds[lang], k=3)) for _ in range(chance.choice([1, 3, 40]))), "s"))
+    rows += [(200, "x", None, "s"), (201, None, "kato жук", "s"), (202, "y", "", "s"), (None, "z", "12", "s"), (5, rows[5][1], rows[5][2], "s")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    learned = docs.where("doc_id < 60")
+    arrays, tables = G.train(learned), G.train(learned, sent=0)
+    assert isinstance(arrays, G.CharacterModels) and isinstance(tables, G.TableModels)
+    assert tables.logistic == pytest.approx(arrays.logistic, rel=1e-3)
+
+    def found(model):
+        got = G.identify(docs, model, ["doc_id", "lang"], with_margin=True).collect()
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.lang or "", r.lang_pred, r.margin) for r in got)
+
+    one, other = found(arrays), found(tables)
+    assert len(one) == len(rows) and [r[:3] for r in one] == [r[:3] for r in other]
+    assert [r[3] for r in one] == pytest.approx([r[3] for r in other], abs=1e-4)
+    assert G.identify(docs.limit(0), tables).count() == 0
