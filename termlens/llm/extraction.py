@@ -2,11 +2,13 @@
 
 A page is cut into blocks at the tags that start a line of their own. First pass: a block in a menu,
 header, footer, sidebar, notice, advert, form or comment list is bad (by its element, role or
-class); so is one mostly of links. A block of ``LONG`` words or more with enough stop words is
-good, one without is bad. What is left, short blocks above all, is ambiguous. Second pass: an ambiguous
-block takes the label of its nearest decided neighbours; the nearer one wins where they
-differ, a tie counts as bad. Where a page marks its article or main part, only blocks of that part
-can be good, long blocks there need no stop words, and only neighbours there count; a part
+class); so is one mostly of links. A block of ``LONG`` words or more with enough stop words is good. One without is
+bad only if it is in Latin letters on a page most of whose long text has them, as the known stop words say nothing on
+other languages. Letters of scripts without blanks count as half a word. What is left, short blocks above all, is ambiguous.
+Second pass: an ambiguous block takes the label of its nearest decided neighbours, hidden blocks aside; the nearer one
+wins where they differ, in a tie a heading goes with what follows and any other block with what is before. A class, or a form, hides no element that holds most of the page's text
+with its <main> or <h1>, or nearly all of it. Where a page marks its article or main part, and no more text is in long good blocks outside, only
+blocks of that part can be good, long blocks there need no stop words, and only neighbours there count; a part
 without any decided block is good as a whole, and so is a page of short blocks alone.
 
 Defined results: null, empty or text-free html gives an empty text. Markup that is cut off or not
@@ -31,6 +33,8 @@ from termlens.llm.batches import pieces
 LONG = 10
 STOP_DENSITY = 0.1
 LINK_DENSITY = 0.5
+#: Share of a page's text that a class hides in no case.
+NEARLY_ALL = 0.9
 
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -51,7 +55,7 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(
-    """head title script style noscript template svg iframe object canvas audio video textarea select button form input label
+    """head title script style noscript template svg iframe object canvas audio video textarea select button input label
     nav aside footer menu dialog search""".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
@@ -62,7 +66,10 @@ _PARTS = frozenset(
     comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter
     subscribe subscription widget widgets toolbar pagination pager login signup copyright""".split()
 )
+#: Words of class names that tell of the page's state, as in has-sidebar or header-fixed.
+_STATES = frozenset("has with without no not is enabled disabled fixed sticky static open closed active visible".split())
 _CONTAINERS = ("article", "main")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -74,6 +81,9 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-z\-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]+")
+#: Letters of scripts that set no blanks between words: Thai to Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -84,31 +94,53 @@ class Block:
     linked: float
     hidden: bool
     container: int  # number of the article or main part, 0 outside
+    latin: bool = True  # whether half of its letters are Latin
+    heading: bool = False
+    part: int = 0  # number of the innermost element that its class hides, 0 for none
 
+    @property
+    def is_text(self) -> bool:
+        return not self.hidden and self.linked <= LINK_DENSITY
 
-def _is_hidden(name: str, rest: str, inside: bool) -> bool:
-    """Whether an element starts a part of the page that is no article."""
+    @property
+    def is_long(self) -> bool:
+        return self.is_text and self.words >= LONG
+
+    @property
+    def has_stops(self) -> bool:
+        return self.stops >= STOP_DENSITY * self.words
+
+
+def _hiding(name: str, rest: str, inside: bool) -> str:
+    """"always" or "part" (unless it holds the page's text) if an element starts a part that is no article, or nothing."""
     if name in _HIDDEN or name == "header" and not inside:
-        return True
+        return "always"
+    found = "part" if name == "form" else ""
     if not rest or name in ("html", "body", *_CONTAINERS):
-        return False
+        return found
     for key, one, two, three in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), one or two or three
         if key in ("class", "id"):
-            if any(part in _PARTS for part in re.split(r"[^a-z0-9]+", value.lower())) and not (inside and name in ("header", "h1")):
-                return True
+            if not (inside and name in ("header", "h1")) and any(_names_part(token) for token in value.lower().split()):
+                found = "part"
         elif key == "role" and value.lower() in _ROLES:
-            return True
+            return "always"
         elif key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDING.search(value):
-            return True
-    return False
+            return "always"
+    return found
+
+
+def _names_part(token: str) -> bool:
+    words = re.split(r"[^a-z0-9]+", token)
+    return not _PARTS.isdisjoint(words) and _STATES.isdisjoint(words)
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks that hold text, in order."""
     found: list[Block] = []
     held: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, hidden, container
+    stack: list[tuple[str, bool, int, int]] = []  # name, hidden, container, part
+    parents, marked = [0], [False]  # of each part: the part around it, whether it holds <main> or <h1>
     containers = links = 0
 
     def flush() -> None:
@@ -117,8 +149,11 @@ def blocks(html: str) -> list[Block]:
             if text:
                 words = _WORD.findall(text.lower())
                 linked = sum(len(t.strip()) for t, link in held if link) / max(1, sum(len(t.strip()) for t, _ in held))
-                _, hidden, container = stack[-1] if stack else ("", False, 0)
-                found.append(Block(text, len(text.split()), sum(w in STOP_WORDS for w in words), linked, hidden, container))
+                name, hidden, container, part = stack[-1] if stack else ("", False, 0, 0)
+                count = max(len(text.split()), len(_UNSPACED.findall(text)) // 2)
+                latin = 2 * sum(map(len, _LATIN.findall(text))) >= sum(map(len, words))
+                stops = sum(w in STOP_WORDS for w in words)
+                found.append(Block(text, count, stops, linked, hidden, container, latin, name in _HEADINGS, part))
             held.clear()
 
     at = 0
@@ -136,49 +171,92 @@ def blocks(html: str) -> list[Block]:
         if name in _BLOCKS or name in _HIDDEN:
             flush()
         if token["close"]:
-            if any(open_name == name for open_name, _, _ in stack):
+            if any(entry[0] == name for entry in stack):
                 while (closed := stack.pop()[0]) != name:
                     links -= closed == "a"
                 links -= name == "a"
         elif name not in _VOID and not token["rest"].rstrip().endswith("/"):
-            _, hidden, container = stack[-1] if stack else ("", False, 0)
-            hidden = hidden or _is_hidden(name, token["rest"], container > 0)
+            _, hidden, container, part = stack[-1] if stack else ("", False, 0, 0)
+            hiding = _hiding(name, token["rest"], container > 0)
+            hidden = hidden or hiding == "always"
+            if hiding == "part" and not hidden:
+                parents.append(part)
+                marked.append(False)
+                part = len(parents) - 1
+            if name in ("main", "h1") and not hidden:
+                marked[part] = True
             if name in _CONTAINERS and not container and not hidden:
                 containers += 1
                 container = containers
             links += name == "a"
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            stack.append((name, hidden, container))
+            stack.append((name, hidden, container, part))
     if at < len(html):
         held.append((html[at:], links > 0))
     flush()
+    if len(parents) > 1:
+        _hide_parts(found, parents, marked)
     return found
 
 
+def _hide_parts(page: list[Block], parents: list[int], marked: list[bool]) -> None:
+    """Hide the blocks of every part but those that hold the page's text."""
+    words = [0] * len(parents)
+    for block in page:
+        if block.is_text:
+            words[block.part] += block.words
+    for part in range(len(parents) - 1, 0, -1):
+        words[parents[part]] += words[part]
+        marked[parents[part]] |= marked[part]
+    opened = [2 * w > words[0] and (mark or w >= NEARLY_ALL * words[0]) for w, mark in zip(words, marked)]
+
+    def closed() -> list[bool]:
+        shut = [False]
+        for part in range(1, len(parents)):
+            shut.append(shut[parents[part]] or not opened[part])
+        return shut
+
+    shut = closed()
+    if not any(b.is_long and not shut[b.part] for b in page):
+        opened = [one or mark for one, mark in zip(opened, marked)]
+        shut = closed()
+    for block in page:
+        block.hidden = block.hidden or shut[block.part]
+
+
 def labels(page: list[Block]) -> list[bool]:
     """Which blocks are the main text."""
+    longs = [b for b in page if b.is_long]
+    # whether the page is in a language whose stop words are known
+    known = 2 * sum(b.words for b in longs if b.has_stops) >= sum(b.words for b in longs if b.latin or b.has_stops)
+
+    def is_good(block: Block) -> bool:
+        return block.has_stops or not block.latin or not known
+
+    inside = sum(b.words for b in page if b.container and b.is_text)
     marked = any(b.container and not b.hidden for b in page)
+    marked = marked and inside >= sum(b.words for b in longs if not b.container and is_good(b))
     first: list[bool | None] = []
     for block in page:
         if block.hidden or marked and not block.container:
             first.append(False)
         elif block.linked > LINK_DENSITY:
-            first.append(None if block.container else False)
+            first.append(None if marked else False)
         elif block.words >= LONG:
-            first.append(bool(block.container) or block.stops >= STOP_DENSITY * block.words)
+            first.append(marked or is_good(block))
         else:
             first.append(None)
-    candidates = [n for n, b in enumerate(page) if not b.hidden and (b.container or not marked)]
     # runs of blocks that may look at each other: one part, or the whole page without parts
     parts: dict[int, list[int]] = {}
-    for number in candidates if marked else range(len(page)):
-        parts.setdefault(page[number].container if marked else 0, []).append(number)
+    for number, block in enumerate(page):
+        if not block.hidden and (block.container or not marked):
+            parts.setdefault(block.container if marked else 0, []).append(number)
     final = [bool(label) for label in first]
     for numbers in parts.values():
-        if not any(first[n] is not None and not page[n].hidden for n in numbers):
+        if all(first[n] is None for n in numbers):
             for n in numbers:
-                final[n] = first[n] is None
+                final[n] = True
             continue
         decided = [place for place, n in enumerate(numbers) if first[n] is not None]
         following = 0
@@ -193,7 +271,7 @@ def labels(page: list[Block]) -> list[bool]:
                 elif place - before != after - place:
                     final[n] = bool(first[numbers[before if place - before < after - place else after]])
                 else:
-                    final[n] = bool(first[numbers[before]]) and bool(first[numbers[after]])
+                    final[n] = bool(first[numbers[after if page[n].heading else before]])
     return final
 
 

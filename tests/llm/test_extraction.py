@@ -36,6 +36,41 @@ def test_broken_and_empty_markup():
     assert X.main_text(deep) == "text"
 
 
+RUSSIAN = "Этот рассказ о человеке, который всю свою жизнь провёл в море и ничего на свете не боялся."
+POLISH = "Opowieść dotyczy człowieka, który całe życie spędził morzu, nigdy niczego się bał, dopóki wrócił domu."
+CHINESE = "这是一个关于在海上度过一生而且从来没有害怕过任何事情的人的故事。"
+
+
+def test_classes_of_wrappers_hide_nothing():
+    for name in ("has-sidebar", "header-fixed", "social-share-enabled", "sidebar layout", "page-header-menu"):
+        menu = '<ul class="menu"><li><a href="/">Home</a></li></ul>'
+        assert X.main_text(f'<div class="{name}">{menu}<article><p>{LONG}</p></article></div>') == LONG
+        assert X.main_text(f'<div class="{name}">{menu}<h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div class="comments">{LONG}</div>') == f"Title\n{LONG}\n{LONG}"
+    assert X.main_text(f'<div class="widget"><h1>Title</h1><p>{LONG}</p></div><div class="comments">{LONG * 3}</div>') == f"Title\n{LONG}"
+    assert X.main_text(f'<form id="page"><p>{LONG}</p><input></form>') == LONG
+    assert X.main_text(f'<p>{LONG}</p><p>{LONG}</p><div class="main-sidebar">{LONG}</div>') == f"{LONG}\n{LONG}"
+    assert X.main_text(f'<p>{LONG}</p><div class="comments">{LONG * 3}</div>') == LONG
+
+
+def test_pages_in_other_languages():
+    for text in (RUSSIAN, POLISH, CHINESE):
+        page = f"<nav><a href=1>A</a></nav><h2>{text[:6]}</h2><p>{text}</p><ul><li><a href=2>B</a></li></ul><p>{text}</p><footer>{text}</footer>"
+        assert X.main_text(page).split("\n") == [text[:6].strip(), text, text]
+    assert X.main_text(f"<p>{LONG}</p><p>{RUSSIAN}</p><p>{LONG}</p>").split("\n") == [LONG, RUSSIAN, LONG]
+
+
+def test_short_blocks_beside_hidden_ones():
+    page = f"<nav><a href=1>Menu</a></nav><h1>Title</h1><p>{LONG}</p><p>The end.</p><footer>{LONG}</footer>"
+    assert X.main_text(page).split("\n") == ["Title", LONG, "The end."]
+    page = f"<ul><li><a href=1>Menu</a></li></ul><h1>Title</h1><p>{LONG}</p><p>The end.</p><ul><li><a href=2>Next</a></li></ul>"
+    assert X.main_text(page).split("\n") == ["Title", LONG, "The end."]
+
+
+def test_a_teaser_is_not_the_article():
+    page = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><article><p>{LONG}</p></article>"
+    assert X.main_text(page).split("\n") == ["Title", LONG, LONG, LONG, LONG]
+
+
 def test_query_keeps_every_row(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", "y")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
