@@ -18,7 +18,9 @@ of all, go no further.
 **Long matches.** The chunks send the strings around their reported seeds, each distinct one once with its
 first document, to buckets by seed. There all strings of 50 bytes are compared with each
 other: by hash, then byte by byte. What comes back is, for each sent string, at which places an earlier
-document has the same 50 bytes.
+document has the same 50 bytes. A seed whose strings could exceed ``HOT_BYTES``, by the counts of its places, goes to no bucket:
+chunks send the md5 of each distinct place of 50 bytes in its strings, and a grouping, combined before the shuffle,
+finds the first document of each.
 
 Equal texts are one text with their first doc_id before all this, combined before the shuffle, so a group
 of copies of any size sends its text once per task; the same holds for lines and passages, of which a
@@ -50,6 +52,8 @@ SEED = 24
 BATCHES = 4
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 6 << 20
+#: Most bytes of one seed's strings in a bucket.
+HOT_BYTES = 16 << 20
 #: Bytes hashed at once inside a chunk.
 PIECE = 1 << 20
 
@@ -57,6 +61,7 @@ _TABLE = "termlens_chunks_"
 _BASE = 0x9E3779B97F4A7C15
 _LAST = np.iinfo(np.int64).max
 _REACH = LENGTH - SEED
+_NONE = np.zeros(0, np.uint64)
 
 
 # --------------------------------------------------------------- hashing and sampling
@@ -193,21 +198,29 @@ def _found(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
-def chunk_arrays(texts: DataFrame, buckets: int) -> DataFrame:
-    """level (-1), bucket, chunk, keys: each chunk's distinct sampled suffixes, dealt over buckets."""
+def chunk_arrays(texts: DataFrame, buckets: int, often: int | None = None) -> DataFrame:
+    """level (-1), bucket, chunk, keys: each chunk's distinct sampled suffixes, dealt over buckets.
+
+    Rows of level -2 hold those with more than ``often`` strings in the chunk, and how many.
+    """
 
     def arrays(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        held = [np.unique(keys) for *_, keys in sampled(table.column("text").to_pylist())]
+        held = [np.unique(keys, return_counts=True) for *_, keys in sampled(table.column("text").to_pylist())]
         rows = []
         if held:
-            keys = np.unique(np.concatenate(held))
+            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
             place = _bucket(keys, buckets)
             order = np.argsort(place, kind="stable")
             ends = np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.uint64))
             for number, (begin, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
                 if end > begin:
-                    rows.append((1, -1, number, chunk, pack(keys[order[begin:end]]), b""))
+                    some = order[begin:end]
+                    rows.append((1, -1, number, chunk, pack(keys[some]), b""))
+                    many = some[counts[some] > often] if often is not None else some[:0]
+                    if len(many):
+                        rows.append((1, -2, number, chunk, pack(keys[many]), _pack_numbers(counts[many])))
         return _found(rows)
 
     return texts.select("chunk", "text").groupBy("chunk").applyInArrow(arrays, _FOUND)
@@ -223,10 +236,12 @@ def add_batch(arrays: DataFrame, levels: dict[int, str], number: int) -> tuple[D
         rows = rows.unionByName(kept)
 
     def scan(table: pa.Table) -> pa.Table:
-        bucket, batch, held = table.column("bucket")[0].as_py(), [], []
+        bucket, batch, held, counted = table.column("bucket")[0].as_py(), [], [], []
         cells = zip(*(table.column(n).to_pylist() for n in ("level", "chunk", "keys", "owners")))
         for level, chunk, keys, owners in cells:
-            if level < 0:
+            if level == -2:
+                counted.append((2, level, bucket, chunk, keys, owners))
+            elif level < 0:
                 batch.append((chunk, unpack(keys)))
             else:
                 held.append((level, unpack(keys), _numbers(owners)))
@@ -240,7 +255,7 @@ def add_batch(arrays: DataFrame, levels: dict[int, str], number: int) -> tuple[D
         else:
             told, merged = merge_scan(batch, held, merging)
         out = [(0, merging, bucket, chunk, pack(keys), b"") for chunk, keys in told]
-        return _found([*out, (1, merging, bucket, -1, pack(merged[0]), _pack_numbers(merged[1]))])
+        return _found([*out, *counted, (1, merging, bucket, -1, pack(merged[0]), _pack_numbers(merged[1]))])
 
     path = new_folder(spark, "suffixes")
     rows.groupBy("bucket").applyInArrow(scan, _FOUND).write.partitionBy("kind").parquet(path)
@@ -249,6 +264,23 @@ def add_batch(arrays: DataFrame, levels: dict[int, str], number: int) -> tuple[D
     return spark.read.schema(_FOUND).parquet(path).where("kind = 0").select("chunk", "keys"), following, path
 
 
+def hot_seeds(spark: SparkSession, paths: list[str], least: int) -> np.ndarray:
+    """Seeds with at least ``least`` strings, by the counts in the stored steps. There are few: each needs much text."""
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("owners").to_pylist()):
+                columns = [pa.array(unpack(keys).view(np.int64)), pa.array(_numbers(counts).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "strings"])
+
+    counted = [spark.read.schema(_FOUND).parquet(p).where("kind = 2").select("keys", "owners") for p in paths]
+    rows = counted[0]
+    for more in counted[1:]:
+        rows = rows.unionByName(more)
+    seeds = rows.mapInArrow(single, "key bigint, strings bigint").groupBy("key").agg(F.sum("strings").alias("strings"))
+    return np.sort(seeds.where(F.col("strings") >= least).select("key").toArrow().column("key").to_numpy().view(np.uint64))
+
+
 # ---------------------------------------------------------------------- long matches
 
 
@@ -300,12 +332,12 @@ def _chunk_columns(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
     return table.column("text").to_pylist(), table.column("first").to_numpy()
 
 
-def send_strings(texts: DataFrame, reports: DataFrame, buckets: int) -> DataFrame:
+def send_strings(texts: DataFrame, reports: DataFrame, buckets: int, hot: np.ndarray = _NONE) -> DataFrame:
     def send(chunk: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
         if chunk.num_rows:
             found = Candidates(*_chunk_columns(chunk), _reported(told))
-            place = _bucket(found.keys, buckets)
+            place = np.where(np.isin(found.keys, hot), np.uint64(buckets), _bucket(found.keys, buckets))
             order = np.argsort(place, kind="stable")
             ends = np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.uint64))
             for number, (begin, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
@@ -388,6 +420,70 @@ def answer(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(compare, _ANSWER)
 
 
+def places_of(found: Candidates, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """String, offset and number of each place in the strings of hot seeds; by number the md5 (two words) and the first document."""
+    chosen = np.flatnonzero(np.isin(found.keys, hot))
+    counts = np.array([len(found.strings[i]) - LENGTH + 1 for i in chosen.tolist()], np.int64)
+    digests = bytearray()
+    for one, count in zip(chosen.tolist(), counts.tolist()):
+        held = found.strings[one]
+        for at in range(count):
+            digests += hashlib.md5(held[at : at + LENGTH]).digest()
+    string = np.repeat(chosen, counts)
+    offset = np.arange(len(string)) - np.repeat(np.r_[0, np.cumsum(counts)][:-1], counts)
+    words = np.frombuffer(bytes(digests), "<i8").reshape(-1, 2)
+    number, words, first = _least(words, found.first[string])
+    return string, offset, number, words, first
+
+
+def _least(words: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each pair of words among the distinct ones, the distinct ones, and the smallest document of each."""
+    order = np.lexsort((words[:, 1], words[:, 0]))
+    sorted_words = words[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sorted_words[1:] != sorted_words[:-1]).any(axis=1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.full(int(new.sum()), _LAST)
+    np.minimum.at(first, number, docs)
+    return number, sorted_words[new], first
+
+
+def answer_hot(texts: DataFrame, reports: DataFrame, hot: np.ndarray) -> DataFrame:
+    """chunk, windows: places of hot seeds' strings (md5, first document) whose first document is in another chunk."""
+
+    def send(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        words, first = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+        number = 0
+        if chunk.num_rows:
+            number = chunk.column("chunk")[0].as_py()
+            *_, words, first = places_of(Candidates(*_chunk_columns(chunk), _reported(told)), hot)
+        chunks = pa.array(np.full(len(first), number, np.int32))
+        columns = [chunks, *(pa.array(np.ascontiguousarray(words[:, n])) for n in (0, 1)), pa.array(first)]
+        return pa.table(columns, names=["chunk", "one", "two", "first"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        data = np.stack([table.column(n).to_numpy() for n in ("one", "two", "least")], axis=1).astype("<i8").tobytes()
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "windows": pa.array([data], pa.binary())})
+
+    sent = texts.groupBy("chunk").cogroup(reports.groupBy("chunk")).applyInArrow(send, "chunk int, one bigint, two bigint, first bigint")
+    sent = materialize(sent, "windows")
+    least = sent.groupBy("one", "two").agg(F.min("first").alias("least"))
+    earlier = sent.join(least, ["one", "two"]).where("least < first").select("chunk", "one", "two", "least")
+    return earlier.groupBy("chunk").applyInArrow(packed, "chunk int, windows binary")
+
+
+def hot_masks(found: Candidates, hot: np.ndarray, told: list[bytes]) -> np.ndarray:
+    """The masks of ``covered_places`` for the strings of hot seeds, 0 for all others."""
+    string, offset, number, words, first = places_of(found, hot)
+    answers = np.frombuffer(b"".join(told), "<i8").reshape(-1, 3)
+    place, _, least = _least(np.concatenate([words, answers[:, :2]]), np.concatenate([first, answers[:, 2]]))
+    later = np.flatnonzero(least[place[: len(words)]][number] < found.first[string])
+    masks = np.zeros(len(found.strings), np.int64)
+    np.add.at(masks, string[later], np.int64(1) << offset[later])
+    return masks
+
+
 def removed_spans(size: int, begins: np.ndarray) -> np.ndarray:
     """Maximal runs of removed bytes [begin, end) from the places whose 50 bytes go."""
     steps = np.zeros(size + 1, np.int64)
@@ -403,7 +499,7 @@ def kept_bytes(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join(text[b:e] for b, e in zip(edges[::2], edges[1::2]))
 
 
-def cut_texts(texts: DataFrame, told: DataFrame) -> DataFrame:
+def cut_texts(texts: DataFrame, told: DataFrame, hot: np.ndarray = _NONE) -> DataFrame:
     """name, first, spans, kept_sha256 of each distinct text, from reports and answers by chunk."""
 
     def cut(chunk: pa.Table, told: pa.Table) -> pa.Table:
@@ -416,6 +512,8 @@ def cut_texts(texts: DataFrame, told: DataFrame) -> DataFrame:
             for numbers, held in zip(told.column("numbers").to_pylist(), told.column("masks").to_pylist()):
                 if numbers is not None:
                     masks[_numbers(numbers)] = _numbers(held)
+            if len(hot):
+                masks |= hot_masks(found, hot, [w for w in told.column("windows").to_pylist() if w is not None])
             # a string that an earlier text of the chunk has too goes as a whole
             whole = (np.int64(1) << found.counts) - 1
             mine = np.where(found.later, whole, masks[found.number] if len(masks) else 0)
@@ -495,7 +593,13 @@ def drop_chunks(spark: SparkSession) -> None:
         spark.sql(f"DROP TABLE {table.name}")
 
 
-def duplicated_spans(documents: DataFrame, batches: int = BATCHES, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def duplicated_spans(
+    documents: DataFrame,
+    batches: int = BATCHES,
+    chunk_bytes: int = CHUNK_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
+    hot_bytes: int = HOT_BYTES,
+) -> DataFrame:
     """doc_id, n_bytes, spans (removed bytes [begin, end)), kept_sha256 of documents (doc_id, text)."""
     spark: SparkSession = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -503,12 +607,15 @@ def duplicated_spans(documents: DataFrame, batches: int = BATCHES, chunk_bytes:
     texts = spark.table(name)
     release_shuffles(spark)
     buckets = max(1, -(-size // bucket_bytes))
+    # a string has at most LENGTH + _REACH bytes; what a chunk does not count adds up to half the bound at most
+    most = hot_bytes // (2 * (LENGTH + _REACH))
+    often = most // (batches * max(1, -(-size // chunk_bytes)))
     levels: dict[int, str] = {}
     reports = None
     steps: list[str] = []
     every: list[str] = []
     for number in range(1, batches + 1):
-        arrays = chunk_arrays(texts.where(F.col("batch") == number - 1), buckets)
+        arrays = chunk_arrays(texts.where(F.col("batch") == number - 1), buckets, often)
         found, levels, path = add_batch(arrays, levels, number)
         for old in [s for s in steps if s not in levels.values()]:
             remove(spark, f"{old}/kind=1")
@@ -519,16 +626,20 @@ def duplicated_spans(documents: DataFrame, batches: int = BATCHES, chunk_bytes:
         release_shuffles(spark)
     texts = texts.drop("batch")
     reports = materialize(reports, "reports")
+    hot = hot_seeds(spark, every, most)
     # this call's index has done its work
     for path in every:
         remove(spark, path)
     release_shuffles(spark)
-    answers = answer(send_strings(texts, reports, buckets))
+    answers = answer(send_strings(texts, reports, buckets, hot))
     empty = F.lit(None).cast("binary")
     told = reports.select("chunk", "keys", empty.alias("numbers"), empty.alias("masks")).unionByName(
         answers.select("chunk", empty.alias("keys"), "numbers", "masks")
     )
-    results = cut_texts(texts, told)
+    if len(hot):
+        windows = answer_hot(texts, reports, hot)
+        told = told.unionByName(windows, allowMissingColumns=True)
+    results = cut_texts(texts, told, hot)
     name = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     rows = source.select("doc_id", name.alias("name"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     joined = join_spread(rows, results, "name", "doc_id")

@@ -90,3 +90,50 @@ def test_same_hash_of_different_strings(monkeypatch):
     strings = [b"a" * 50, b"b" * 50, b"b" * 50, b"c" * 51]
     masks = X.covered_places(np.array([50, 50, 50, 51], np.uint8), np.array([1, 2, 3, 4]), b"".join(strings))
     assert masks.tolist() == [0, 0, 1, 0]
+
+
+@pytest.mark.parametrize("hot_bytes", [0, 3_000, 20_000])
+def test_frequent_seeds_in_changing_surroundings(spark, monkeypatch, hot_bytes):
+    chance = random.Random(11)
+    phrase = "Dear customer, thank you for the order"
+    rows = []
+    for doc in range(300):
+        name = chance.choice(["Ann from Leipzig, paid on ", "Bob from Hamburg, paid on "]) + "".join(chance.choices("0123456789", k=chance.choice([1, 8])))
+        rows.append((doc if doc % 50 else None, "".join(chance.choices("abc", k=60)) + phrase + name + "".join(chance.choices("xyz", k=40)), ""))
+    rows += [(r[0] and r[0] + 1000, r[1][10:], "") for r in rows[:40]]
+    held = []
+
+    def watched(sent):
+        held.extend(len(r.strings) for r in sent.select("strings").collect())
+        return answer(sent)
+
+    answer = X.answer
+    monkeypatch.setattr(X, "answer", watched)
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = X.digest(X.duplicated_spans(docs, batches=3, chunk_bytes=6_000, bucket_bytes=1 << 20, hot_bytes=hot_bytes)).collect()
+    assert sorted(map(tuple, got), key=str) == _brute(rows)
+    assert bool(held) == (hot_bytes > 0)
+
+
+def test_strings_of_a_seed_stay_within_the_bound(spark, monkeypatch):
+    chance = random.Random(12)
+    rows = [(doc, "".join(chance.choices("abcdefgh", k=60)) + "Z" * 26 + "".join(chance.choices("abcdefgh", k=60)), "") for doc in range(400)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    answer, held = X.answer, {}
+
+    def watched(sent):
+        held.clear()
+        for row in sent.collect():
+            at = 0
+            for size in row.sizes:
+                string = bytes(row.strings[at : at + size])
+                at += size
+                key = int(next(X.sampled([string]))[-1][0])
+                held[key] = held.get(key, 0) + size
+        return answer(sent)
+
+    monkeypatch.setattr(X, "answer", watched)
+    for hot_bytes in (1 << 30, 8_000):
+        got = X.digest(X.duplicated_spans(docs, chunk_bytes=20_000, bucket_bytes=1 << 20, hot_bytes=hot_bytes)).collect()
+        assert sorted(map(tuple, got), key=str) == _brute(rows)
+        assert (max(held.values()) > 8_000) == (hot_bytes > 8_000)
