@@ -110,9 +110,128 @@ SELECT doc_id, source, text, copy::INTEGER AS copy
 FROM (SELECT doc_id, source, text, unnest(range(1, n + 1)) AS copy FROM drawn JOIN copies USING (r))
 """
 
+_OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+    ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM d
+), nodes AS (SELECT list_sort(s) AS s, min(r) AS node, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY ALL),
+shingles AS (SELECT node, n, unnest(list_transform(s, lambda x: md5_number(x))) AS h FROM nodes),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM shingles a JOIN shingles b ON a.h = b.h AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT node, node AS other FROM nodes
+  UNION SELECT reached.node, links.b FROM reached JOIN links ON reached.other = links.a
+), members AS (SELECT r, doc_id, node FROM sets JOIN nodes ON list_sort(sets.s) = nodes.s),
+least AS (SELECT reached.node, min(doc_id) AS component_id FROM reached JOIN members ON members.node = reached.other GROUP BY reached.node)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE component_id END AS component_id,
+  sets.doc_id IS NOT DISTINCT FROM CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE component_id END AS kept
+FROM sets LEFT JOIN members USING (r) LEFT JOIN least USING (node)
+"""
+
+_OP12 = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t
+  FROM documents
+), numbers AS (
+  SELECT doc_id, text, t, len(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+    ('0x' || h[25:32])::BIGINT AS h4
+  FROM drawn
+), cut AS (
+  SELECT doc_id, text, n, t, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT doc_id, n, form, text, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:], '') AS s
+  FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+_OP13 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(0, 8)::UBIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, i::UBIGINT) AS c
+    FROM range(0, 256) r(i))
+), keyed AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+), kinds AS (
+  SELECT keyed.*, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::UBIGINT),
+    lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 20 AS kind
+  FROM keyed, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds
+), ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+    row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare
+  FROM damaged JOIN ids ON damaged.conv_id IS NOT DISTINCT FROM ids.conv_id
+), faults AS (
+  SELECT *, role[1:1] AS initial, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN bare[-1:] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1:1]) OVER (PARTITION BY c ORDER BY i) AS before
+  FROM placed
+), counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faults GROUP BY c
+), turned(state, next, role) AS (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+inserts AS (
+  SELECT state, state AS next, 0 AS cost, '' AS letters, []::VARCHAR[] AS lines FROM turned
+  UNION ALL SELECT state, next, 5, 'I', [role || ':'] FROM turned
+  UNION ALL SELECT a.state, b.next, 10, 'II', [a.role || ':', b.role || ':'] FROM turned a JOIN turned b ON a.next = b.state
+), edits AS (
+  SELECT c, i, state, state AS next, 2 AS cost, 'D' AS letter, []::VARCHAR[] AS lines FROM faults, turned
+  UNION ALL
+  SELECT c, i, state, next, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', [faults.role || ':' || text]
+  FROM faults JOIN turned ON initial = next WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT c, i, '', 's', CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', [role || ':' || text]
+  FROM faults WHERE initial = 's' AND fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT c, i, state, next, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R', [turned.role || ':' || text]
+  FROM faults, turned WHERE fault NOT IN ('blank', 'duplicate')
+), paths AS (
+  SELECT c, 0::BIGINT AS i, '' AS state, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS path FROM ids
+  UNION ALL
+  SELECT c, i, state, min(path) FROM (
+    SELECT p.c, e.i, e.next AS state, {'cost': path.cost + s.cost + e.cost, 'audit': path.audit || s.letters || e.letter,
+      'lines': list_concat(list_concat(path.lines, s.lines), e.lines)} AS path
+    FROM paths p JOIN inserts s ON s.state = p.state JOIN edits e ON e.c = p.c AND e.i = p.i + 1 AND e.state = s.next)
+  GROUP BY c, i, state
+), best AS (
+  SELECT p.c, min({'cost': path.cost + s.cost, 'audit': path.audit || s.letters, 'lines': list_concat(path.lines, s.lines)}) AS path
+  FROM paths p LEFT JOIN counts USING (c) JOIN inserts s ON s.state = p.state
+  WHERE p.i = coalesce(n, 0) AND s.next IN ('', 'a') GROUP BY p.c
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, path.cost::BIGINT AS cost, path.audit AS audit,
+  sha256(array_to_string(path.lines, chr(10))) AS repaired_sha256
+FROM ids JOIN best USING (c) LEFT JOIN counts USING (c)
+"""
+
 ORACLES = {
     "op1_line_dedup": _OP1,
     "op2_suffix_dedup": _OP2,
     "op9_decontaminate": _OP9,
     "op10_mixing": _OP10,
+    "op11_minhash": _OP11,
+    "op12_middle": _OP12,
+    "op13_conversations": _OP13,
 }

@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termlens.llm import decontaminate, extraction, fingerprints, language, lines, mixing, quality, simhash, suffixes, token_store
+from termlens.llm import (
+    conversations,
+    decontaminate,
+    extraction,
+    fingerprints,
+    language,
+    lines,
+    middle,
+    minhash,
+    mixing,
+    quality,
+    simhash,
+    suffixes,
+    token_store,
+)
 from termlens.sources.workspace import new_folder
 
 
@@ -59,6 +73,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), copy_column="copy")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(_table(spark, sf_dir, "conversations"))
+    return conversations.digest(conversations.repair(rows))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -70,4 +97,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
+    "op11_minhash": op11_minhash,
+    "op12_middle": op12_middle,
+    "op13_conversations": op13_conversations,
 }
