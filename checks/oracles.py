@@ -45,18 +45,24 @@ def _bar(tokens: str) -> str:
 
 # --- shared table expressions -----------------------------------------------------
 
-_PAIRS = """
+_PAIRS = r"""
 lines as (
   select l_orderkey, l_linenumber, min(l_partkey) as product_uid, min(l_suppkey) as term_part,
          min(l_discount) as discount
   from lineitem group by l_orderkey, l_linenumber),
+spoken as (
+  select conv_id, string_split_regex(string_agg(text, ' ' order by turn), '[\x20\x09-\x0D]+') as words
+  from conversations group by conv_id),
+keyed as (
+  select *, l_orderkey * 10 + l_linenumber as id, term_part % (select max(conv_id) + 1 from conversations) as conv_id
+  from lines),
 pairs as (
-  select l_orderkey * 10 + l_linenumber as id, product_uid,
-         p.p_name || ' ' || p.p_brand as product_title,
-         t.p_name || ' ' || o_orderpriority as search_term,
+  select id, product_uid, p.p_name || ' ' || p.p_brand as product_title,
+         array_to_string(words[id * 5 % greatest(len(words) - 5, 1) + 1:id * 5 % greatest(len(words) - 5, 1) + 5], ' ')
+           || ' ' || o_orderpriority as search_term,
          cast(round(1 + 20 * discount, 1) as varchar) as relevance
-  from lines join orders on o_orderkey = l_orderkey
-  join part t on t.p_partkey = term_part join part p on p.p_partkey = product_uid)
+  from keyed join orders on o_orderkey = l_orderkey
+  join spoken using (conv_id) join part p on p.p_partkey = product_uid)
 """
 
 _ATTRIBUTES = """

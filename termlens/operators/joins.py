@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlens.sources.workspace import materialize
+from termlens.sources.workspace import materialize, new_folder, stored_bytes
 
 # Rows of one key that one task takes on; keys with more are split.
 ROWS_PER_SPLIT = 1_000_000
 
+# Stored size up to which a lookup is sent to all tasks; in memory it may be some ten times that.
+BROADCAST_BYTES = 8 << 20
+
 # Parts over which rows without a key are spread: they match nothing.
 NULL_PARTS = 64
 
@@ -31,25 +34,29 @@ def join_unique(
     how: str = "inner",
     counts: DataFrame | None = None,
     rows_per_split: int = ROWS_PER_SPLIT,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    lookup_bytes: int | None = None,
 ) -> DataFrame:
     """``rows.join(lookup, key, how)`` where one key may hold most of the rows.
 
-    The rows of a heavy key are spread over as many tasks as they need, by a hash
-    of the column ``spread``, and its ``lookup`` row is copied to each of them. The
-    adaptive skew join cannot do this where either side comes straight from an
-    aggregation by the key. Rows without a key are spread as well. ``how`` is
+    The lookup is stored, unless ``lookup_bytes`` says that it is and how large. One of up to ``broadcast_bytes`` goes to the rows, which
+    stay where they are. Otherwise the rows of a heavy key are spread over as many tasks as they
+    need, by a hash of the column ``spread``, and its ``lookup`` row is copied to each of them; rows
+    without a key are spread as well. The rows are never stored and never sent to all tasks. ``how`` is
     ``inner`` or ``left``: copies of the lookup would show in any other join.
 
-    Without ``counts`` (key, n) the rows are stored first and counted on their
-    stored key column, so that what made them runs once.
-
-    What is broadcast is the list of heavy keys only, at most one per
-    ``rows_per_split`` rows.
+    ``counts`` (key, n) saves the pass that counts the rows of each key, on their key column alone.
+    The list of heavy keys has at most one entry per ``rows_per_split`` rows.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    if lookup_bytes is None:
+        path = new_folder(rows.sparkSession, "join-lookup")
+        lookup = materialize(lookup, "join-lookup", path)
+        lookup_bytes = stored_bytes(rows.sparkSession, path)
+    if lookup_bytes <= broadcast_bytes:
+        return rows.join(F.broadcast(lookup), key, how)
     if counts is None:
-        rows = materialize(rows, "join-rows")
         counts = key_counts(rows, key)
     heavy = F.broadcast(
         counts.where((F.col("n") > rows_per_split) & F.col(key).isNotNull()).select(
@@ -64,7 +71,9 @@ def join_unique(
     copied = lookup.join(heavy, key, "left").withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), copies - F.lit(1)))
     )
-    return salted.drop(_COPIES).join(copied.drop(_COPIES), [key, _SALT], how).drop(_SALT)
+    # both sides are shuffled: neither may be sent whole to every task at run time
+    salted, copied = salted.drop(_COPIES).hint("merge"), copied.drop(_COPIES)
+    return salted.join(copied, [key, _SALT], how).drop(_SALT)
 
 
 def content_key(column: str) -> Column:
@@ -87,9 +96,11 @@ def join_by_content(
         *[F.struct(F.col(f"_content_{old}").alias("content"), F.col(old).alias("values")) for old in fields]
     )
     distinct = keyed.select(F.inline(stacked)).groupBy("content").agg(F.first("values").alias("values"))
-    made = materialize(make(distinct), "by-content")
+    path = new_folder(rows.sparkSession, "by-content")
+    made = materialize(make(distinct), "by-content", path)
+    size = stored_bytes(rows.sparkSession, path)
     for old, new in fields.items():
         one = made.select(F.col("content").alias(f"_content_{old}"), F.col("result").alias(new))
         counts = key_counts(keyed, f"_content_{old}")
-        keyed = join_unique(keyed, one, f"_content_{old}", f"_content_{old}", "left", counts)
+        keyed = join_unique(keyed, one, f"_content_{old}", f"_content_{old}", "left", counts, lookup_bytes=size)
     return keyed.drop(*[f"_content_{old}" for old in fields])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlens.operators.joins import ROWS_PER_SPLIT, join_unique
+from termlens.operators.joins import BROADCAST_BYTES, ROWS_PER_SPLIT, join_unique
 
 KEY = "product_uid"
 
@@ -60,10 +60,13 @@ def join_pairs(
     how: str = "inner",
     spread: str = "id",
     rows_per_split: int = ROWS_PER_SPLIT,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Pairs with the texts of their product; pairs without are lost by default.
 
-    ``products`` has one row per product. A product holding a large share of all
-    pairs is split over many tasks.
+    ``products`` has one row per product and is stored. A small table goes to the pairs; with a larger one, a
+    product holding a large share of all pairs is split over many tasks.
     """
-    return join_unique(pairs, products, KEY, spread, how, rows_per_split=rows_per_split)
+    return join_unique(
+        pairs, products, KEY, spread, how, rows_per_split=rows_per_split, broadcast_bytes=broadcast_bytes
+    )

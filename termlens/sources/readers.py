@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlens import schemas
+from termlens.sources.ranges import CsvQuoting, JsonQuoting, read_records
 
 
 def read_delimited(
@@ -44,6 +45,32 @@ def read_delimited(
     )
 
 
+def read_quoted(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    separator: str = ",",
+    range_bytes: int | None = None,
+) -> DataFrame:
+    """``read_delimited`` of quoted text with a header, where values may hold line breaks, by many tasks a file.
+
+    Quotes are doubled inside quoted values. The records are stored once, in the shared folder. Records end in
+    ``\\n`` or ``\\r\\n``; blank lines are no records.
+    """
+    options = {"sep": separator, "escape": '"', "multiLine": "true"}
+    names = spark.read.options(header="true", **options).csv(path).columns
+    missing = [name for name in schema.fieldNames() if name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    records = read_records(spark, path, "\n", CsvQuoting(separator), range_bytes)
+    rows = records.where("block > 0 or place > 0").select(F.regexp_replace("text", r"\r\z", "").alias("text"))
+    texts = T.StructType([T.StructField(f"c{n}", T.StringType()) for n in range(len(names))])
+    parsed = rows.select(F.from_csv("text", texts.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("row"))
+    return parsed.select(
+        *[F.col(f"row.c{names.index(f.name)}").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -52,6 +79,17 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.VOCABULARY).parquet(path)
 
 
+def read_json_dictionary(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """term, term_id of a dictionary kept as one JSON object, however large, or as files that join to one.
+
+    The object is read by ranges cut between its entries.
+    """
+    entries = read_records(spark, path, ",", JsonQuoting(), range_bytes)
+    bare = F.regexp_replace(F.regexp_replace("text", r"^\s*\{", ""), r"\}\s*$", "")
+    one = F.from_json(F.concat(F.lit("{"), bare, F.lit("}")), "map<string, int>")
+    return entries.select(F.explode(one).alias("term", "term_id"))
+
+
 def _word_vector_parts(lines: DataFrame, dimensions: int, column: str) -> DataFrame:
     """line, term, vec, fits: the last ``dimensions`` parts are the numbers, the rest is the word.
 

@@ -1,7 +1,8 @@
 """Search-relevance inputs derived from the retail star-schema tables.
 
 Parts play the products, parts unpivoted their attributes, documents their
-descriptions, and order lines the (search term, product) pairs.
+descriptions, and order lines the (search term, product) pairs. The words of a search term are
+a few neighbours from a conversation, so the pairs have a dictionary of thousands of terms.
 """
 
 from __future__ import annotations
@@ -44,6 +45,18 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words that a search term takes from a conversation.
+TERM_WORDS = 5
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, words: all words of each conversation."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns")
+    )
+    return turns.select("conv_id", F.split(F.array_join("turns.text", " "), r"[\x20\x09-\x0D]+").alias("words"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, product_uid, product_title, search_term, relevance (text, as in a CSV file).
 
@@ -62,18 +75,22 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"
     )
-    terms = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("term_part"), F.col("p_name").alias("term_name")
-    )
+    number = table(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("conversations"))
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    first = (key * TERM_WORDS) % F.greatest(F.size("words") - TERM_WORDS, F.lit(1))
+    words = F.slice("words", (first + 1).cast("int"), F.lit(TERM_WORDS))
     return (
         lines.join(orders, "l_orderkey")
-        .join(terms, "term_part")
+        # one row
+        .crossJoin(F.broadcast(number))
+        .withColumn("conv_id", F.col("term_part") % F.col("conversations"))
+        .join(_spoken(spark, sf_dir), "conv_id")
         .join(products(spark, sf_dir), "product_uid")
         .select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+            key.alias("id"),
             "product_uid",
             "product_title",
-            F.concat("term_name", F.lit(" "), "o_orderpriority").alias("search_term"),
+            F.concat(F.array_join(words, " "), F.lit(" "), "o_orderpriority").alias("search_term"),
             F.round(F.lit(1) + F.lit(20) * F.col("discount"), 1).cast("string").alias("relevance"),
         )
     )

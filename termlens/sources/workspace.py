@@ -45,6 +45,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a stored table's files."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(target).getLength()
+
+
 def remove_stored(spark: SparkSession) -> None:
     """Delete every table that this process has stored, once the results that read them are written."""
     while _made:

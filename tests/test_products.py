@@ -61,7 +61,7 @@ def test_pairs_without_a_product_reach_many_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = products.join_pairs(pairs, texts, "left")
+        joined = products.join_pairs(pairs, texts, "left", broadcast_bytes=-1)
         assert joined.count() == 900
         assert joined.groupBy(F.spark_partition_id()).count().count() == 8
     finally:
@@ -78,8 +78,10 @@ def test_a_product_with_a_third_of_all_pairs_is_split(spark, how):
         F.col("id").alias("product_uid"), F.lit("a").alias("name"), F.col("id").cast("string").alias("value")
     )
     texts = products.attribute_text(entries)
-    for rows_per_split in (100, 1_000_000):
-        joined = products.join_pairs(pairs, texts, how, rows_per_split=rows_per_split)
+    for rows_per_split, broadcast_bytes in ((100, -1), (1_000_000, -1), (100, 1 << 20)):
+        joined = products.join_pairs(
+            pairs, texts, how, rows_per_split=rows_per_split, broadcast_bytes=broadcast_bytes
+        )
         assert joined.columns == ["product_uid", "id", "attributes"]
         assert joined.exceptAll(pairs.join(texts, "product_uid", how)).count() == 0
         assert joined.count() == pairs.join(texts, "product_uid", how).count()
@@ -93,9 +95,26 @@ def test_the_hot_product_reaches_many_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = joins.join_unique(pairs, texts, "product_uid", "id", rows_per_split=100)
+        joined = joins.join_unique(
+            pairs, texts, "product_uid", "id", rows_per_split=100, broadcast_bytes=-1
+        )
         tasks = joined.groupBy(F.spark_partition_id()).count().collect()
         assert len(tasks) == 8 and max(r["count"] for r in tasks) < 1_500
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _final_plan(frame):
+    frame.count()
+    return frame._jdf.queryExecution().toString()
+
+
+def test_the_pairs_are_never_the_side_that_is_sent(spark):
+    pairs = spark.range(200).select("id", (F.col("id") % 7).alias("product_uid"))
+    texts = spark.range(7).select(F.col("id").alias("product_uid"), F.lit("t").alias("attributes"))
+    small = products.join_pairs(pairs, texts)
+    assert "BuildRight" in _final_plan(small) and "BuildLeft" not in _final_plan(small)
+    large = products.join_pairs(pairs, texts, broadcast_bytes=-1)
+    last = _final_plan(large.select("id", "attributes"))
+    assert "SortMergeJoin [product_uid" in last and "BuildLeft" not in last
