@@ -3,19 +3,21 @@
 Letters are lower-cased, runs of anything else become one space. Each language's model has
 orders 1 to 4: counts of 4-grams, continuation counts (distinct left neighbours) below, one absolute
 discount per order and language, down to a uniform distribution. A text goes to the
-language of the lowest cross-entropy per character. How sure that is, from 0 to 1, is
-a logistic function of the margin to the second language, scaled by the root of the length; it
-is calibrated on training texts, and a score below ``REJECT`` marks the text as rejected.
-
-Counting covers every letter of every training text: tasks count, and Spark adds the counts by
-language and 4-gram, which is named by its own 64 bits. While 4-grams times languages stay within ``SENT``, the model is
+language of the lowest cross-entropy per character. Its score, from 0 to 1, is the product of two chances: a logistic
+function of the margin to the second language, scaled by the root of the length, and one of how far the text's own cross-entropy
+lies beyond what texts of that language have. A score below ``REJECT`` marks the text as rejected: a language that was not
+learned is far from all models, however clear its margin. Both are calibrated on training texts that are held back from the
+counts: of a tenth of the ids, those with the ``CALIBRATION`` smallest hashes.
+
+Counting covers every letter of every other training text: tasks count, and Spark adds the counts by
+language and 4-gram, which is named by its own 64 bits: letters are UTF-16 units, so one beyond 16 bits counts as two. While 4-grams times languages stay within ``SENT``, the model is
 arrays in the order of a hash, which travel to the tasks; 4-grams of one hash stand side by side and are told apart by
 their bits. A larger model stays in stored tables (``TableModels``): its lower orders are counted in Spark, and the texts meet
-the distinct 4-grams of their piece by joins. Both forms give the same results.
+the distinct 4-grams of their piece by joins. Both forms do the same arithmetic.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0. A document with a
-null lang or text, or a null doc_id, is not learned from; a null doc_id counts as held out. With no
-training text at all, everything is ``und``. Rows that repeat a doc_id each count. Equal scores go to the
+null lang or text, or a null doc_id, is not learned from; a null doc_id counts as held out. A language whose texts
+are all held back is not learned. With no training text at all, everything is ``und``; an empty table gives an empty one. Rows that repeat a doc_id each count. Equal scores go to the
 language that is first by name. Other columns are not looked at.
 """
 
@@ -38,36 +40,54 @@ ORDER = 4
 HASH_BITS = 21
 #: Largest model, in 4-grams times languages, that is fitted on the driver and sent to the tasks.
 SENT = 4_000_000
-#: Training texts on which scores are calibrated: those whose doc_ids have the smallest hashes.
+#: Training texts held back to calibrate scores on, at most, and the share of ids they are taken from.
 CALIBRATION = 4_000
+HELD_BACK = 10
 REJECT = 0.5
+#: The excess that this share of a language's texts stays below is widened by ``SLACK`` of itself to make the limit.
+WITHIN, SLACK = 0.995, 0.5
+#: How fast the score falls around the limit, and letters at which a text's excess counts 0.7.
+STEEPNESS, SHORT = 10.0, 100
+#: Least excess, in nats a letter, that a limit is made from.
+LEAST_LIMIT = 0.5
 UNKNOWN = "und"
 #: Distinct 4-grams that a task holds before it hands its counts on.
 HELD = 2_000_000
 
 
 def _letters() -> np.ndarray:
-    """Code point -> lower-case letter in 16 bits, 0 for anything else."""
-    table = np.zeros(0x110000, np.uint64)
+    """Code point -> its lower-case letter, 0 for anything else."""
+    table = np.zeros(0x110000, np.uint32)
     for code in range(0x110000):
         if chr(code).isalpha():
-            lower = ord(chr(code).lower()[0])
-            table[code] = (lower ^ (lower >> 16) * 0x9E37) & 0xFFFF or 1
+            table[code] = ord(chr(code).lower()[0])
     return table
 
 
+def _units(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters as UTF-16 units, with the owner of each."""
+    wide = symbols > 0xFFFF
+    if wide.any():
+        times = 1 + wide
+        second = np.cumsum(times)[wide] - 1
+        rest = symbols[wide] - 0x10000
+        symbols, owner = np.repeat(symbols, times), np.repeat(owner, times)
+        symbols[second - 1], symbols[second] = 0xD800 + (rest >> 10), 0xDC00 + (rest & 0x3FF)
+    return symbols.astype(np.uint64), owner
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Every 4-gram of the texts and the number of the text that it ends in.
 
-    The character that it ends with is in the lowest 16 bits, the one before in the next.
+    The letter that it ends with is in the lowest 16 bits, the one before in the next.
     """
     table = worker_state("letters", _letters)
     codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), "<u4")
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])
     symbols = table[codes]
-    before = np.r_[np.uint64(0), symbols[:-1]]
+    before = np.r_[np.uint32(0), symbols[:-1]]
     kept = (symbols != 0) | (before != 0)
-    symbols, owner = symbols[kept], owner[kept]
+    symbols, owner = _units(symbols[kept], owner[kept])
     packed = symbols.copy()
     for back in range(1, ORDER):
         same = owner[back:] == owner[:-back]
@@ -99,12 +119,25 @@ class Level:
     weights: np.ndarray
 
 
+#: Languages, scores, margins, lowest cross-entropies and lengths of texts.
+Judged = tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+@dataclass
+class Calibration:
+    """How sure a result is: the line of the margin, and for each language the usual cross-entropy and the least unusual one."""
+
+    line: tuple[float, float] = (0.0, 1.0)
+    usual: list[float] = field(default_factory=list)
+    limit: list[float] = field(default_factory=list)
+
+
 @dataclass
 class CharacterModels:
     languages: list[str]
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     levels: list[Level] = field(default_factory=list)
-    logistic: tuple[float, float] = (0.0, 1.0)
+    calibration: Calibration = field(default_factory=Calibration)
 
     def index(self) -> np.ndarray:
         """First row of the top level for each hash; its rows end where those of the next hash begin."""
@@ -157,12 +190,13 @@ class CharacterModels:
             chances[missing] = self._back_off(packed[missing], ORDER)
         return _means(chances, owner, len(texts))
 
-    def predict(self, texts: list[str | None], index: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and calibrated margin of each text."""
+    def predict(self, texts: list[str | None], index: np.ndarray) -> Judged:
+        """Language, score, margin, lowest cross-entropy and length of each text."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            nothing = np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), nothing, nothing, nothing, np.zeros(len(texts), np.int64)
         entropy, lengths = self.entropies([t or "" for t in texts], index)
-        return _judged(self.languages, self.logistic, entropy, lengths)
+        return _judged(self.languages, self.calibration, entropy, lengths)
 
 
 @dataclass
@@ -177,30 +211,39 @@ class TableModels:
     contexts: list[DataFrame]
     discounts: list[list[float]]
     letters: list[float]
-    logistic: tuple[float, float] = (0.0, 1.0)
+    calibration: Calibration = field(default_factory=Calibration)
 
     def chances(self, queries: DataFrame, order: int = ORDER) -> DataFrame:
         """gram and its log probabilities by language, for the distinct n-grams ``gram`` of ``queries``.
 
         A join key has at most 2**16 rows: the letters before or after it.
         """
-        return self._chances(queries, order).select("gram", F.transform("p", lambda p: F.log(p).cast("float")).alias("chances"))
+        return self._chances(queries, order).select("gram", F.col("log").alias("chances"))
 
     def _chances(self, queries: DataFrame, order: int) -> DataFrame:
+        """gram, p (of n-grams that the order knows) and log, by language.
+
+        As in the arrays, a known n-gram has the logarithm of its chance, and another one that of its context's
+        weight, added to what the order below has, in 32 bits.
+        """
         wanted = queries.select("gram", _shorter(order - 1).alias("short"), F.shiftrightunsigned("gram", 16).alias("context"))
         joined = wanted.join(self.grams[order - 1], "gram", "left")
         joined = joined.join(self.contexts[order - 1].withColumnRenamed("gram", "context"), "context", "left")
         if order > 1:
             lower = self._chances(wanted.select(F.col("short").alias("gram")).distinct(), order - 1)
-            joined = joined.join(lower.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short")
-        entries = []
+            lower = lower.select(F.col("gram").alias("short"), F.col("p").alias("p_below"), F.col("log").alias("log_below"))
+            joined = joined.join(lower, "short")
+        is_known = F.col("held").isNotNull()
+        chances, logs = [], []
         for number, discount in enumerate(self.discounts[order - 1]):
             held, total, types = (F.coalesce(F.col(c)[number], F.lit(0.0)) for c in ("held", "total", "types"))
-            uniform = F.when(F.col("held").isNull(), 1 / 65_536.0).otherwise(1 / (self.letters[number] + 1))
-            base = F.col("below")[number] if order > 1 else uniform
-            known = F.greatest(held - discount, F.lit(0.0)) / total + discount * types / total * base
-            entries.append(F.when(total > 0, known).otherwise(base))
-        return joined.select("gram", F.array(*entries).alias("p"))
+            weight = F.when(total > 0, F.lit(discount) * types / total).otherwise(1.0)
+            base = F.col("p_below")[number] if order > 1 else F.lit(1 / (self.letters[number] + 1))
+            own = F.when(total > 0, F.greatest(held - discount, F.lit(0.0)) / total).otherwise(0.0)
+            chances.append(own + weight * base)
+            below = F.col("log_below")[number] if order > 1 else F.lit(-np.log(65_536.0)).cast("float")
+            logs.append(F.when(is_known, F.log(own + weight * base).cast("float")).otherwise(F.log(weight).cast("float") + below))
+        return joined.select("gram", F.array(*chances).alias("p"), F.array(*logs).alias("log"))
 
 
 def _means(chances: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,17 +254,28 @@ def _means(chances: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarr
     return -sums / np.maximum(lengths, 1)[:, None], lengths
 
 
-def _judged(languages: list[str], logistic: tuple[float, float], entropy: np.ndarray, lengths: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and calibrated margin from the cross-entropies by text and language."""
+def _judged(languages: list[str], calibration: Calibration, entropy: np.ndarray, lengths: np.ndarray) -> Judged:
+    """Language, score, margin, lowest cross-entropy and length from the cross-entropies by text and language."""
     texts = np.arange(len(lengths))
     best = entropy.argmin(axis=1)
-    lowest = entropy[texts, best]
+    lowest = entropy[texts, best].copy()
     entropy[texts, best] = np.inf
     margin = (entropy.min(axis=1) - lowest) * np.sqrt(lengths) if len(languages) > 1 else np.full(len(texts), 10.0)
     margin = np.where(lengths > 0, margin, 0.0)
-    offset, slope = logistic
-    score = np.where(lengths > 0, 1 / (1 + np.exp(-np.clip(offset + slope * margin, -50, 50))), 0.0)
-    return [languages[b] if n else UNKNOWN for b, n in zip(best, lengths)], score, margin
+    offset, slope = calibration.line
+    score = 1 / (1 + np.exp(-np.clip(offset + slope * margin, -50, 50)))
+    if calibration.limit:
+        usual, limit = (np.array(values)[best] for values in (calibration.usual, calibration.limit))
+        # one half at the limit, next to one where the cross-entropy is the usual one
+        beyond = (_excess(lowest, usual, lengths) - limit) / limit
+        score = score / (1 + np.exp(np.clip(STEEPNESS * beyond, -50, 50)))
+    score = np.where(lengths > 0, score, 0.0)
+    return [languages[b] if n else UNKNOWN for b, n in zip(best, lengths)], score, margin, lowest, lengths
+
+
+def _excess(entropy: np.ndarray, usual: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How far a text's cross-entropy is above the usual one; that of few letters varies more, and counts less."""
+    return (entropy - usual) * np.sqrt(lengths / (lengths + SHORT))
 
 
 def _discount(counts: np.ndarray) -> np.ndarray:
@@ -326,23 +380,54 @@ def _table_model(counted: DataFrame, languages: list[str]) -> TableModels:
     return TableModels(languages, grams, contexts, discounts, letters)
 
 
+def _order() -> Column:
+    return F.xxhash64(F.lit("calibration"), "doc_id")
+
+
+def _held_back(documents: DataFrame, most: int) -> Column:
+    """Whether a training document is held back: of a tenth of the ids, those of the ``most`` smallest hashes."""
+    tenth = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_BACK)) == 0
+    ids = documents.where(tenth).select(_order().alias("order")).distinct()
+    last = ids.orderBy("order").limit(most).agg(F.max("order")).first()[0]
+    return tenth & (_order() <= F.lit(last)) if last is not None else F.lit(False)
+
+
 def train(documents: DataFrame, calibration: int = CALIBRATION, sent: int = SENT) -> CharacterModels | TableModels:
     """Models of all languages of ``documents`` (doc_id, lang, text)."""
-    counted = materialize(count_grams(documents), "counted-grams")
+    known = documents.where("lang is not null and text is not null and doc_id is not null")
+    back = _held_back(known, calibration)
+    counted = materialize(count_grams(known.where(~back)), "counted-grams")
     languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
     if not languages:
         return CharacterModels([])
     size = counted.select("gram").distinct().count() * len(languages)
     model = _array_model(counted, languages) if size <= sent else _table_model(counted, languages)
-    sample = documents.where("lang is not null and text is not null").withColumn("__order", F.xxhash64("doc_id"))
-    few = sample.select("doc_id", "__order").orderBy("__order").limit(calibration).select(F.col("doc_id").alias("__id")).distinct()
-    few = sample.join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
-    judged = identify(few, model, with_margin=True, keep=["doc_id", "lang"]).where(F.col("lang_pred") != UNKNOWN)
-    seen = judged.select("margin", (F.col("lang_pred") == F.col("lang")).alias("right")).toArrow()
-    model.logistic = _calibrated(seen.column("margin").to_numpy(), np.array(seen.column("right").to_pylist(), float))
+    judged = identify(known.where(back), model, ["doc_id", "lang"], True).where(F.col("lang_pred") != UNKNOWN)
+    columns = ["lang", "lang_pred", "margin", "entropy", "letters"]
+    # copies of a text count once, and never more than ``calibration`` rows go to the driver
+    few = judged.select("doc_id", *columns).distinct().orderBy(_order(), "doc_id", *columns).limit(calibration)
+    model.calibration = _calibration(few.select(*columns).toArrow(), languages)
     return model
 
 
+def _calibration(seen: pa.Table, languages: list[str]) -> Calibration:
+    lang, guessed = (np.array(seen.column(c).to_pylist(), object) for c in ("lang", "lang_pred"))
+    margin, entropy, lengths = (seen.column(c).to_numpy() for c in ("margin", "entropy", "letters"))
+    right = lang == guessed
+    usual, limit = [], []
+    for language in languages:
+        own = right & (lang == language)
+        # a language without such texts is taken as all of them
+        own = own if own.any() else right
+        if not own.any():
+            return Calibration(_calibrated(margin, right.astype(float)))
+        middle = float(np.median(entropy[own]))
+        excess = _excess(entropy[own], middle, lengths[own])
+        usual.append(middle)
+        limit.append(float((1 + SLACK) * max(np.quantile(excess, WITHIN), LEAST_LIMIT)))
+    return Calibration(_calibrated(margin, right.astype(float)), usual, limit)
+
+
 def _calibrated(margin: np.ndarray, right: np.ndarray) -> tuple[float, float]:
     """Offset and slope of P(right | margin), with one wrong guess added at margin 0 and one right at 5."""
     x, y = np.r_[margin, 0.0, 0.0, 5.0], np.r_[right, 0.0, 1.0, 1.0]
@@ -364,17 +449,24 @@ def identify(
     source = documents.select(*kept, F.col("text").alias("__text"))
     judged = _by_tables(source, model) if isinstance(model, TableModels) else _by_arrays(source, model)
     judged = judged.withColumn("rejected", F.col("score") < REJECT)
-    return judged if with_margin else judged.drop("margin")
+    return judged if with_margin else judged.drop("margin", "entropy", "letters")
 
 
 def _schema(source: DataFrame) -> str:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return f"{fields}, lang_pred string, score double, margin double"
+    return f"{fields}, lang_pred string, score double, margin double, entropy double, letters bigint"
+
+
+_JUDGED = ["lang_pred", "score", "margin", "entropy", "letters"]
+
+
+def _columns(judged: Judged) -> list[pa.Array]:
+    return [pa.array(judged[0], pa.string()), *[pa.array(j, pa.float64()) for j in judged[1:4]], pa.array(judged[4], pa.int64())]
 
 
 def _by_tables(source: DataFrame, model: TableModels) -> DataFrame:
     """The texts are stored in pieces; each meets the probabilities of its own distinct 4-grams, which joins find."""
-    languages, logistic = model.languages, model.logistic
+    languages, calibration = model.languages, model.calibration
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
@@ -398,10 +490,9 @@ def _by_tables(source: DataFrame, model: TableModels) -> DataFrame:
         values = (pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists).flatten().to_numpy()
         rows = order[np.searchsorted(keys, packed, sorter=order)] if len(packed) else np.zeros(0, np.int64)
         entropy, lengths = _means(values.reshape(-1, len(languages))[rows], owner, texts.num_rows)
-        names, scores, margins = _judged(languages, logistic, entropy, lengths)
         columns = [texts.column(n) for n in texts.column_names if n not in ("__part", "__text")]
-        columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())]
-        return pa.table(columns, names=[*texts.column_names[1:-1], "lang_pred", "score", "margin"])
+        columns += _columns(_judged(languages, calibration, entropy, lengths))
+        return pa.table(columns, names=[*texts.column_names[1:-1], *_JUDGED])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
     stored = materialize(source.mapInArrow(cut, f"__part bigint, {fields}"), "pieces")
@@ -420,17 +511,18 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 def _by_arrays(source: DataFrame, model: CharacterModels) -> DataFrame:
     levels = [(n.keys, n.chances, n.contexts, n.weights) for n in model.levels]
-    sent = source.sparkSession.sparkContext.broadcast((model.languages, model.hashes, levels, model.logistic))
+    known = model.calibration
+    # plain values: workers need not have the package
+    sent = source.sparkSession.sparkContext.broadcast((model.languages, model.hashes, levels, (known.line, known.usual, known.limit)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, hashes, levels, logistic = sent.value
-        held = CharacterModels(languages, hashes, [Level(*level) for level in levels], logistic)
+        languages, hashes, levels, calibration = sent.value
+        held = CharacterModels(languages, hashes, [Level(*level) for level in levels], Calibration(*calibration))
         index = held.index()
         for piece in pieces(batches, "__text"):
-            names, scores, margins = held.predict(piece.column("__text").to_pylist(), index)
             columns = [piece.column(i) for i in range(piece.num_columns - 1)]
-            columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names[:-1], "lang_pred", "score", "margin"])
+            columns += _columns(held.predict(piece.column("__text").to_pylist(), index))
+            yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names[:-1], *_JUDGED])
 
     return source.mapInArrow(judge, _schema(source))
 

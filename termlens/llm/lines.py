@@ -9,7 +9,7 @@ the pages where it is small, and joins with each host's pages spread over tasks
 
 Defined results: a page without text keeps an empty text; a null or hostless url is the
 host ''. A line counts once per page; rows that repeat a page each count. Blank lines are no
-lines. Columns other than the named ones are not looked at.
+lines. An empty table gives an empty one. Columns other than the named ones are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from termlens.llm.components import join_spread
 from termlens.sources.workspace import materialize
 
 RATIO = 0.1
-LEAST_PAGES = 5
+#: The least that tells a repeated line from a single one.
+LEAST_PAGES = 2
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: What holds no text, the tags that end a line, and all other tags.

@@ -9,14 +9,14 @@ Features say what occurs, not how often, so one insult counts alike in a short a
 the words (A-Z in lower case, other bytes kept), and the text's shape in eighths: shares of
 words in capitals, words that end in marks, lone marks, repeated words and distinct words.
 
-The fit takes a documented, bounded sample: the ``SAMPLE`` labelled rows whose ids have the
+The fit takes a documented, bounded sample: the ``SAMPLE`` labels of documents of the table whose ids have the
 smallest hashes. Each sampled document is cut to its set of feature buckets, at most
 ``BUCKETS``. Features that do not tell grades apart in the sample beyond chance get no weight, so
 that the many rare words of a long text cannot add up. Scoring looks at every word of every text.
 
 Defined results: a null or empty text has no words; it has no features. A label of
-a null doc_id or a null quality is not used; a null toxic counts as 0. Rows that repeat a doc_id
-are each scored; labels that repeat are each used. Without any usable label, or with one grade
+a null doc_id is not used, nor one of a null quality unless it says toxic; a null toxic counts as 0. Rows that
+repeat a doc_id are each scored; in the sample, rows that agree in id, grade and features count once. An empty table gives an empty one. Without any usable label, or with one grade
 only, nothing can be told apart: nothing is rejected, and every tail is 1. Columns other than the named ones are not looked at.
 """
 
@@ -139,15 +139,18 @@ def fit(
 
 
 def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
-    """0 toxic, 1 of low quality, 2 good; null where the quality is not known."""
-    poor = F.when(F.col(quality) == 0, 1).otherwise(2)
-    return F.when(F.col(quality).isNull(), None).otherwise(F.when(F.coalesce(toxic, F.lit(0)) > 0, 0).otherwise(poor))
+    """0 toxic, whatever the quality, 1 of low quality, 2 good; null where neither is known."""
+    known = F.when(F.col(quality).isNull(), None).when(F.col(quality) == 0, 1).otherwise(2)
+    return F.when(F.coalesce(toxic, F.lit(0)) > 0, 0).otherwise(known)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
     """Feature buckets and grades of at most ``most`` labelled documents, on the driver."""
     rated = labels.select(F.col("doc_id").alias("rated_id"), grade().alias("grade")).where("rated_id is not null and grade is not null")
-    chosen = rated.withColumn("order", F.xxhash64("rated_id")).orderBy("order", "rated_id", "grade").limit(most)
+    # labels of other documents must not use up the sample
+    ids = documents.select("doc_id")
+    usable = rated.distinct().join(ids, F.col("rated_id") == F.col("doc_id"), "left_semi")
+    chosen = usable.withColumn("order", F.xxhash64("rated_id")).orderBy("order", "rated_id", "grade").limit(most)
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     # at most ``most`` rows of two numbers go to the documents
     sampled = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("rated_id")).select("doc_id", "grade", "text")
@@ -158,7 +161,10 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("grade"), pa.array(rows, pa.binary())], names=["doc_id", "grade", "buckets"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    found = sampled.mapInArrow(cut, f"doc_id {kind}, grade int, buckets binary").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    # copies of a document count once, and however often an id stands, no more than ``most`` rows go to the driver
+    distinct = sampled.mapInArrow(cut, f"doc_id {kind}, grade int, buckets binary").distinct()
+    bounded = distinct.orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "buckets").limit(most)
+    found = bounded.toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("buckets", "ascending")])
     rows = [np.frombuffer(b, "<i4") for b in found.column("buckets").to_pylist()]
     return rows, np.array(found.column("grade").to_pylist(), np.int64)
 

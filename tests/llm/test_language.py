@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termlens.llm import language as G
 
@@ -16,13 +17,16 @@ def _symbols(text):
     out = [0, 0, 0]
     for char in text + "\n":
         s = ord(char.lower()[0]) if char.isalpha() else 0
-        if s or out[-1]:
+        if s > 0xFFFF:
+            out += [0xD800 + (s - 0x10000 >> 10), 0xDC00 + (s - 0x10000 & 0x3FF)]
+        elif s or out[-1]:
             out.append(s)
     return out
 
 
 def test_grams_are_those_of_each_text_alone():
-    texts = ["Ab, cD!", "", "...", "é", "no  end", "a\nb"]
+    # the last ones hold letters beyond 16 bits, one of them with a lower case
+    texts = ["Ab, cD!", "", "...", "é", "no  end", "a\nb", "\U00020000a", "x\U00010400 \U0002A6D6\U00020000"]
     packed, owner = G.grams(texts)
     expected = []
     for number, text in enumerate(texts):
@@ -100,7 +104,10 @@ def test_every_gram_keeps_its_own_counts(spark):
     chance = random.Random(8)
     rows = [(doc, "xy"[doc % 2], "".join(chance.choices("abcdefghijklmnopqrstuvwxyz", k=5_000)), "s") for doc in range(40)]
     model = G.train(spark.createDataFrame(rows, DOCS).repartition(3))
-    expected = np.unique(G.grams([r[2] for r in rows])[0])
+    docs = spark.createDataFrame(rows, DOCS)
+    counted = {r.doc_id for r in docs.where(~G._held_back(docs, G.CALIBRATION)).collect()}
+    assert 0 < len(counted) < len(rows)
+    expected = np.unique(G.grams([r[2] for r in rows if r[0] in counted])[0])
     assert len(set(G.hashed(expected).tolist())) < len(expected)
     assert np.array_equal(np.sort(model.levels[-1].keys), expected)
     for order in (1, 2, 3):
@@ -122,13 +129,38 @@ def test_tables_give_the_results_of_arrays(spark):
     learned = docs.where("doc_id < 60")
     arrays, tables = G.train(learned), G.train(learned, sent=0)
     assert isinstance(arrays, G.CharacterModels) and isinstance(tables, G.TableModels)
-    assert tables.logistic == pytest.approx(arrays.logistic, rel=1e-3)
+    for one, other in zip(vars(arrays.calibration).values(), vars(tables.calibration).values()):
+        assert other == pytest.approx(one, rel=1e-6)
 
     def found(model):
         got = G.identify(docs, model, ["doc_id", "lang"], with_margin=True).collect()
-        return sorted((-1 if r.doc_id is None else r.doc_id, r.lang or "", r.lang_pred, r.margin) for r in got)
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.lang or "", r.lang_pred, r.rejected, r.margin, r.score) for r in got)
 
     one, other = found(arrays), found(tables)
-    assert len(one) == len(rows) and [r[:3] for r in one] == [r[:3] for r in other]
-    assert [r[3] for r in one] == pytest.approx([r[3] for r in other], abs=1e-4)
+    assert len(one) == len(rows) and [r[:4] for r in one] == [r[:4] for r in other]
+    for column in (4, 5):
+        assert [r[column] for r in one] == pytest.approx([r[column] for r in other], rel=1e-6, abs=1e-9)
     assert G.identify(docs.limit(0), tables).count() == 0
+
+
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_a_language_that_was_not_learned_is_rejected(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text").repartition(4).cache()
+    other = G.held_out()
+    learned = docs.where(~other & (F.col("lang") != left_out))
+    got = G.identify(docs.where("lang is not null"), G.train(learned), ["doc_id", "lang", "text"]).withColumn("held_out", other).collect()
+    # junk without words has no language
+    got = [r for r in got if r.text is not None and sum(c.isalpha() for c in r.text) >= 40]
+    foreign = [r.rejected for r in got if r.lang == left_out]
+    known = [r.rejected for r in got if r.lang != left_out and r.held_out]
+    print(left_out, len(foreign), np.mean(foreign), len(known), np.mean(known))
+    assert len(foreign) > 50 and np.mean(foreign) >= 0.95
+    assert len(known) > 50 and np.mean(known) <= 0.02
+
+
+def test_other_scripts_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    model = G.train(docs.where(~G.held_out()))
+    texts = ["これは日本語の文章です。とても短いですが十分です。" * 3, "Это предложение на русском языке, и оно довольно длинное." * 2, "xkcd qwrt zzp brtk lmnp wqx vvb " * 5]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id bigint, text string")
+    assert [r.rejected for r in G.identify(rows, model).orderBy("doc_id").collect()] == [True] * 3

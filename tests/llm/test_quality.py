@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from termlens.llm import quality as Q
 
@@ -77,3 +78,20 @@ def test_without_two_grades_nothing_is_rejected(spark):
     # one of the grades may be missing
     model = Q.fit([np.array([1], np.int32)] * 40 + [np.array([2], np.int32)] * 40, np.array([0] * 40 + [1] * 40))
     assert len(model.thresholds) == 2
+
+
+def test_labels_of_other_documents_do_not_use_up_the_sample(spark):
+    docs = spark.createDataFrame([(n, f"word{n % 7} text {n}") for n in range(200)], "doc_id bigint, text string")
+    own = spark.createDataFrame([(n, n % 2, 0) for n in range(200)], "doc_id bigint, quality int, toxic int")
+    foreign = spark.range(10_000, 400_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    few = Q.labelled_sample(docs, own.unionByName(foreign), 150)
+    assert len(few[0]) == 150 and [list(r) for r in few[0]] == [list(r) for r in Q.labelled_sample(docs, own, 150)[0]]
+
+
+def test_repeated_ids_are_bounded_and_toxic_needs_no_quality(spark):
+    docs = spark.createDataFrame([(1, f"text {n}") for n in range(500)] + [(2, "same words")] * 300 + [(3, "vile")], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(1, 1, None), (2, 0, 0), (3, None, 1), (4, None, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    rows, grades = Q.labelled_sample(docs, marks, 50)
+    assert len(rows) <= 50
+    rows, grades = Q.labelled_sample(docs, marks, 10_000)
+    assert sorted(set(grades.tolist())) == [0, 1, 2] and (grades == 1).sum() == 1 and (grades == 0).sum() == 1
