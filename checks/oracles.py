@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from checks.queries import ONE_FEATURE_LAMBDA, VECTOR_SIZE
+from checks.queries import CLASSES, ONE_FEATURE_LAMBDA, VECTOR_SIZE
 from termlens.functions import stems
 from termlens.functions.stopwords import ENGLISH
+from termlens.operators import models
 
 _STOP_LIST = ", ".join("'" + word.replace("'", "''") + "'" for word in ENGLISH)
 
@@ -247,10 +248,9 @@ pooled as (
 
 def _stems(source: str) -> str:
     """stems(term, stem) of the distinct terms of ``source``, step by step as published."""
-    shape = "regexp_replace(regexp_replace(w, '[^aeiouy]', 'c', 'g'), '[aeiou]', 'v', 'g')"
-    for _ in range(stems.Y_PAIRS):
-        shape = rf"regexp_replace(regexp_replace({shape}, 'cy', 'cv', 'g'), '(^|v)y', '\1c', 'g')"
-    shape = f"replace({shape}, 'y', 'c')"
+    marks = "regexp_replace(regexp_replace(w, '[^aeiouy]', 'c', 'g'), '[aeiou]', 'v', 'g')"
+    turned = "case when m <> 'y' then m when right(done, 1) = 'c' then 'v' else 'c' end"
+    shape = f"list_reduce(list_prepend('', string_split({marks}, '')), lambda done, m: done || {turned})"
 
     def cut(text: str, count: int) -> str:
         return f"left({text}, length({text}) - {count})"
@@ -312,6 +312,64 @@ def _stems(source: str) -> str:
 _STEMMED = f"""{_DOCUMENT_TOKENS},
 tokens_of as (select doc_id, unnest(tokens) as term, generate_subscripts(tokens, 1) as pos from docs), {_stems('tokens_of')}"""
 
+_WEIGHT = "((index * 7919 + class * 104729) % 1009 - 504) / 10000.0"
+
+_BIGRAM_COUNTS = f"""{_JOINED_BIGRAMS},
+grams as (select id, unnest({_bigrams('tokens')}) as term from with_attributes),
+{_buckets('grams', 30000)},
+counted as (
+  select id, bucket as index, count(*)::double as tf from grams join hashed using (term) group by id, bucket),
+labelled as (
+  select id, relevance::double as y, {_SPLIT} as split from with_attributes join pair_tokens using (id))
+"""
+
+_FIELD_COUNTS = f"""{_PAIR_TOKENS}, {_NAME_VALUE_TEXT},
+fields as (
+  select 'p' as kind, id, 0 as place, unnest(title_tokens) as term from pair_tokens
+  union all select 'p', id, 1, unnest(sterm_tokens) from pair_tokens
+  union all select 'd', doc_id, 2, unnest({_tokens('text')}) from documents
+  union all select 'd', product_uid, 3, unnest({_tokens('attributes')}) from attribute_text),
+{_buckets('fields', 16384)},
+parts as (
+  select kind, id, place * 16384 + bucket as index, count(*)::double as tf
+  from fields join hashed using (term) group by kind, id, place, bucket),
+labelled as (
+  select id, product_uid, relevance::double as y, {_SPLIT} as split
+  from pair_tokens join documents on doc_id = product_uid join attribute_text using (product_uid)),
+counted as (
+  select l.id, index, tf from labelled l join parts p on kind = 'p' and p.id = l.id
+  union all select l.id, index, tf from labelled l join parts p on kind = 'd' and p.id = l.product_uid)
+"""
+
+
+def _weighted(classes: int) -> str:
+    """x: IDF-weighted entries of all rows; margins: one number per row and class, at the stated weights."""
+    return f"""
+train_size as (select count(*) as m from labelled where split = 'train'),
+frequencies as (
+  select index, count(*) as df from counted join labelled using (id) where split = 'train' group by index),
+x as (
+  select id, index, tf * ln((m + 1) / (coalesce(df, 0) + 1)) as v
+  from counted left join frequencies using (index), train_size),
+classes as (select c::integer as class from range({classes}) r(c)),
+sums as (select id, class, sum(v * {_WEIGHT}) as s from x, classes group by id, class),
+margins as (
+  select id, split, y, class, 2.0 + class / 10 + coalesce(s, 0) as margin
+  from labelled cross join classes left join sums using (id, class)),
+spread as (
+  select index, (sum(v * v) - sum(v) * sum(v) / m) / (m - 1) as variance
+  from x join labelled using (id), train_size where split = 'train' group by index, m),
+penalty as (select sum(power({_WEIGHT}, 2) * variance) / 2 as penalty from spread, classes)
+"""
+
+
+def _squared(counts: str, regularization: float) -> str:
+    return f"""with {counts}, {_weighted(1)}
+        select round(avg(power(y - margin, 2)) / 2 / var_samp(y)
+            + {regularization} / stddev_samp(y) * any_value(penalty) / var_samp(y), 6) as stated, 0.0::double as gap
+        from margins, penalty where split = 'train'"""
+
+
 ORACLES: dict[str, str] = {
     "stem_terms": f"with {_STEMMED} select term, stem from stems",
     "stem_tokens": f"""with {_STEMMED},
@@ -429,6 +487,59 @@ ORACLES: dict[str, str] = {
     "scan_descriptions_csv": (
         "select cast(doc_id as varchar) as product_uid, text as product_description from documents"
     ),
+    "scan_quoted_csv": (
+        "select cast(doc_id as varchar) as product_uid, text as product_description from documents"
+    ),
+    "dictionary_json_roundtrip": f"""with {_DOCUMENT_TOKENS},
+        {_vocabulary('docs', 'doc_id', least=1, size=1 << 40)} select term, term_id from vocabulary""",
+    "pair_by_position": f"""with {_PAIRS}
+        select id, product_title, relevance::float::double as relevance from pairs""",
+    "count_vectors": f"""with {_DOCUMENT_VOCABULARY}
+        select doc_id, (term_id - 1)::integer as index, count(*) as value
+        from tokens_of join vocabulary using (term) group by doc_id, term_id having count(*) >= 2""",
+    "count_vectors_share": f"""with {_DOCUMENT_TOKENS}, {_vocabulary('docs', 'doc_id', least=1, size=1 << 40)},
+        sizes as (select doc_id, len(tokens) as size from docs)
+        select doc_id, (term_id - 1)::integer as index, count(*) as value
+        from tokens_of join vocabulary using (term) join sizes using (doc_id)
+        group by doc_id, term_id, size having count(*) >= 0.01::double * size""",
+    "embedding_matrix_last_vector": f"""with {_WORD_VECTORS}
+        select term_id, round(coalesce(vec[1], 0)::double, 5) as first
+        from (select term_id from vocabulary where term <> '' union all select 0) left join vectors using (term_id)""",
+    "document_mean_vector_join": f"""with {_DOCUMENT_VOCABULARY},
+        one as (select doc_id as id, term_id from tokens_of join vocabulary using (term) where term <> ''),
+        vectors as (select vec_id as term_id, embedding as vec from embeddings where vec_id in (select term_id from vocabulary)),
+        entries as (select term_id, unnest(vec) as value, generate_subscripts(vec, 1) as pos from vectors),
+        lengths as (select id, count(*) as n from one group by id),
+        per_entry as (
+          select id, pos, sum(value::double) as total, max(value) as top, count(*) as present
+          from one join entries using (term_id) group by id, pos),
+        pooled as (
+          select id, sum(total / n * pos) as mean,
+            sum((case when present < n then greatest(top, 0) else top end)::double * pos) as max
+          from per_entry join lengths using (id) group by id)
+        select doc_id, round(coalesce(mean, 0), 4) as mean, round(coalesce(max, 0), 4) as max
+        from documents left join pooled on id = doc_id""",
+    "score_raw_text": f"with {_ONE_FEATURE} select id, round(p, 6) as prediction from predicted",
+    "fit_objective_bigrams": _squared(_BIGRAM_COUNTS, models.BIGRAM_FIT.reg_param),
+    "fit_objective_fields": _squared(_FIELD_COUNTS, models.FIELD_FIT.reg_param),
+    "class_objective": f"""with {_BIGRAM_COUNTS}, {_weighted(CLASSES)},
+        losses as (
+          select id, max(margin) + ln(sum(exp(margin - top))) - sum(margin) filter (class = label) as loss
+          from (select *, max(margin) over (partition by id) as top, case when y::float < 1.25 then 1 when y::float < 1.75 then 2
+                  when y::float < 2.25 then 3 when y::float < 2.75 then 4 else 5 end as label
+                from margins where split = 'train')
+          group by id)
+        select round(avg(loss) + {models.CLASS_FIT.reg_param} * any_value(penalty), 6) as stated, 0.0::double as gap
+        from losses, penalty""",
+    "metric_predicted_class": f"""with {_BIGRAM_COUNTS}, {_weighted(CLASSES)},
+        best as (select id, any_value(split) as split, any_value(y) as y, arg_max(class, margin) as class from margins group by id),
+        valued as (
+          select *, case class when 1 then 1.0 when 2 then 1.5 when 3 then 2.0 when 4 then 2.5 else 3.0 end::double as p from best)
+        select split, count(*) as n, round(sqrt(avg(power(y - p, 2))), 6) as rmse, round(avg(abs(y - p)), 6) as mae
+        from valued group by split""",
+    "score_weights_bigrams": f"""with {_BIGRAM_COUNTS}
+        select id, round(2.0 + coalesce(s, 0), 6) as prediction
+        from labelled left join (select id, sum(tf * {_WEIGHT.replace('class', '0')}) as s from counted group by id) using (id)""",
     "scan_json_roundtrip": f"""with {_ENCODED}, as_text as ({_TEXT_COLUMNS} encoded)
         select id, int_title_tokens, int_sterm_tokens, product_uid, relevance::double as relevance
         from as_text join (select id, product_uid, relevance from encoded) using (id)""",
@@ -540,4 +651,4 @@ ORACLES: dict[str, str] = {
 
 ORACLES["encode_tokens_join"] = ORACLES["encode_documents"]
 ORACLES["sequence_mean_vector_join"] = ORACLES["sequence_mean_vector"]
-ORACLES["relevance_job"] = f"select id, entries, total, true as scored from ({ORACLES['assemble_features']})"
+ORACLES["relevance_job"] = f"select id, entries, total, 0.0::double as difference from ({ORACLES['assemble_features']})"

@@ -16,6 +16,7 @@ from termlens.operators import (
     embeddings,
     features,
     frequency,
+    linear,
     metrics,
     models,
     products,
@@ -23,7 +24,7 @@ from termlens.operators import (
     vocabulary,
 )
 from termlens.plans import job, relevance, sequences
-from termlens.sources import readers, retail, workspace, writers
+from termlens.sources import positions, readers, retail, workspace, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -325,6 +326,28 @@ def encode_tokens_join(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select("doc_id", _joined("ids").alias("ids"))
 
 
+def _count_entries(counted: DataFrame) -> DataFrame:
+    return features.vector_entries(counted, "doc_id", "counts").withColumn("value", F.col("value").cast("bigint"))
+
+
+@query
+def count_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that come at least twice in a document."""
+    documents = _document_tokens(spark, sf)
+    terms = workspace.materialize(vocabulary.build_vocabulary(documents), "vocabulary")
+    return _count_entries(vocabulary.count_vectors(documents, terms, min_count=2))
+
+
+@query
+def count_vectors_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that make up at least a hundredth of a document, over all terms, by the join."""
+    documents = _document_tokens(spark, sf)
+    terms = workspace.materialize(vocabulary.build_vocabulary(documents, min_documents=1, size=None), "vocabulary")
+    counted = vocabulary.count_vectors_join(documents, terms, {"tokens": "counts"}, min_count=0.01)
+    stored = features.store_vectors(counted.select("doc_id", "counts"), "counts", vocabulary.vocabulary_size(terms).first()[0])
+    return _count_entries(stored)
+
+
 @query
 def encode_new_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """New pairs, with the dictionary that an earlier job stored."""
@@ -375,6 +398,36 @@ def scan_descriptions_csv(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def scan_quoted_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with quotes and line breaks in one file, read by ranges of it."""
+    path = workspace.new_folder(spark, "descriptions-csv")
+    writers.write_delimited(retail.descriptions(spark, sf), path, escape='"', single_file=True)
+    return readers.read_quoted(spark, path, schemas.DESCRIPTIONS_TEXT, range_bytes=256 << 10)
+
+
+@query
+def dictionary_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term of the documents as one JSON object, read by ranges of it."""
+    path = workspace.new_folder(spark, "dictionary-json")
+    terms = vocabulary.build_vocabulary(_document_tokens(spark, sf), min_documents=1, size=None)
+    writers.write_json_dictionary(workspace.materialize(terms, "vocabulary"), path)
+    return readers.read_json_dictionary(spark, path, range_bytes=64 << 10)
+
+
+@query
+def pair_by_position(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles and labels of the pairs, stored as two sets of many files that have no column in common."""
+    ordered = _labelled(spark, sf).repartitionByRange(6, "id").sortWithinPartitions("id")
+    pairs = workspace.materialize(ordered.select("id", "product_title", "relevance"), "ordered-pairs")
+    paths = [workspace.new_folder(spark, label) for label in ("titles-json", "labels-json")]
+    sides = [pairs.select("id", "product_title"), pairs.select("relevance")]
+    for side, path in zip(sides, paths):
+        writers.write_json_lines(side, path)
+    read = [positions.read_json_in_order(spark, path, side.schema) for side, path in zip(sides, paths)]
+    return positions.pair_by_position(*read).withColumn("relevance", F.col("relevance").cast("double"))
+
+
 @query
 def scan_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = workspace.new_folder(spark, "encoded-json")
@@ -446,6 +499,20 @@ def word_vectors_mixed_width(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def embedding_matrix_last_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word in two files with two vectors; those of the later file count."""
+    terms = _document_vocabulary(spark, sf)
+    vectors = _word_vectors(spark, sf, terms).where("term <> ''")
+    folder = workspace.new_folder(spark, "word-vectors")
+    shifted = F.transform("vec", lambda x: (x + 1).cast("float"))
+    writers.write_word_vectors(vectors.withColumn("vec", shifted).select("term", "vec"), f"{folder}/1")
+    writers.write_word_vectors(vectors.select("term", "vec"), f"{folder}/2")
+    read = readers.read_word_vectors(spark, f"{folder}/*", VECTOR_SIZE)
+    matrix = embeddings.embedding_matrix(terms.where("term <> ''"), read, VECTOR_SIZE)
+    return matrix.select("term_id", F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("first"))
+
+
 def _checksum(vector: Column) -> Column:
     weighted = F.transform(vector, lambda x, i: x.cast("double") * (i + F.lit(1)))
     return F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4)
@@ -481,6 +548,18 @@ def sequence_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def document_mean_vector_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents, by blocks of a matrix of thousands of terms."""
+    documents = _document_tokens(spark, sf)
+    terms = _document_vocabulary(spark, sf)
+    vectors = _word_vectors(spark, sf, terms)
+    matrix = workspace.materialize(embeddings.embedding_matrix(terms, vectors, VECTOR_SIZE), "matrix")
+    encoded = vocabulary.encode_tokens(documents, terms, {"tokens": "ids"})
+    pooled = embeddings.pool_sequences_join(encoded, matrix, {"ids": "doc"}, VECTOR_SIZE, block_ids=256)
+    return pooled.select("doc_id", _checksum(F.col("doc_mean")).alias("mean"), _checksum(F.col("doc_max")).alias("max"))
+
+
 @query
 def sequence_mean_vector_join(spark: SparkSession, sf: str) -> DataFrame:
     """The same by the join that takes a matrix of any size."""
@@ -688,6 +767,15 @@ def score_new_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(readers.read_delimited(spark, path, schemas.SCORES, header=False), "prediction")
 
 
+@query
+def score_raw_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the new pairs from their raw texts alone, by a model that was stored and loaded."""
+    path = workspace.new_folder(spark, "text-model")
+    writers.save_model(relevance.length_text_model(_one_feature_fit(_token_number(spark, sf), "normal")), path)
+    raw = retail.new_pairs(spark, sf).select("id", "product_title", "search_term")
+    return _rounded(relevance.score_pairs(readers.load_model(path), raw), "prediction")
+
+
 @query
 def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     path = workspace.new_folder(spark, "report-csv")
@@ -745,6 +833,87 @@ def _bigram_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return workspace.materialize(vectors.select("id", "relevance", "split", "tf"), "bigram-tf")
 
 
+# --- full width: objectives, classes and scores from tables of weights ------------
+
+CLASSES = 6
+
+
+def _stated_weights(spark: SparkSession, size: int, classes: int) -> DataFrame:
+    """Weights that SQL can repeat: a rule of index and class, and an intercept for each class."""
+    number = (F.col("index") * 7919 + F.col("class") * 104729) % 1009 - 504
+    grid = spark.range(size).select(
+        F.col("id").cast("int").alias("index"), F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("class")
+    )
+    intercepts = spark.range(classes).select(
+        F.lit(linear.INTERCEPT).alias("index"),
+        F.col("id").cast("int").alias("class"),
+        (F.lit(2.0) + F.col("id") / 10).alias("weight"),
+    )
+    return grid.withColumn("weight", number / 10000).unionByName(intercepts)
+
+
+def _train(vectors: DataFrame, model: PipelineModel) -> DataFrame:
+    weighted = model.stages[0].transform(vectors.where(F.col("split") == "train"))
+    return workspace.materialize(weighted.select("id", "relevance", "features"), "train-features")
+
+
+def _objectives(stated: DataFrame, fitted: DataFrame, last: float) -> DataFrame:
+    """The objective at the stated weights, and what that at the fitted ones lacks to the end of the fit's history."""
+    gap = F.round(F.col("objective") - F.lit(float(last)), 6) + F.lit(0.0)
+    return stated.select(F.round("objective", 6).alias("stated")).crossJoin(fitted.select(gap.alias("gap")))
+
+
+def _regression_objectives(spark: SparkSession, vectors: DataFrame, settings: models.FitSettings, size: int) -> DataFrame:
+    fitted = relevance.fit_relevance(vectors, settings)
+    train = _train(vectors, fitted.model)
+    weights = (_stated_weights(spark, size, 1), linear.export_weights(spark, fitted.regression))
+    found = [linear.squared_objective(train, table, settings, "id") for table in weights]
+    return _objectives(*found, fitted.summary.objective_history[-1])
+
+
+@query
+def fit_objective_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    return _regression_objectives(spark, _bigram_vectors(spark, sf), models.BIGRAM_FIT, features.BIGRAM_BUCKETS)
+
+
+@query
+def fit_objective_fields(spark: SparkSession, sf: str) -> DataFrame:
+    size = len(relevance.FIELDS) * features.FIELD_BUCKETS
+    return _regression_objectives(spark, _field_vectors(spark, sf), models.FIELD_FIT, size)
+
+
+@query
+def class_objective(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _bigram_vectors(spark, sf)
+    model = relevance.fit_relevance_classes(vectors)
+    train = _train(vectors, model).withColumn("label", labels.relevance_class("relevance"))
+    weights = (
+        _stated_weights(spark, features.BIGRAM_BUCKETS, CLASSES),
+        linear.export_weights(spark, model.stages[-1]),
+    )
+    found = [linear.class_objective(train, table, models.CLASS_FIT, "id", CLASSES) for table in weights]
+    return _objectives(*found, model.stages[-1].summary.objectiveHistory[-1])
+
+
+@query
+def metric_predicted_class(spark: SparkSession, sf: str) -> DataFrame:
+    """Error of the values of predicted classes on both splits, by classes of a wide model kept as a table."""
+    vectors = _bigram_vectors(spark, sf)
+    idf = features.fit_idf(vectors.where(F.col("split") == "train"))
+    rows = workspace.materialize(idf.transform(vectors).select("id", "split", "relevance", "features"), "features")
+    weights = _stated_weights(spark, features.BIGRAM_BUCKETS, CLASSES)
+    found = linear.predicted_classes(rows, weights, ["id", "split", "relevance"], CLASSES)
+    return _rounded(relevance.evaluate_classes(found), "rmse", "mae")
+
+
+@query
+def score_weights_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all new pairs by a wide model kept as a table of weights."""
+    new = relevance.bigram_vectors(retail.new_pairs(spark, sf), retail.attributes(spark, sf))
+    weights = _stated_weights(spark, features.BIGRAM_BUCKETS, 1)
+    return _rounded(linear.predictions(new.select("id", "tf"), weights, ["id"], "tf"), "prediction")
+
+
 @query
 def fit_summary_fields(spark: SparkSession, sf: str) -> DataFrame:
     fitted = relevance.fit_relevance(_field_vectors(spark, sf))
@@ -821,7 +990,8 @@ def embedding_score_new_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def relevance_job(spark: SparkSession, sf: str) -> DataFrame:
-    """The job from files to files: the features and scores of the new pairs that it wrote."""
+    """The job from files to files: the features of the new pairs that it wrote, and what its scores differ by
+    from the weights of its stored model."""
     folder = workspace.new_folder(spark, "relevance-job")
     tables = {
         "train": retail.pairs(spark, sf),
@@ -833,12 +1003,16 @@ def relevance_job(spark: SparkSession, sf: str) -> DataFrame:
         writers.write_delimited(frame, f"{folder}/{name}.csv", escape='"')
     outputs = job.outputs_under(folder)
     job.run(spark, job.JobInputs(*[f"{folder}/{name}.csv" for name in tables]), outputs)
-    vectors = spark.read.parquet(outputs.new_vectors)
+    size = len(relevance.FIELDS) * features.FIELD_BUCKETS
+    vectors = features.read_vectors(spark, outputs.new_vectors, "tf", size)
     scores = readers.read_delimited(spark, outputs.scores, schemas.SCORES)
-    features_of = vectors.select(
-        F.col("id").cast("bigint").alias("id"), F.size("tf.indices").alias("entries"),
-        F.aggregate("tf.values", F.lit(0.0), lambda a, x: a + x).alias("total"),
-    )
-    return features_of.join(scores, "id").select(
-        "id", "entries", "total", F.col("prediction").isNotNull().alias("scored")
-    )
+    model = readers.load_model(outputs.model)
+    weights = linear.export_weights(spark, model.stages[-1])
+    again = linear.predictions(model.stages[0].transform(vectors).select("id", "features"), weights, ["id"])
+    stored = vectors.select("id", F.unwrap_udt("tf").alias("v")).join(again.withColumnRenamed("prediction", "again"), "id")
+    features_of = stored.select(
+        F.col("id").cast("bigint").alias("id"), F.size("v.indices").alias("entries"),
+        F.aggregate("v.values", F.lit(0.0), lambda a, x: a + x).alias("total"), "again",
+    )
+    difference = F.round(F.col("prediction") - F.col("again"), 9) + F.lit(0.0)
+    return features_of.join(scores, "id").select("id", "entries", "total", difference.alias("difference"))

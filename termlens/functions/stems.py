@@ -39,15 +39,23 @@ ENDINGS = (
     "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
 )
 
-# Pairs of neighbouring y in a row that are told apart; further ones count as consonants.
-Y_PAIRS = 4
-
 
 def _shape(word: Column) -> Column:
     marks = F.regexp_replace(F.regexp_replace(word, "[^aeiouy]", "c"), "[aeiou]", "v")
-    for _ in range(Y_PAIRS):
-        marks = F.regexp_replace(F.regexp_replace(marks, "cy", "cv"), "(^|v)y", "$1c")
-    return F.replace(marks, F.lit("y"), F.lit("c"))
+
+    def turned(all_marks: Column) -> Column:
+        # neighbours of y are read one after the other; a single y needs its neighbour only
+        letters = F.aggregate(
+            F.split(all_marks, ""),
+            F.lit(""),
+            lambda done, mark: F.concat(
+                done, F.when(mark != "y", mark).when(F.right(done, F.lit(1)) == "c", "v").otherwise("c")
+            ),
+        )
+        single = F.regexp_replace(F.regexp_replace(all_marks, "cy", "cv"), "(^|v)y", "$1c")
+        return F.when(F.contains(all_marks, F.lit("yy")), letters).otherwise(single)
+
+    return bind(marks, turned)
 
 
 def _measure(shape: Column) -> Column:

@@ -11,11 +11,17 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlens.operators.joins import join_by_content, join_unique
+from termlens.operators.joins import join_by_content
 from termlens.operators.vocabulary import SIZE
+from termlens.sources.positions import PLACE
+from termlens.sources.workspace import materialize
 
 PADDING_ID = 0
 
+# Ids of a block of the matrix, and sequences that one copy of a block serves.
+BLOCK_IDS = 1_024
+ROWS_PER_PART = 50_000
+
 # Tokens whose vectors are held at once by a Python worker while pooling.
 _TOKENS_AT_ONCE = 65_536
 
@@ -25,11 +31,13 @@ def embedding_matrix(vocabulary: DataFrame, vectors: DataFrame, dimensions: int)
 
     Terms without a vector, and the padding, get zeros. The vectors, of which
     there may be millions, are first cut down to the terms of the vocabulary.
-    Where a word comes more than once, its vector that is greatest entry by entry, from
-    the first on, is kept whole.
+    Where a word comes more than once, its last vector in the files is kept. Vectors without a
+    place (``positions.file_place``) have no order: of those the one that is greatest entry by entry, from the
+    first on, is kept whole.
     """
     wanted = vectors.join(vocabulary.select("term"), "term", "left_semi")
-    unique = wanted.groupBy("term").agg(F.max("vec").alias("vec"))
+    kept = F.max_by("vec", PLACE) if PLACE in vectors.columns else F.max("vec")
+    unique = wanted.groupBy("term").agg(kept.alias("vec"))
     spark = vocabulary.sparkSession
     padding = spark.range(1).select(
         F.lit(None).cast("string").alias("term"), F.lit(PADDING_ID).alias("term_id")
@@ -65,35 +73,70 @@ def pool_sequences(
 
 
 def pool_sequences_join(
-    rows: DataFrame, matrix: DataFrame, fields: dict[str, str], dimensions: int
+    rows: DataFrame,
+    matrix: DataFrame,
+    fields: dict[str, str],
+    dimensions: int,
+    block_ids: int = BLOCK_IDS,
+    rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
-    """``pool_sequences`` for a matrix of any size, by a join: each distinct sequence once."""
-    vectors = matrix.select("term_id", array_to_vector("vec").alias("vector"))
+    """``pool_sequences`` for a matrix of any size: each distinct sequence once, by blocks of the matrix.
+
+    The matrix is cut into blocks of ids, and each sequence goes to the blocks that it has ids in, with those ids; what
+    comes back from a block is one partial sum and maximum for all of them. So what is shuffled grows with sequences
+    times blocks, not with tokens times dimensions. A block that many sequences need is copied to as many tasks as they take.
+    """
     zeros = F.array_repeat(F.lit(0.0), dimensions)
+    block_of = F.floor(F.col("term_id") / block_ids).cast("int").alias("block")
+
+    def partial(sequences: pa.Table, block: pa.Table) -> pa.Table:
+        ids = block.column("term_id").to_numpy()
+        lists = sequences.column("ids").combine_chunks()
+        if not len(lists):
+            return schema.empty_table()
+        first = int(ids.min()) // block_ids * block_ids if len(ids) else 0
+        # the last row stays zero and stands for every id that the matrix lacks
+        table = np.zeros((block_ids + 1, dimensions), np.float32)
+        flat = block.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        table[ids - first] = flat.reshape(len(ids), dimensions)
+        known = np.full(block_ids, block_ids)
+        known[ids - first] = ids - first
+        tokens = lists.flatten().to_numpy() % block_ids
+        counts = lists.value_lengths().to_numpy()
+        sums, maxima = _totals(known[tokens] if len(ids) else np.full(len(tokens), block_ids), counts, table)
+        columns = [sequences.column("content"), pa.array(counts, pa.int64()), _as_lists(sums), _as_lists(maxima)]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    schema = pa.schema([("content", pa.string()), ("n", pa.int64()), ("total", pa.list_(pa.float64())), ("top", pa.list_(pa.float32()))])
 
     def pool(sequences: DataFrame) -> DataFrame:
-        tokens = sequences.select("content", F.explode("values").alias("term_id")).where(
-            F.col("term_id") != PADDING_ID
+        real = sequences.select("content", F.filter("values", lambda i: i != PADDING_ID).alias("values"))
+        numbers = F.array_distinct(F.transform("values", lambda i: F.floor(i / F.lit(block_ids)).cast("int")))
+        dealt = real.select("content", "values", F.explode(numbers).alias("block"))
+        own = F.filter("values", lambda i: F.floor(i / F.lit(block_ids)).cast("int") == F.col("block"))
+        dealt = materialize(dealt.select("content", "block", own.alias("ids")), "block-sequences")
+        # one row for each block of the matrix
+        parts = F.broadcast(
+            dealt.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).cast("int").alias("parts"))
         )
-        vector = F.coalesce("vector", array_to_vector(zeros))
-        pooled = (
-            join_unique(tokens, vectors, "term_id", spread="content", how="left")
-            .withColumn("vector", vector)
-            .groupBy("content")
-            .agg(
-                Summarizer.mean(F.col("vector")).alias("mean"),
-                Summarizer.max(F.col("vector")).alias("max"),
-            )
-            .select("content", vector_to_array("mean").alias("mean"), vector_to_array("max").alias("max"))
+        left = dealt.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"))
+        right = matrix.select(block_of, "term_id", "vec").join(parts, "block")
+        right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        sums = (
+            left.select("block", "part", "content", "ids")
+            .groupBy("block", "part")
+            .cogroup(right.select("block", "part", "term_id", "vec").groupBy("block", "part"))
+            .applyInArrow(partial, "content string, n bigint, total array<double>, top array<float>")
         )
-        both = sequences.select("content").join(pooled, "content", "left")
-        return both.select(
-            "content",
-            F.struct(
-                F.coalesce("mean", zeros).alias("mean"),
-                F.coalesce("max", zeros).alias("max"),
-            ).alias("result"),
+        whole = sums.groupBy("content").agg(
+            F.sum("n").alias("n"),
+            Summarizer.sum(array_to_vector("total")).alias("total"),
+            Summarizer.max(array_to_vector(F.col("top").cast("array<double>"))).alias("top"),
         )
+        mean = F.transform(vector_to_array("total"), lambda x: x / F.col("n"))
+        pooled = whole.select("content", F.struct(mean.alias("mean"), vector_to_array("top").alias("max")).alias("result"))
+        empty = F.struct(zeros.alias("mean"), zeros.alias("max"))
+        return sequences.select("content").join(pooled, "content", "left").withColumn("result", F.coalesce("result", empty))
 
     pooled = join_by_content(rows, {old: f"{name}_pool" for old, name in fields.items()}, pool)
     return _spread(pooled, fields)
@@ -145,9 +188,15 @@ def _pooled(sequences: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     tokens, owner = tokens[real], owner[real]
     tokens = np.where((tokens < 0) | (tokens >= len(table)), len(table) - 1, tokens)
     counts = np.bincount(owner, minlength=len(lengths))
-    means = np.zeros((len(lengths), table.shape[1]))
+    sums, maxima = _totals(tokens, counts, table)
+    return sums / np.maximum(counts, 1)[:, None], maxima
+
+
+def _totals(tokens: np.ndarray, counts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and maxima of the table's rows at ``tokens``, of which each sequence has ``counts``; zeros without."""
+    sums = np.zeros((len(counts), table.shape[1]))
     # a maximum is one of the vectors' own floats, so it is sent as one
-    maxima = np.zeros(means.shape, np.float32)
+    maxima = np.zeros(sums.shape, np.float32)
     filled = np.flatnonzero(counts)
     starts = np.concatenate(([0], np.cumsum(counts[filled])))
     first = 0
@@ -155,14 +204,13 @@ def _pooled(sequences: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndar
         # as many whole sequences as fit the token budget, one at least
         last = int(np.searchsorted(starts, starts[first] + _TOKENS_AT_ONCE, side="right")) - 1
         last = min(max(last, first + 1), len(filled))
-        part = slice(first, last)
         gathered = table[tokens[starts[first] : starts[last]]]
-        cuts = starts[part] - starts[first]
-        rows = filled[part]
-        means[rows] = np.add.reduceat(gathered.astype(np.float64), cuts, axis=0) / counts[rows, None]
+        cuts = starts[first:last] - starts[first]
+        rows = filled[first:last]
+        sums[rows] = np.add.reduceat(gathered.astype(np.float64), cuts, axis=0)
         maxima[rows] = np.maximum.reduceat(gathered, cuts, axis=0)
         first = last
-    return means, maxima
+    return sums, maxima
 
 
 def pooled_features(rows: DataFrame, names: list[str], output: str = "features") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.ml.feature import IDF, HashingTF, IDFModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,20 +61,21 @@ def assemble(parts: Sequence[str], size: int) -> Column:
     )
 
 
+def read_vectors(spark: SparkSession, path: str, column: str, size: int, schema: T.StructType | None = None) -> DataFrame:
+    """A table stored by ``store_vectors``, with the sparse struct ``column`` as an ML vector."""
+    width = {"ml_attr": {"num_attrs": size}}
+    stored = schema or spark.read.parquet(path).schema
+    fields = [T.StructField(column, VectorUDT(), True, width) if f.name == column else f for f in stored.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def store_vectors(rows: DataFrame, column: str, size: int, path: str | None = None) -> DataFrame:
     """Write ``rows`` and read them back with the sparse struct ``column`` as an ML
     vector; the stored table is what the fits read again and again."""
     spark = rows.sparkSession
     target = path or new_folder(spark, "vectors")
     rows.write.mode("overwrite").parquet(target)
-    width = {"ml_attr": {"num_attrs": size}}
-    schema = T.StructType(
-        [
-            T.StructField(column, VectorUDT(), True, width) if field.name == column else field
-            for field in rows.schema
-        ]
-    )
-    return spark.read.schema(schema).parquet(target)
+    return read_vectors(spark, target, column, size, rows.schema)
 
 
 def fit_idf(

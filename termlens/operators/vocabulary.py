@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,3 +139,56 @@ def _encode_in_place(rows: DataFrame, known: pa.Table, fields: dict[str, str]) -
             )
 
     return rows.withColumns({new: lookup(F.col(old)) for old, new in fields.items()})
+
+
+def _sized(vocabulary: DataFrame) -> int:
+    """Number of terms, whose ids must be 1 to that number."""
+    size, last = vocabulary.agg(F.count(F.lit(1)), F.max("term_id")).first()
+    if size != (last or 0):
+        raise ValueError("the ids of the dictionary have gaps")
+    return size
+
+
+def count_vectors(
+    rows: DataFrame,
+    vocabulary: DataFrame,
+    tokens: str = "tokens",
+    output: str = "counts",
+    min_count: float = 1.0,
+    most: int = SIZE,
+) -> DataFrame:
+    """Add a sparse ML vector of how often each term of the dictionary comes in a row; term_id n is entry n - 1.
+
+    Terms that come less often than ``min_count`` in the row have no entry; below 1 it is a share of the row's
+    tokens, unknown ones included. Null tokens are none. The dictionary is read to the driver and must
+    have at most ``most`` terms; for a larger one call ``count_vectors_join``.
+    """
+    if _sized(vocabulary) > most:
+        raise ValueError(f"more than {most} terms: use count_vectors_join")
+    terms = [row["term"] for row in vocabulary.select("term", "term_id").orderBy("term_id").collect()]
+    filled = rows.withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>")))
+    model = CountVectorizerModel.from_vocabulary(terms, "_tokens", outputCol=output, minTF=float(min_count))
+    return model.transform(filled).drop("_tokens")
+
+
+def count_vectors_join(
+    rows: DataFrame, vocabulary: DataFrame, fields: dict[str, str], min_count: float = 1.0
+) -> DataFrame:
+    """``count_vectors`` for a dictionary of any size, by a join: sparse structs (type, size, indices, values), which
+    ``features.store_vectors`` reads back as ML vectors. ``fields`` maps token columns to new columns."""
+    size = _sized(vocabulary)
+    known = vocabulary.select("term", "term_id")
+
+    def count(arrays: DataFrame) -> DataFrame:
+        least = F.lit(float(min_count)) * (F.lit(1) if min_count >= 1 else F.size("values"))
+        counted = arrays.select("content", least.alias("least"), F.inline(term_counts("values"))).where("tf >= least")
+        matched = join_unique(counted, known, "term", spread="content")
+        entries = F.array_sort(F.collect_list(F.struct((F.col("term_id") - 1).alias("index"), F.col("tf").cast("double").alias("tf"))))
+        made = matched.groupBy("content").agg(entries.alias("entries"))
+        all_rows = arrays.select("content").join(made, "content", "left")
+        indices = F.coalesce(F.col("entries.index"), F.array().cast("array<int>"))
+        values = F.coalesce(F.col("entries.tf"), F.array().cast("array<double>"))
+        sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.alias("values"))
+        return all_rows.select("content", sparse.alias("result"))
+
+    return join_by_content(rows, fields, count)

@@ -43,7 +43,7 @@ def pair_key() -> Column:
 
 
 def read_inputs(spark: SparkSession, inputs: JobInputs) -> dict[str, DataFrame]:
-    """The four tables; texts may hold quotes and line breaks."""
+    """The four tables; texts may hold quotes and line breaks, and every file is read by many tasks."""
     kinds = {
         "train": schemas.LABELLED_PAIRS_TEXT,
         "new": schemas.NEW_PAIRS_TEXT,
@@ -51,7 +51,7 @@ def read_inputs(spark: SparkSession, inputs: JobInputs) -> dict[str, DataFrame]:
         "descriptions": schemas.DESCRIPTIONS_TEXT,
     }
     return {
-        name: readers.read_delimited(spark, getattr(inputs, name), schema, escape='"', multi_line=True)
+        name: readers.read_quoted(spark, getattr(inputs, name), schema)
         for name, schema in kinds.items()
     }
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ from termlens.operators.models import (
     fit_linear,
     summarize,
 )
+from termlens.operators.stages import Bigrams, CleanTokens, JoinTokens, PlainVector, TokenNumber
 from termlens.operators.products import (
     KEY,
     attribute_text,
@@ -237,3 +239,51 @@ def fit_relevance_classes(
 def score_classes(model: PipelineModel, vectors: DataFrame) -> DataFrame:
     """The class predicted for each pair and the relevance that class stands for."""
     return model.transform(vectors).withColumn("predicted_value", class_value("prediction"))
+
+
+def evaluate_classes(predicted: DataFrame) -> DataFrame:
+    """split, n, rmse, mae of the values that predicted classes stand for."""
+    valued = predicted.where(F.col("relevance").isNotNull()).withColumn("value", class_value("prediction"))
+    error = F.col("relevance").cast("double") - F.col("value")
+    return valued.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae")
+    )
+
+
+# Raw-text columns that a text model takes, in the order of the fields.
+TEXT_COLUMNS = ("product_title", "search_term", "product_description", "attributes")
+
+
+def _cleaned(columns: Iterable[str]) -> list[CleanTokens]:
+    return [CleanTokens(name, f"{name}_tokens") for name in columns]
+
+
+def bigram_text_model(fitted: PipelineModel, buckets: int = BIGRAM_BUCKETS) -> PipelineModel:
+    """A model that takes product_title, search_term and attributes as text, from one fitted on ``bigram_vectors``.
+
+    It can be stored and loaded, and scores tables and streams alike.
+    """
+    names = [name for name in TEXT_COLUMNS if name != "product_description"]
+    return PipelineModel(
+        [
+            *_cleaned(names),
+            JoinTokens([f"{name}_tokens" for name in names], "tokens"),
+            Bigrams("tokens", "bigrams"),
+            HashingTF(inputCol="bigrams", outputCol="tf", numFeatures=buckets),
+            *fitted.stages,
+        ]
+    )
+
+
+def field_text_model(fitted: PipelineModel, buckets: int = FIELD_BUCKETS) -> PipelineModel:
+    """A model that takes the four fields as text, from one fitted on ``field_vectors``."""
+    hashed = [HashingTF(inputCol=f"{n}_tokens", outputCol=f"{n}_tf", numFeatures=buckets) for n in TEXT_COLUMNS]
+    together = VectorAssembler(inputCols=[f"{n}_tf" for n in TEXT_COLUMNS], outputCol="wide")
+    return PipelineModel([*_cleaned(TEXT_COLUMNS), *hashed, together, PlainVector("wide", "tf"), *fitted.stages])
+
+
+def length_text_model(regression: LinearRegressionModel) -> PipelineModel:
+    """A model that takes product_title and search_term as text, from one fitted on the number of their tokens."""
+    names = TEXT_COLUMNS[:2]
+    tokens = JoinTokens([f"{name}_tokens" for name in names], "tokens")
+    return PipelineModel([*_cleaned(names), tokens, TokenNumber("tokens", "features"), regression])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlens import schemas
+from termlens.sources.positions import PLACE, file_place
 from termlens.sources.ranges import CsvQuoting, JsonQuoting, read_records
 
 
@@ -96,7 +97,8 @@ def _word_vector_parts(lines: DataFrame, dimensions: int, column: str) -> DataFr
     A line fits if it has a word and that many numbers, and its word does not itself end
     in a number, as that of a line of more numbers would.
     """
-    parts = lines.select(F.col(column).alias("line"), F.split(F.trim(column), r"\s+").alias("parts"))
+    kept = [PLACE] if PLACE in lines.columns else []
+    parts = lines.select(*kept, F.col(column).alias("line"), F.split(F.trim(column), r"\s+").alias("parts"))
     words = F.greatest(F.size("parts") - F.lit(dimensions), F.lit(0))
     vec = F.transform(
         F.slice("parts", words + F.lit(1), F.lit(dimensions)), lambda part: part.try_cast("float")
@@ -109,12 +111,13 @@ def _word_vector_parts(lines: DataFrame, dimensions: int, column: str) -> DataFr
         & ((words == 1) | last.isNull())
     )
     word = F.array_join(F.slice("parts", F.lit(1), words), " ")
-    return parts.select("line", word.alias("term"), vec.alias("vec"), fits.alias("fits"))
+    return parts.select(*kept, "line", word.alias("term"), vec.alias("vec"), fits.alias("fits"))
 
 
 def parse_word_vectors(lines: DataFrame, dimensions: int, column: str = "value") -> DataFrame:
-    """term, vec from lines of ``word v1 .. vN`` that fit ``dimensions``; a word may hold blanks."""
-    return _word_vector_parts(lines, dimensions, column).where("fits").select("term", "vec")
+    """term, vec (and the place, if the lines have one) from lines of ``word v1 .. vN`` that fit ``dimensions``; a word
+    may hold blanks."""
+    return _word_vector_parts(lines, dimensions, column).where("fits").drop("line", "fits")
 
 
 def rejected_word_vectors(lines: DataFrame, dimensions: int, column: str = "value") -> DataFrame:
@@ -124,7 +127,8 @@ def rejected_word_vectors(lines: DataFrame, dimensions: int, column: str = "valu
 
 
 def read_word_vectors(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
-    return parse_word_vectors(spark.read.text(path), dimensions)
+    """term, vec and the line's place in the files, by which the last vector of a repeated word is found."""
+    return parse_word_vectors(spark.read.text(path).withColumn(PLACE, file_place()), dimensions)
 
 
 def load_model(path: str) -> PipelineModel:

@@ -43,6 +43,8 @@ def test_native_stems_equal_those_by_row(spark):
     ends = [s for s, _ in native.DERIVED + native.RELATED] + list(native.ENDINGS) + ["s", "ies", "sses", "ied", "eed", "ed", "ing", "y", "logi", "e", "ll", ""]
     words = {"".join(p) for p in itertools.product(starts, middles, ends)} | set(STEMS) | set(native.IRREGULAR)
     words |= {"".join(chance.choices("aeiouystlbn", k=chance.randrange(1, 9))) for _ in range(3000)}
+    # any number of y in a row
+    words |= {"".join(chance.choices("yyyyyyyyab", k=chance.randrange(1, 30))) + chance.choice(["", "ing", "ed", "s"]) for _ in range(300)}
     frame = spark.createDataFrame([(w,) for w in sorted(words)], "term string").repartition(8)
     got = {r["term"]: r["stem"] for r in frame.withColumn("stem", native.stem("term")).collect()}
     assert {w: s for w, s in got.items() if s != stem(w)} == {} and len(got) == len(words)

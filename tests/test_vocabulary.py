@@ -123,3 +123,35 @@ def test_tfidf_does_not_depend_on_the_splits(spark, tiny):
 def test_mean_length(spark):
     rows = spark.createDataFrame([([1, 2],), ([1],), ([1, 2],)], "a array<int>")
     assert metrics.mean_sequence_length(rows, "a").first()["a"] == 1
+
+
+@pytest.mark.parametrize("min_count", [1.0, 2.0, 0.3, 0.0])
+def test_count_vectors_against_brute_force(spark, tmp_path, min_count):
+    from pyspark.ml.functions import vector_to_array
+
+    from termlens.operators.features import store_vectors
+
+    terms = ["a", "", "b", "c"]
+    dictionary = spark.createDataFrame([(t, n + 1) for n, t in enumerate(terms)], "term string, term_id int")
+    arrays = [["a", "a", "x", "b"], [], ["x"], None, ["", "c", "c", "c"], ["a"] * 7 + ["b"] * 3]
+    rows = spark.createDataFrame(list(enumerate(arrays)), "id int, tokens array<string>")
+
+    def expected(tokens):
+        tokens = tokens or []
+        least = min_count if min_count >= 1 else min_count * len(tokens)
+        return [float(tokens.count(t)) if tokens.count(t) >= least else 0.0 for t in terms]
+
+    wanted = {n: expected(tokens) for n, tokens in enumerate(arrays)}
+    in_place = vocabulary.count_vectors(rows, dictionary, min_count=min_count)
+    joined = store_vectors(vocabulary.count_vectors_join(rows, dictionary, {"tokens": "counts"}, min_count), "counts", 4, str(tmp_path / "v"))
+    for made in (in_place, joined):
+        assert dict(made.select("id", vector_to_array("counts")).collect()) == wanted
+
+
+def test_count_vectors_want_a_dictionary_without_gaps_of_a_checked_size(spark):
+    rows = spark.createDataFrame([(1, ["a"])], "id int, tokens array<string>")
+    gap = spark.createDataFrame([("a", 1), ("b", 3)], "term string, term_id int")
+    with pytest.raises(ValueError, match="gaps"):
+        vocabulary.count_vectors(rows, gap)
+    with pytest.raises(ValueError, match="count_vectors_join"):
+        vocabulary.count_vectors(rows, gap.where("term_id = 1"), most=0)
