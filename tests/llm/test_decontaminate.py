@@ -54,8 +54,8 @@ def test_equals_brute_force(spark):
     documents += [(200, None), (201, ""), (202, " \n "), (203, "only here and there"), (None, "only HERE and there"), (204, "w" * 100_000)]
     expected = _brute(documents, items, 13)
     assert _result(spark, documents, items) == expected
-    # slice by slice, as for an item set of any size
-    assert _result(spark, documents, items, slice_bytes=200) == expected
+    # in several passes, as for an item set of any size
+    assert _result(spark, documents, items, item_bytes=400) == expected
 
 
 def test_empty_tables(spark):
@@ -68,3 +68,35 @@ def test_remove_keeps_all_columns(spark):
     kept = D.remove_contaminated(docs, spark.createDataFrame([(1, "one two")], ITEMS))
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == [(2, "three", "b"), (None, None, None)]
+
+
+def test_equal_keys_of_other_words_are_told_apart(monkeypatch):
+    monkeypatch.setattr(D, "crc32", lambda data: len(data) % 3)
+    chance = random.Random(2)
+    items = [(str(n), " ".join(chance.choices("abcde", k=chance.randrange(1, 9))).encode()) for n in range(40)]
+    matcher = D.WuManber.of(items, 4)
+    for _ in range(60):
+        words = [w.encode() for w in chance.choices("abcde", k=20)]
+        got = {(b, e, matcher.ids[o]) for b, e, owners in matcher.search(words) for o in owners}
+        wanted = set()
+        for item, text in items:
+            own = text.split()
+            length = min(4, len(own))
+            for begin in range(len(own) - length + 1):
+                wanted |= {(at, at + length, item) for at in range(21 - length) if words[at : at + length] == own[begin : begin + length]}
+        assert got == wanted
+
+
+def test_tables_of_a_large_item_set_are_small_and_quick():
+    import pickle
+    import time
+
+    chance = random.Random(1)
+    vocabulary = [f"w{n}" for n in range(5_000)]
+    items = [(str(n), " ".join(chance.choices(vocabulary, k=400)).encode()) for n in range(1_000)]
+    size = sum(len(t) for _, t in items)
+    begin = time.process_time()
+    matcher = D.WuManber.of(items, 13)
+    assert time.process_time() - begin < 10 * size / 2**20
+    assert len(pickle.dumps((matcher.words, matcher.ids, matcher.tables))) < 15 * size
+    assert [o.tolist() for _, _, o in matcher.search(items[7][1].split())] == [[7]] * 388
