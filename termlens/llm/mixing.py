@@ -12,12 +12,13 @@ where it is small, and joins it with each source's rows spread over tasks otherw
 
 Defined results: a null source is a source of its own; a null text has no characters; a
 null doc_id is drawn like the word "null"; rows that repeat a doc_id get the same number
-of copies. A source without a target weight is left out where weights are given.
+of copies, and very frequent equal rows are dealt over tasks like others. A text may be of any length: it is only
+moved. An empty table gives an empty one. A source without a target weight is left out where weights are given.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.llm.components import join_spread
@@ -26,6 +27,8 @@ from termlens.sources.workspace import materialize
 SEED = "mix-1"
 #: Target shares are sizes to this power where no weights are given: small sources gain.
 POWER = 0.5
+#: Rows that agree in all columns and come more often are numbered, so that they do not all have one place.
+OFTEN = 1_000
 
 
 def _source(column: str = "source") -> Column:
@@ -39,21 +42,41 @@ def uniform(seed: str) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The distribution function at 0, 1, 2, ... until it is 1 to double precision."""
+def poisson_steps(rated: DataFrame) -> DataFrame:
+    """__source, __steps from __source, __rate: the distribution function at 0, 1, 2, ... until it is 1 to double precision.
+
+    Logarithms of the terms are running sums, in time that is linear in the rate.
+    """
+    rate, k = F.col("__rate"), F.col("k")
     last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct(
-        F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"), F.lit([]).cast("array<double>").alias("steps")
+    terms = rated.where(rate > 0).select("__source", "__rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    so_far = Window.partitionBy("__source").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    terms = terms.withColumn("log", F.sum(F.when(k == 0, -rate).otherwise(F.log(rate) - F.log(k.cast("double")))).over(so_far))
+    steps = terms.withColumn("step", F.sum(F.exp("log")).over(so_far)).groupBy("__source").agg(
+        F.array_sort(F.collect_list(F.struct("k", "step")))["step"].alias("__steps")
     )
+    nothing = rated.where(rate <= 0).select("__source", F.array(F.lit(1.0)).alias("__steps"))
+    return steps.unionByName(nothing)
+
 
-    def step(state: Column, k: Column) -> Column:
-        log = F.when(k == 0, -rate).otherwise(state["log"] + F.log(rate) - F.log(k.cast("double")))
-        total = state["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(state["steps"], F.array(total)).alias("steps"))
+def _numbered_copies(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``__equal``: numbers from 1 for rows that agree in all columns and come very often, else 0.
 
-    return F.when(
-        rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda state: state["steps"])
-    ).otherwise(F.array(F.lit(1.0)))
+    Such rows are counted and written out again with their numbers, so that they can be dealt over tasks.
+    """
+    key = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns])).cast("binary"))
+    often = documents.select(key.alias("__row")).groupBy("__row").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > OFTEN)
+    # at most one key for every ``OFTEN`` rows
+    often = materialize(often.select("__row"), "frequent-rows")
+    if often.isEmpty():
+        return documents.withColumn("__equal", F.lit(0))
+    keyed = documents.withColumn("__row", key)
+    rare = keyed.join(often, "__row", "left_anti").drop("__row").withColumn("__equal", F.lit(0))
+    same = keyed.join(often, "__row", "left_semi").groupBy("__row").agg(
+        F.count(F.lit(1)).cast("int").alias("__n"), *[F.first(F.col(f"`{c}`")).alias(c) for c in documents.columns]
+    )
+    numbered = same.withColumn("__equal", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__row", "__n")
+    return rare.unionByName(numbered)
 
 
 def rates(documents: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, power: float = POWER) -> DataFrame:
@@ -91,14 +114,13 @@ def mix(
     copy_column: str | None = None,
 ) -> DataFrame:
     """The columns of ``documents`` with each document as often as it was drawn, shuffled."""
-    steps = rates(documents, weights, total, power).select("__source", poisson_steps(F.col("__rate")).alias("__steps"))
-    steps = materialize(steps, "rates")
-    keyed = documents.withColumns({"__source": _source(), "__draw": uniform(seed)})
+    steps = materialize(poisson_steps(rates(documents, weights, total, power)), "rates")
+    keyed = _numbered_copies(documents).withColumns({"__source": _source(), "__draw": uniform(seed)})
     drawn = join_spread(keyed, steps, "__source", "__draw")
     copies = F.size(F.filter("__steps", lambda step: step <= F.col("__draw")))
     exploded = drawn.withColumn("__copies", copies).where("__copies > 0").drop("__steps")
     exploded = exploded.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    place = F.xxhash64(F.lit(seed), "__draw", "__copy", *[F.col(f"`{c}`") for c in documents.columns if c == "text"])
+    place = F.xxhash64(F.lit(seed), "__draw", "__copy", "__equal", *[F.col(f"`{c}`") for c in documents.columns if c == "text"])
     dealt = exploded.withColumn("__place", place).repartition("__place").sortWithinPartitions("__place")
     kept = [F.col(f"`{c}`") for c in documents.columns]
     return dealt.select(*kept, *([F.col("__copy").alias(copy_column)] if copy_column else []))

@@ -58,3 +58,34 @@ def test_large_rates_and_empty_table(spark):
     assert M.mix(frame.limit(0)).count() == 0
     with pytest.raises(ValueError):
         M.mix(frame, {"s": -1})
+
+
+def test_equal_rows_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "OFTEN", 100)
+    hot = spark.range(6_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("a").alias("source"), F.lit("same").alias("text"))
+    rest = spark.range(100, 3_100).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.lit("other").alias("text"))
+    rows = hot.unionByName(rest)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = M.mix(rows, {"a": 2, "b": 1}, total=9_000 * 25.0).select("doc_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    copies = [r for r in mixed if r.doc_id == 1]
+    assert len(copies) % 6_000 == 0 and copies
+    tasks = Counter(r.task for r in copies)
+    assert len(tasks) == 8 and max(tasks.values()) < 0.2 * len(copies)
+
+
+def test_a_large_rate_takes_linear_time(spark):
+    import time
+
+    rated = spark.createDataFrame([("s", 10_000.0), ("none", 0.0)], "__source string, __rate double")
+    begin = time.perf_counter()
+    steps = {r[0]: r[1] for r in M.poisson_steps(rated).collect()}
+    assert time.perf_counter() - begin < 8 and steps["none"] == [1.0]
+    assert abs(steps["s"][10_000] - 0.50266) < 1e-4 and abs(steps["s"][-1] - 1) < 1e-9
+
+
+def test_a_very_long_text_is_only_moved(spark):
+    frame = spark.createDataFrame([(n, "s", "long " * 400_000) for n in range(3)], "doc_id bigint, source string, text string")
+    assert {len(r.text) for r in M.mix(frame, total=60_000_000.0).collect()} == {2_000_000}
