@@ -130,27 +130,45 @@ def document_sketches(documents: DataFrame, width: int = SHINGLE, size: int = SI
 # ----------------------------------------------------- next to the text that follows
 
 
+#: Room for the parts of one id between the numbers of two ranges.
+_PARTS_OF_AN_ID = 1 << 20
+
+
 def _dealt_in_order(documents: DataFrame) -> DataFrame:
     """part, doc_id, tie, text, last: parts are ranges of doc_id, and each part ends with a copy
     (last = true) of the row that follows its own last one; after all rows comes the first.
 
     Part bounds are quantiles of doc_id, as many as there are shuffle partitions. A null
     doc_id comes first; such rows, and rows that repeat a doc_id, are in the order of a hash
-    of their text.
+    of their text. An id with more rows than a part should have is cut by quantiles of that hash; only rows that agree
+    in id and text stay together.
     """
     spark = documents.sparkSession
     count = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     shares = [i / count for i in range(1, count)]
-    bounds = ids.agg(F.percentile_approx("doc_id", shares, 20 * count)).first()[0] or []
-    splits = [-float("inf"), *sorted({0.0, *map(float, bounds)}), float("inf")]
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("id", F.coalesce("doc_id", F.lit(0)).cast("double"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    bounds = ids.agg(F.percentile_approx("doc_id", shares, 20 * count)).first()[0] or []
+    total = ids.count()
+    often = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * count > 2 * total)
+    # fewer ids than there are parts
+    hot = [r.doc_id for r in often.collect()]
+    ends = [float(e) for i in hot if i is not None for e in (i, i + 1)]
+    splits = [-float("inf"), *sorted({0.0, *map(float, bounds), *ends}), float("inf")]
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(0)).cast("double"))
     rows = Bucketizer(splits=splits, inputCol="id", outputCol="range").transform(rows)
-    without_id = F.shiftright("tie", 56) - 1000
-    rows = rows.select(
-        F.when(F.col("doc_id").isNull(), without_id).otherwise(F.col("range")).cast("bigint").alias("part"), "doc_id", "tie", "text"
-    )
+    inside = F.lit(0)
+    if hot:
+        is_hot = F.col("doc_id").isin([i for i in hot if i is not None])
+        is_hot = F.coalesce(is_hot, F.lit(False)) | (F.col("doc_id").isNull() if None in hot else F.lit(False))
+        cuts = rows.where(is_hot).groupBy("doc_id").agg(F.percentile_approx("tie", shares, 20 * count).alias("cuts"))
+        cuts = F.broadcast(materialize(cuts.withColumnRenamed("doc_id", "hot_id"), "hot-ids"))
+        rows = rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("hot_id")) & is_hot, "left")
+        passed = F.size(F.filter(F.array_distinct("cuts"), lambda cut: cut <= F.col("tie")))
+        inside = F.when(F.col("cuts").isNull(), 0).otherwise(passed)
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("range")).cast("bigint") * _PARTS_OF_AN_ID + inside
+    rows = rows.select(place.alias("part"), "doc_id", "tie", "text")
     # the first row of each part, one row per part: first the smallest ids, then their texts
     firsts = materialize(rows.groupBy("part").agg(F.min("doc_id").alias("first_id")), "firsts")
     following = Window.orderBy("part")

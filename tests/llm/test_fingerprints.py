@@ -70,3 +70,27 @@ def test_few_rows_and_repeats(spark):
     assert P.fingerprints_with_edits(many).count() == 5
     sketches = P.document_sketches(many).collect()
     assert len(sketches) == 5 and len({r.fingerprint for r in sketches if r.doc_id == 1}) == 1
+
+
+def test_an_id_with_a_third_of_all_rows_is_spread(spark):
+    import xxhash
+
+    chance = random.Random(6)
+    rows = [(i % 900 if i % 3 else 77, f"text {i} " + " ".join(chance.choices("abc", k=9)), "p") for i in range(2_700)]
+    rows += [(None, f"none {i}", "p") for i in range(600)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(5)
+
+    def tie(text):
+        h = xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - 2**64 if h >> 63 else h
+
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
+    expected = sorted(
+        (doc, hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest())
+        for (doc, t, _), (_, n, _) in zip(ordered, ordered[1:] + ordered[:1])
+        if doc is not None
+    )
+    got = P.fingerprints_with_edits(frame).where("doc_id is not null").select("doc_id", "edited_sha256").collect()
+    assert sorted(map(tuple, got)) == expected
+    parts = P._dealt_in_order(frame).groupBy("part").count().collect()
+    assert max(p["count"] for p in parts) < 500
