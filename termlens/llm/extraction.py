@@ -20,6 +20,7 @@ a null page_id or url is kept. Other columns are not looked at.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -140,6 +141,7 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     held: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, int, int]] = []  # name, hidden, container, part
+    opened: Counter[str] = Counter()  # names on the stack
     parents, marked = [0], [False]  # of each part: the part around it, whether it holds <main> or <h1>
     containers = links = 0
 
@@ -171,10 +173,12 @@ def blocks(html: str) -> list[Block]:
         if name in _BLOCKS or name in _HIDDEN:
             flush()
         if token["close"]:
-            if any(entry[0] == name for entry in stack):
-                while (closed := stack.pop()[0]) != name:
-                    links -= closed == "a"
-                links -= name == "a"
+            while opened[name]:
+                closed = stack.pop()[0]
+                opened[closed] -= 1
+                links -= closed == "a"
+                if closed == name:
+                    break
         elif name not in _VOID and not token["rest"].rstrip().endswith("/"):
             _, hidden, container, part = stack[-1] if stack else ("", False, 0, 0)
             hiding = _hiding(name, token["rest"], container > 0)
@@ -191,7 +195,9 @@ def blocks(html: str) -> list[Block]:
             links += name == "a"
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
+                opened["p"] -= 1
             stack.append((name, hidden, container, part))
+            opened[name] += 1
     if at < len(html):
         held.append((html[at:], links > 0))
     flush()

@@ -78,3 +78,12 @@ def test_query_keeps_every_row(spark):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert sorted((r.page_id or 0, r.n_chars > 0) for r in got) == [(0, False), (1, True), (1, True), (2, False)]
     assert X.extract(pages.limit(0)).count() == 0
+
+
+def test_a_broken_page_takes_linear_time():
+    import time
+
+    html = "<div>" * 4_000 + "</span>" * 8_000 + "<p>" + "Some words of a text that is long enough. " * 20
+    begin = time.process_time()
+    found = X.blocks(html)
+    assert time.process_time() - begin < 0.5 and len(found) == 1
