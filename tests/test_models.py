@@ -118,7 +118,12 @@ def test_sequence_jobs(spark, tiny):
     terms = sequences.pair_vocabulary(pairs)
     rows = [tuple(r) for r in terms.orderBy("term_id").collect()]
     assert [r[3] for r in rows] == list(range(1, len(rows) + 1))
-    assert "" not in {r[0] for r in rows}
+    # words of other letters only are cleaned to empty tokens: terms unless left out, and never encoded
+    assert "" not in {r[0] for r in sequences.pair_vocabulary(pairs, drop_empty=True).collect()}
+    empty = [r[3] for r in rows if r[0] == ""]
+    encoded = sequences.encode_pairs(pairs, terms)
+    used = encoded.select(F.explode(F.concat("int_title_tokens", "int_sterm_tokens"))).distinct().collect()
+    assert empty and not {r[0] for r in used} & set(empty)
     padded = sequences.pad_pairs(sequences.encode_pairs(pairs, terms))
     sizes = padded.selectExpr("size(int_title_tokens)", "size(int_sterm_tokens)").distinct().collect()
     assert [tuple(r) for r in sizes] == [(15, 10)]
