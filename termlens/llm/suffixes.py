@@ -27,8 +27,9 @@ of copies of any size sends its text once per task; the same holds for lines and
 chunk sends one. Chunks are a stored, bucketed table, so seeds and matches travel to the
 texts, not the texts to them.
 
-Defined results: null is an empty text, n_bytes 0. A null doc_id is larger than any other. Rows that
-repeat a doc_id do not shorten each other. Texts below 50 bytes stay. Other columns are not looked at.
+Defined results: null is an empty text, n_bytes 0. A null doc_id counts as the largest bigint. Rows that
+repeat a doc_id do not shorten each other. Texts below 50 bytes stay. An empty table gives an empty one. Other columns are
+not looked at. ``suffix_index`` keeps such a family in a folder and adds further batches to it.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ HOT_BYTES = 16 << 20
 PIECE = 1 << 20
 
 _TABLE = "termlens_chunks_"
+_tables: list[str] = []
 _BASE = 0x9E3779B97F4A7C15
 _LAST = np.iinfo(np.int64).max
 _REACH = LENGTH - SEED
@@ -131,6 +133,14 @@ def _bucket(keys: np.ndarray, count: int) -> np.ndarray:
     return (_mixed(keys) >> np.uint64(20)) % np.uint64(count)
 
 
+def _by_bucket(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has something, and what: places in ``place``, ascending."""
+    order = np.argsort(place, kind="stable")
+    numbers, begins = np.unique(place[order], return_index=True)
+    for number, some in zip(numbers.tolist(), np.split(order, begins[1:])):
+        yield number, some
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Ascending keys as byte planes of their differences: most planes are zeros, which compress away."""
     return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -211,29 +221,25 @@ def chunk_arrays(texts: DataFrame, buckets: int, often: int | None = None) -> Da
         if held:
             keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             counts = np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
-            place = _bucket(keys, buckets)
-            order = np.argsort(place, kind="stable")
-            ends = np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.uint64))
-            for number, (begin, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                if end > begin:
-                    some = order[begin:end]
-                    rows.append((1, -1, number, chunk, pack(keys[some]), b""))
-                    many = some[counts[some] > often] if often is not None else some[:0]
-                    if len(many):
-                        rows.append((1, -2, number, chunk, pack(keys[many]), _pack_numbers(counts[many])))
+            for number, some in _by_bucket(_bucket(keys, buckets)):
+                rows.append((1, -1, number, chunk, pack(keys[some]), b""))
+                many = some[counts[some] > often] if often is not None else some[:0]
+                if len(many):
+                    rows.append((1, -2, number, chunk, pack(keys[many]), _pack_numbers(counts[many])))
         return _found(rows)
 
     return texts.select("chunk", "text").groupBy("chunk").applyInArrow(arrays, _FOUND)
 
 
-def add_batch(arrays: DataFrame, levels: dict[int, str], number: int) -> tuple[DataFrame, dict[int, str], str]:
+def add_batch(
+    arrays: DataFrame, levels: dict[int, str], number: int, path: str | None = None
+) -> tuple[DataFrame, dict[int, str], str]:
     """Scan batch ``number`` (from 1) against the levels and merge: reports, new levels, the stored step."""
     spark = arrays.sparkSession
     merging = (number & -number).bit_length() - 1
     rows = arrays
-    for level, path in levels.items():
-        kept = spark.read.schema(_FOUND).parquet(path).where("kind = 1")
-        rows = rows.unionByName(kept)
+    for held in levels.values():
+        rows = rows.unionByName(spark.read.schema(_FOUND).parquet(held).where("kind = 1"))
 
     def scan(table: pa.Table) -> pa.Table:
         bucket, batch, held, counted = table.column("bucket")[0].as_py(), [], [], []
@@ -257,15 +263,18 @@ def add_batch(arrays: DataFrame, levels: dict[int, str], number: int) -> tuple[D
         out = [(0, merging, bucket, chunk, pack(keys), b"") for chunk, keys in told]
         return _found([*out, *counted, (1, merging, bucket, -1, pack(merged[0]), _pack_numbers(merged[1]))])
 
-    path = new_folder(spark, "suffixes")
-    rows.groupBy("bucket").applyInArrow(scan, _FOUND).write.partitionBy("kind").parquet(path)
+    path = path or new_folder(spark, "suffixes")
+    rows.groupBy("bucket").applyInArrow(scan, _FOUND).write.mode("overwrite").partitionBy("kind").parquet(path)
     following = {level: p for level, p in levels.items() if level >= merging}
     following[merging] = path
     return spark.read.schema(_FOUND).parquet(path).where("kind = 0").select("chunk", "keys"), following, path
 
 
 def hot_seeds(spark: SparkSession, paths: list[str], least: int) -> np.ndarray:
-    """Seeds with at least ``least`` strings, by the counts in the stored steps. There are few: each needs much text."""
+    """Seeds with at least ``least`` strings, by the counts in the stored steps.
+
+    At most one for every ``least`` strings of 50 bytes and more of the corpus: 8 bytes on the driver for some 5 MB of text.
+    """
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,22 +347,20 @@ def send_strings(texts: DataFrame, reports: DataFrame, buckets: int, hot: np.nda
         if chunk.num_rows:
             found = Candidates(*_chunk_columns(chunk), _reported(told))
             place = np.where(np.isin(found.keys, hot), np.uint64(buckets), _bucket(found.keys, buckets))
-            order = np.argsort(place, kind="stable")
-            ends = np.searchsorted(place[order], np.arange(buckets + 1, dtype=np.uint64))
-            for number, (begin, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                if end > begin:
-                    some = order[begin:end]
-                    strings = [found.strings[i] for i in some.tolist()]
-                    rows.append(
-                        (
-                            number,
-                            chunk.column("chunk")[0].as_py(),
-                            _pack_numbers(some),
-                            np.array([len(s) for s in strings], np.uint8).tobytes(),
-                            np.ascontiguousarray(found.first[some].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(),
-                            b"".join(strings),
-                        )
+            for number, some in _by_bucket(place):
+                if number == buckets:
+                    continue
+                strings = [found.strings[i] for i in some.tolist()]
+                rows.append(
+                    (
+                        number,
+                        chunk.column("chunk")[0].as_py(),
+                        _pack_numbers(some),
+                        np.array([len(s) for s in strings], np.uint8).tobytes(),
+                        np.ascontiguousarray(found.first[some].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(),
+                        b"".join(strings),
                     )
+                )
         kinds = [pa.int32()] * 2 + [pa.binary()] * 4
         names = ["bucket", "chunk", "numbers", "sizes", "docs", "strings"]
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
@@ -576,6 +583,7 @@ def stored_chunks(documents: DataFrame, batches: int, chunk_bytes: int) -> tuple
     for bound in bounds:
         batch = batch + (F.col("first") > bound).cast("int")
     name = f"{_TABLE}{uuid.uuid4().hex}"
+    _tables.append(name)
     rows = distinct.select(batch.alias("batch"), "chunk", "first", "name", "text")
     rows.write.bucketBy(parts, "chunk").option("path", new_folder(spark, "chunks")).saveAsTable(name)
     return name, size
@@ -588,9 +596,43 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def drop_chunks(spark: SparkSession) -> None:
-    """Take the bucketed tables of earlier calls out of the catalog, once their results are written."""
-    for table in spark.catalog.listTables(pattern=f"{_TABLE}*"):
-        spark.sql(f"DROP TABLE {table.name}")
+    """Take the bucketed tables of this process's earlier calls out of the catalog, once their results are written."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+
+
+def matched(
+    texts: DataFrame, reports: DataFrame, buckets: int, hot: np.ndarray, cut: DataFrame | None = None
+) -> DataFrame:
+    """name, first, spans, kept_sha256 of the texts (of ``cut``, if given) by the strings at reported seeds.
+
+    The answers are stored, so a lost executor does not cost the exchange of the strings again.
+    """
+    answers = materialize(answer(send_strings(texts, reports, buckets, hot)), "answers")
+    release_shuffles(texts.sparkSession)
+    empty = F.lit(None).cast("binary")
+    told = reports.select("chunk", "keys", empty.alias("numbers"), empty.alias("masks")).unionByName(
+        answers.select("chunk", empty.alias("keys"), "numbers", "masks")
+    )
+    if len(hot):
+        windows = materialize(answer_hot(texts, reports, hot), "windows")
+        told = told.unionByName(windows, allowMissingColumns=True)
+    return cut_texts(texts if cut is None else cut, told, hot)
+
+
+def by_document(source: DataFrame, results: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, spans, kept_sha256 of all rows of ``source`` (doc_id, text) from those of their distinct texts."""
+    name = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = source.select("doc_id", name.alias("name"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    joined = join_spread(rows, results, "name", "doc_id")
+    copy = (F.coalesce("doc_id", F.lit(_LAST)) > F.col("first")) & (F.col("n_bytes") >= LENGTH)
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("begin"), F.col("n_bytes").alias("end")))
+    return joined.select(
+        "doc_id",
+        "n_bytes",
+        F.when(copy, whole).otherwise(F.col("spans")).alias("spans"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+    )
 
 
 def duplicated_spans(
@@ -631,26 +673,7 @@ def duplicated_spans(
     for path in every:
         remove(spark, path)
     release_shuffles(spark)
-    answers = answer(send_strings(texts, reports, buckets, hot))
-    empty = F.lit(None).cast("binary")
-    told = reports.select("chunk", "keys", empty.alias("numbers"), empty.alias("masks")).unionByName(
-        answers.select("chunk", empty.alias("keys"), "numbers", "masks")
-    )
-    if len(hot):
-        windows = answer_hot(texts, reports, hot)
-        told = told.unionByName(windows, allowMissingColumns=True)
-    results = cut_texts(texts, told, hot)
-    name = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = source.select("doc_id", name.alias("name"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
-    joined = join_spread(rows, results, "name", "doc_id")
-    copy = (F.coalesce("doc_id", F.lit(_LAST)) > F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("begin"), F.col("n_bytes").alias("end")))
-    return joined.select(
-        "doc_id",
-        "n_bytes",
-        F.when(copy, whole).otherwise(F.col("spans")).alias("spans"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-    )
+    return by_document(source, matched(texts, reports, buckets, hot))
 
 
 def digest(spans: DataFrame) -> DataFrame:
