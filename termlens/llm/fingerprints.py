@@ -8,7 +8,8 @@ is held in full, so its estimates are exact.
 Words are runs of bytes other than ASCII white space, with A-Z in lower case. A text of
 fewer than five words has one shingle, the whole sequence; one without words, null and
 empty texts among them, has an empty sketch. Two empty sketches are alike (1), an empty
-and another one are not (0). Equal texts have equal sketches.
+and another one are not (0). Equal texts have equal sketches. Rows that repeat a doc_id are each fingerprinted; an
+empty table gives an empty one; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termlens.llm.batches import pieces
+from termlens.llm.shingles import text_windows
 from termlens.sources.workspace import materialize
 
 SHINGLE = 5
@@ -74,7 +76,18 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
 
 
 def sketch(text: bytes, width: int = SHINGLE, size: int = SIZE) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width))[:size]
+    """The text's sketch; a long text is read by windows, whose sketches merge."""
+    kept, carried, found = np.zeros(0, np.uint64), b"", False
+    for window in text_windows(text):
+        part = carried + b" " + window if carried else window
+        if len(part.split(None, width - 1)) < width:
+            carried = part
+            continue
+        found = True
+        kept = merged(kept, np.unique(shingle_hashes(part, width))[:size], size)
+        # the words that shingles of the next window begin with
+        carried = b" ".join(part.rsplit(None, width - 1)[1:])
+    return kept if found else np.unique(shingle_hashes(carried, width))[:size]
 
 
 def merged(one: np.ndarray, other: np.ndarray, size: int = SIZE) -> np.ndarray:

@@ -18,23 +18,23 @@ bytes outside the group, which is linear in its length and finds the same links.
 Defined results: a null or empty text, or one of white space, has fingerprint zero
 and is linked like any other. Rows that repeat a doc_id are each returned, with the
 same component if their texts agree. A null doc_id never names a component unless all
-of its documents lack one. Other columns are not looked at.
+of its documents lack one. An empty table gives an empty one; a long text is read by windows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.llm.batches import binary_column, pieces
 from termlens.llm.components import components, join_spread
+from termlens.llm.shingles import shingle_hashes
 from termlens.sources.workspace import materialize
 
 SHINGLE = 3
@@ -48,20 +48,13 @@ SCAN = 100_000
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """The text's SimHash: a bit is set if it is in over half the shingles' XXH64 (seed 42)."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = list(accumulate([len(w) + 1 for w in words]))
-    begins = [0, *ends[:-1]]
-    last = ends[min(width, len(words)) - 1 :]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[b : e - 1], 42) for b, e in zip(begins, last)], "<u8")
-    ones = np.zeros(64, np.int64)
-    for begin in range(0, len(hashes), 4096):
-        part = hashes[begin : begin + 4096]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    ones, count = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        count += len(hashes)
+        for begin in range(0, len(hashes), 4096):
+            part = hashes[begin : begin + 4096]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
 def with_fingerprints(documents: DataFrame, column: str, width: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:

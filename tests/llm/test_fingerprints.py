@@ -94,3 +94,16 @@ def test_an_id_with_a_third_of_all_rows_is_spread(spark):
     assert sorted(map(tuple, got)) == expected
     parts = P._dealt_in_order(frame).groupBy("part").count().collect()
     assert max(p["count"] for p in parts) < 500
+
+
+def test_windows_do_not_change_sketches(monkeypatch):
+    from termlens.llm import shingles
+
+    chance = random.Random(2)
+    for size in range(0, 80, 4):
+        text = "".join(chance.choice(["ab", "C", " ", "\n", "é"]) for _ in range(size)).encode()
+        whole = P.sketch(text)
+        assert np.array_equal(whole, np.unique(P.shingle_hashes(text))[: P.SIZE])
+        monkeypatch.setattr(shingles, "WINDOW", chance.randrange(1, 12))
+        assert np.array_equal(P.sketch(text), whole)
+        monkeypatch.undo()
