@@ -14,7 +14,7 @@ without any decided block is good as a whole, and so is a page of short blocks a
 Defined results: null, empty or text-free html gives an empty text. Markup that is cut off or not
 closed is read up to its end: an open script hides the rest, an open tag is dropped. Scripts, styles
 and comments are never text. Character references are decoded once. Equal rows give equal results,
-a null page_id or url is kept. Other columns are not looked at.
+a null page_id or url is kept, an empty table gives an empty one. Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -87,3 +87,34 @@ def test_a_broken_page_takes_linear_time():
     begin = time.process_time()
     found = X.blocks(html)
     assert time.process_time() - begin < 0.5 and len(found) == 1
+
+
+def test_pages_of_known_structure():
+    """Made pages, of which the article is known: it is found whole, and nothing else."""
+    import html as H
+    import random
+
+    chance = random.Random(12)
+    common = "the of and to in is that it for was on with as at by from are this".split()
+    rare = [f"term{n}" for n in range(300)]
+
+    def sentence(size):
+        words = [chance.choice(common if chance.random() < 0.4 else rare) for _ in range(size)]
+        return " ".join(words).capitalize() + "."
+
+    def paragraph():
+        text = " ".join(sentence(chance.randrange(8, 20)) for _ in range(chance.randrange(2, 6)))
+        return text + chance.choice(["", " Ünïcode & <marks>.", " “Quotes” are kept."])
+
+    for _ in range(60):
+        title, parts = sentence(6), [paragraph() for _ in range(chance.randrange(2, 8))]
+        menu = "".join(f'<li><a href="/{n}">{chance.choice(rare)}</a></li>' for n in range(chance.randrange(3, 9)))
+        body = "".join(f"\n <p>{H.escape(p).replace(' ', chance.choice([' ', chr(10), '  ']), 1)}</p>" for p in parts)
+        wrapped = chance.choice(["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>']).format(f"<h1>{H.escape(title)}</h1>{body}")
+        page = (
+            f"<html><head><title>x</title><style>p {{}}</style><script>var a = '<p>no</p>';</script></head><body>"
+            f"<nav><ul>{menu}</ul></nav><header class='site-header'><a href='/'>Home</a></header>{wrapped}"
+            f"<aside class='sidebar'><p>{paragraph()}</p></aside><form><p>{paragraph()}</p><input name='q'></form>"
+            f"<div class='comments'><p>{paragraph()}</p></div><footer><p>Copyright 2020 <a href='/l'>legal</a></p></footer></body></html>"
+        )
+        assert X.main_text(page) == "\n".join([title, *[" ".join(p.split()) for p in parts]])

@@ -95,3 +95,42 @@ def test_repeated_ids_are_bounded_and_toxic_needs_no_quality(spark):
     assert len(rows) <= 50
     rows, grades = Q.labelled_sample(docs, marks, 10_000)
     assert sorted(set(grades.tolist())) == [0, 1, 2] and (grades == 1).sum() == 1 and (grades == 0).sum() == 1
+
+
+def _plain_features(text):
+    """The features by their definition, one by one."""
+    import re
+    import zlib
+
+    data = (text or "").encode()
+    raw = [w for w in re.split(rb"[ \t\n\v\f\r]+", data) if w]
+    names = {b"=" + bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", data)}
+    count = len(raw) or 1
+    letters = [bytes(b for b in w if 65 <= b <= 90 or 97 <= b <= 122) for w in raw]
+    shares = {
+        b"capitals": sum(bool(le) and all(b <= 90 for b in le) for le in letters),
+        b"marked": sum(w[-1:] in (b"#", b"$", b"%", b"&", b"*", b"!", b"|") for w in raw),
+        b"lone": sum(len(w) == 1 and not (w.isalpha() or w.isdigit()) for w in raw),
+        b"again": sum(raw[i] == raw[i - 1] for i in range(1, len(raw))),
+        b"distinct": len(set(raw)),
+    }
+    for name, number in shares.items():
+        for eighth in range(1, 9):
+            if 8 * number >= eighth * count:
+                names.add(name + b":" + str(eighth).encode())
+    return {zlib.crc32(n) % Q.BUCKETS for n in names}
+
+
+def test_scores_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = Q.train(docs, labels)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = Q.scored(docs, model).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        score = sum(weight.get(f, 0.0) for f in _plain_features(texts[row.doc_id]))
+        tail = [1 / (1 + np.exp(-(score - t))) for t in model.thresholds]
+        assert np.allclose(row.tail, tail, atol=1e-9) and abs(row.expected_grade - sum(tail)) < 1e-9
+        assert row.keep == (tail[1] >= 0.5)
