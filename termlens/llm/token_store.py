@@ -47,6 +47,8 @@ SHARD_IDS = 1 << 20
 END_ID = 1
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 700_000
+#: Bytes of text that are split into words at once.
+TEXT_BYTES = 2 << 20
 _TRAILING = b".,!%&*$#|"
 
 
@@ -230,7 +232,7 @@ def write_tokens(
                 }
             )
 
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", TEXT_BYTES):
             names = piece.column("doc_id").to_pylist()
             for doc_id, ids in zip(names, coder.encode(binary_column(piece, "text"))):
                 length = len(ids) // 4 + 1
