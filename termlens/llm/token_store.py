@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termlens.llm.batches import binary_column, pieces, worker_state
+from termlens.llm.batches import PIECE_BYTES, binary_column, pieces, worker_state
 
 MAGIC = b"IDPLANE1"
 BLOCK = 16_384
@@ -47,8 +47,6 @@ SHARD_IDS = 1 << 20
 END_ID = 1
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 700_000
-#: Bytes of text that are split into words at once.
-TEXT_BYTES = 2 << 20
 _TRAILING = b".,!%&*$#|"
 
 
@@ -201,10 +199,12 @@ def write_tokens(
     shard_ids: int = SHARD_IDS,
     block: int = BLOCK,
     bits: bool = False,
+    text_bytes: int = PIECE_BYTES,
 ) -> None:
     """Encode ``documents`` (doc_id, text) and store their ids under ``path``.
 
-    ``ordered``: in ascending doc_id order; otherwise in the order in which the rows are read.
+    ``ordered``: in ascending doc_id order; otherwise in the order in which the rows are read. ``text_bytes``: text
+    that a worker splits into words at once.
     """
     tokenizer = tokenizer or default_tokenizer()
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -232,7 +232,7 @@ def write_tokens(
                 }
             )
 
-        for piece in pieces(batches, "text", TEXT_BYTES):
+        for piece in pieces(batches, "text", text_bytes):
             names = piece.column("doc_id").to_pylist()
             for doc_id, ids in zip(names, coder.encode(binary_column(piece, "text"))):
                 length = len(ids) // 4 + 1
