@@ -30,7 +30,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # in the order of the mixed rows, so that the ids stay shuffled
     path = new_folder(spark, "token-store")
-    token_store.write_tokens(docs, path, ordered=False)
+    # workers that hold what earlier stages left behind split less text at once
+    token_store.write_tokens(docs, path, ordered=False, text_bytes=2 << 20)
     return token_store.read_tokens(spark, path)
 
 
