@@ -32,15 +32,23 @@ def clean_pairs(pairs: DataFrame) -> DataFrame:
 
 def pair_vocabulary(pairs: DataFrame, scope: str = "train", **settings) -> DataFrame:
     """Dictionary of the pairs; of the training rows unless ``scope='all'``."""
-    rows = pairs if scope == "all" else pairs.where(F.col("split") == "train")
-    return build_vocabulary(clean_pairs(rows), "tokens", **settings)
+    return cleaned_vocabulary(clean_pairs(pairs), scope, **settings)
+
+
+def cleaned_vocabulary(cleaned: DataFrame, scope: str = "train", **settings) -> DataFrame:
+    """``pair_vocabulary`` of pairs that ``clean_pairs`` has cleaned, and that may be stored."""
+    rows = cleaned if scope == "all" else cleaned.where(F.col("split") == "train")
+    return build_vocabulary(rows, "tokens", **settings)
 
 
 def encode_pairs(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Pairs with int_title_tokens and int_sterm_tokens; the same for new pairs."""
-    return encode_tokens(clean_pairs(pairs), vocabulary, SEQUENCES).drop(
-        "tokens", *SEQUENCES
-    )
+    return encode_cleaned(clean_pairs(pairs), vocabulary)
+
+
+def encode_cleaned(cleaned: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``encode_pairs`` of pairs that ``clean_pairs`` has cleaned."""
+    return encode_tokens(cleaned, vocabulary, SEQUENCES).drop("tokens", *SEQUENCES)
 
 
 def pad_pairs(encoded: DataFrame) -> DataFrame:
@@ -55,7 +63,11 @@ def join_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pooled_pairs(encoded: DataFrame, matrix: DataFrame, dimensions: int) -> DataFrame:
-    """Encoded pairs with one vector of both fields' pooled word vectors."""
+    """Encoded pairs with one vector of both fields' pooled word vectors.
+
+    The vectors are far wider than the ids that they come from. Store the ids, if anything: a fit by
+    the normal equations reads its rows once, and vectors are pooled faster than they are written and read.
+    """
     pooled = pool_sequences(
         pad_pairs(encoded), matrix, {"int_title_tokens": "title", "int_sterm_tokens": "sterm"},
         dimensions,
