@@ -299,13 +299,21 @@ class NodeList:
         return others[100 * both >= self.similarity * (self.n[others] + len(own) - both)]
 
     def forest(self) -> Iterator[tuple[int, int]]:
-        """Agreeing pairs, or similar ones where the sets are given, that join nodes of different components."""
+        """A spanning forest of the agreeing pairs across components, or the similar ones that join components where the sets are given.
+
+        An agreeing pair joins its two nodes only: what agrees may yet be no link, so a component one of whose nodes agrees with
+        a stranger must send its other nodes with their own pairs to the region as well. A similar pair joins whole components.
+        """
+        exact = self.hashes is not None
+        tree = self.label if exact else np.arange(len(self.node))
         for one, others in self.agreeing():
-            if len(others) and self.hashes is not None:
+            if not exact:
+                others = others[tree[others] != tree[one]]
+            elif len(others):
                 others = self.similar(one, others)
             for other in others:
-                if self.label[other] != self.label[one]:
-                    self.label[self.label == self.label[other]] = self.label[one]
+                if tree[other] != tree[one]:
+                    tree[tree == tree[other]] = tree[one]
                     yield int(self.node[one]), int(self.node[other])
 
 
@@ -372,7 +380,7 @@ def links(nodes: DataFrame, documents: DataFrame, width: int = WIDTH, similarity
 
     members, several = _split(with_component(shared.select("bucket", "node")), shared)
     forests = _forests(_lists(members, several, BLOCK), nodes, similarity)
-    # an edge of a bucket lies between components: the region of its agreeing pairs has both ends
+    # the forests span every agreeing pair across components: a region has both ends of each
     regions = components(forests).select(F.col("component").alias("bucket"), "node")
     members = with_component(regions)
     return first.union(_forests(_lists(members, _several(members), REGION_BLOCK), nodes, similarity, sets))

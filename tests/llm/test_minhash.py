@@ -153,3 +153,29 @@ def test_empty_table_and_very_long_text(spark):
     rows = [(5, " ".join(words), 0), (6, " ".join(words[:-9] + ["z"]), 0), (7, "x " * 500_000, 0), (8, "X  " * 4, 0)]
     got = sorted(map(tuple, M.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()))
     assert got == [(5, 199_997, 5, True), (6, 199_989, 5, False), (7, 1, 7, True), (8, 1, 7, False)]
+
+
+def test_a_forest_of_agreeing_pairs_spans_every_node(spark):
+    """Two linked nodes both agree with a third, which is a link of the second one only: that pair must reach the exact search."""
+    same = np.zeros((3, M.MINIMA), np.uint16)
+    columns = {"node": np.array([10, 11, 12]), "side": np.zeros(3, int), "n": np.full(3, 100), "component": np.array([10, 10, 12])}
+    forest = list(M.NodeList(True, columns, same, None, 80).forest())
+    assert {n for pair in forest for n in pair} == {10, 11, 12}
+    # sets: 0 and 1 are alike, 2 is like 1 and not like 0; all signatures agree
+    hashes = [np.arange(0, 100, dtype=np.uint64), np.arange(6, 106, dtype=np.uint64), np.arange(15, 115, dtype=np.uint64)]
+    columns = {"node": np.array([10, 11, 12]), "side": np.zeros(3, int), "n": np.full(3, 100), "component": np.array([10, 10, 12])}
+    assert list(M.NodeList(True, columns, same, hashes, 80).forest()) == [(11, 12)]
+
+
+def test_links_of_nodes_beside_an_agreeing_one_are_kept(spark):
+    """The like of a component's second node is found, though its first node only agrees with it."""
+    chance = random.Random(7)
+    rows = []
+    for base in range(120):
+        text = [f"b{base}w{i}" for i in range(300)]
+        # windows that move by a sixteenth: neighbours are alike, the others agree but are not
+        for step in range(3):
+            rows.append((10 * base + step, " ".join(text[step * 15 + chance.randrange(10) :][:225])))
+    chance.shuffle(rows)
+    table = spark.createDataFrame([(*r, 1) for r in rows], DOCS).repartition(5)
+    assert sorted(map(tuple, M.near_duplicates(table).collect()), key=str) == _expected(rows)
