@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pytest
+
+from checks import queries
 from termlens import schemas
 from termlens.sources import readers, workspace, writers
 
@@ -67,3 +70,16 @@ def test_stored_tables_can_be_removed(spark, monkeypatch):
 
 def test_preview_is_ordered(spark):
     assert [r[0] for r in writers.preview(spark.range(100).repartition(3), "id", n=3).collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("name", ["scan_quoted_csv", "score_new_pairs"])
+def test_whole_tables_are_not_written_by_one_task(spark, tiny, monkeypatch, name):
+    calls, plain = [], queries.writers.write_delimited
+
+    def kept(df, path, *args, **settings):
+        calls.append(settings)
+        plain(df, path, *args, **settings)
+
+    monkeypatch.setattr(queries.writers, "write_delimited", kept)
+    assert queries.QUERIES[name](spark, tiny).count() > 0
+    assert calls and not any(settings.get("single_file") for settings in calls)
