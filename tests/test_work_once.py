@@ -1,0 +1,76 @@
+"""What is read, parsed, made or shuffled once, where it was done for each use."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from checks import queries
+from termlens.functions import text
+from termlens.operators import joins
+from termlens.plans import relevance
+from termlens.sources import readers
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_quoted_record_is_parsed_once_for_all_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b,c\n1,"x, y",\n2,"",z\n')
+    schema = T.StructType([T.StructField("a", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in "cb")])
+    read = readers.read_quoted(spark, str(tmp_path), schema)
+    hashed = read.select("*", F.xxhash64("a", "b", "c").alias("h"), text.clean_tokens("b").alias("t"))
+    assert _plan(hashed.where("a > 0")).count("from_csv") == 1
+    assert sorted(tuple(r)[:3] for r in hashed.collect()) == [(1, None, "x, y"), (2, "z", None)]
+
+
+def test_cleaned_text_is_split_at_spaces(spark):
+    values = ["", " ", "  ", " a  b ", "The\tRed-7  x ", "\t", "é", "é ", None, "12-3 4", " #", "a b \n"]
+    rows = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "id int, v string")
+    made = rows.select(
+        text.clean_tokens("v", ("the",)).alias("ours"),
+        text.remove_stop_words(text.tokenize(text.clean_text("v")), ("the",)).alias("steps"),
+    )
+    assert all(row["ours"] == row["steps"] for row in made.collect())
+    assert "\\s" not in _plan(rows.select(text.clean_tokens("v")))
+
+
+def test_term_counts_leave_out_null_tokens(spark):
+    rows = spark.createDataFrame([([None, "b", "a", "b"],), ([None],), ([],)], "tokens array<string>")
+    got = [[tuple(run) for run in row[0]] for row in rows.select(text.term_counts("tokens")).collect()]
+    assert got == [[("a", 1), ("b", 2)], [], []]
+
+
+def test_distinct_arrays_are_stored_before_they_are_read_again(spark):
+    seen = []
+
+    def make(arrays):
+        seen.append(_plan(arrays))
+        return arrays.select("content", F.size("values").alias("result"))
+
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, None)], "id int, t array<string>")
+    made = joins.join_by_content(rows, {"t": "n"}, make)
+    assert "Aggregate" not in seen[0]
+    assert dict(made.select("id", "n").collect()) == {1: 2, 2: 2, 3: None}
+
+
+def test_product_entries_serve_several_sets_of_pairs(spark):
+    pairs = spark.createDataFrame(
+        [(1, 7, "red bolt", "bolt"), (2, 8, "pin", "red pin"), (3, 9, "nut", "x")],
+        "id bigint, product_uid bigint, product_title string, search_term string",
+    )
+    descriptions = spark.createDataFrame([(7, "steel bolt"), (8, "brass")], "product_uid bigint, product_description string")
+    attributes = spark.createDataFrame([(7, "size", "3"), (8, "size", "4")], "product_uid bigint, name string, value string")
+    entries = relevance.product_entries(descriptions, attributes, 64)
+    own = relevance.field_counts(pairs, descriptions, attributes, 64)
+    for part in ("id = 1", "id > 1"):
+        # nothing of the product tables is read again
+        shared = relevance.field_counts(pairs.where(part), None, None, 64, products=entries)
+        assert shared.collect() == own.where(part).collect()
+
+
+def test_sums_of_entries(spark):
+    rows = spark.createDataFrame([(1, [0, 5], [2.0, 3.0]), (2, [], []), (3, [7], [1.0])], "id int, i array<int>, v array<double>")
+    got = {r[0]: tuple(r[1]) for r in rows.select("id", queries._entry_sums("i", "v")).collect()}
+    assert got == {1: (5.0, 15.0), 2: (0.0, 0.0), 3: (1.0, 7.0)}
