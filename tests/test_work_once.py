@@ -7,9 +7,9 @@ from pyspark.sql import types as T
 
 from checks import queries
 from termlens.functions import text
-from termlens.operators import joins
+from termlens.operators import features, joins, products
 from termlens.plans import relevance
-from termlens.sources import readers
+from termlens.sources import readers, retail
 
 
 def _plan(frame) -> str:
@@ -74,3 +74,51 @@ def test_sums_of_entries(spark):
     rows = spark.createDataFrame([(1, [0, 5], [2.0, 3.0]), (2, [], []), (3, [7], [1.0])], "id int, i array<int>, v array<double>")
     got = {r[0]: tuple(r[1]) for r in rows.select("id", queries._entry_sums("i", "v")).collect()}
     assert got == {1: (5.0, 15.0), 2: (0.0, 0.0), 3: (1.0, 7.0)}
+
+
+def _pairs(spark):
+    return spark.createDataFrame(
+        [(1, 7, "red bolt", "bolt"), (2, 8, "the pin - ", ""), (3, 9, "nut", "x"), (4, None, None, None), (5, 7, "", "red  pin a b")],
+        "id bigint, product_uid bigint, product_title string, search_term string",
+    )
+
+
+def _attributes(spark):
+    return spark.createDataFrame(
+        [(7, "size", "3 big"), (8, "size", None), (None, "size", "4")], "product_uid bigint, name string, value string"
+    )
+
+
+def test_a_bound_on_the_pairs_of_a_product_saves_counting_them(spark, monkeypatch):
+    """With the bound nothing of the pairs is read before the join, which needs no second shuffle of them."""
+    monkeypatch.setattr(joins, "key_counts", None)
+    monkeypatch.setattr(joins.join_unique, "__defaults__", tuple(-1 if d == joins.BROADCAST_BYTES else d for d in joins.join_unique.__defaults__))
+    bound = spark.createDataFrame([(7, 50), (8, 1), (None, 1)], "product_uid bigint, n bigint")
+    titles = spark.createDataFrame([(7, "t"), (8, "u"), (9, "v")], "product_uid bigint, title string")
+    for how, expected in (("inner", {1, 2, 5}), ("left", {1, 2, 3, 4, 5})):
+        texts = products.attribute_text(_attributes(spark))
+        joined = products.join_pairs(_pairs(spark), texts, how, counts=bound, broadcast_bytes=-1)
+        assert {r["id"] for r in joined.collect()} == expected and joined.count() == len(expected)
+    dealt = _pairs(spark).hint("merge").join(titles, "product_uid")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = products.join_pairs(dealt, texts, counts=bound, broadcast_bytes=-1)
+        plan = again._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3 and {r["id"] for r in again.collect()} == {1, 2, 5}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_bigram_vectors_are_of_the_bigrams(spark):
+    tokens = relevance.pair_tokens(_pairs(spark), _attributes(spark), "left")
+    grams = tokens.select("id", text.bigrams(text.join_tokens("title_tokens", "sterm_tokens", "attr_tokens")).alias("b"))
+    expected = features.hash_counts(grams, ["b"], 500).select("id", "b_tf").collect()
+    made = relevance.bigram_vectors(_pairs(spark), _attributes(spark), 500, "left")
+    assert "zip_with" not in _plan(made)
+    assert dict(made.select("id", "tf").collect()) == dict(expected) and len(expected) == 5
+
+
+def test_lines_bound_the_pairs_of_each_product(spark, tiny):
+    counted = joins.key_counts(retail.pairs(spark, tiny), "product_uid").withColumnRenamed("n", "pairs")
+    both = counted.join(retail.pair_counts(spark, tiny), "product_uid", "left")
+    assert both.where("n is null or n < pairs").isEmpty() and not both.isEmpty()
