@@ -118,6 +118,14 @@ def test_bigram_vectors_are_of_the_bigrams(spark):
     assert dict(made.select("id", "tf").collect()) == dict(expected) and len(expected) == 5
 
 
+def test_new_pairs_are_scored_from_the_stored_vectors(spark, tiny, monkeypatch):
+    made, real = [], relevance.bigram_vectors
+    monkeypatch.setattr(relevance, "bigram_vectors", lambda *a, **k: made.append(a) or real(*a, **k))
+    scored = queries.score_new_pairs_bigrams(spark, tiny)
+    assert len(made) == 1 and scored.count() == retail.new_pairs(spark, tiny).count()
+    assert scored.select("id").distinct().count() == scored.count()
+
+
 def test_lines_bound_the_pairs_of_each_product(spark, tiny):
     counted = joins.key_counts(retail.pairs(spark, tiny), "product_uid").withColumnRenamed("n", "pairs")
     both = counted.join(retail.pair_counts(spark, tiny), "product_uid", "left")
