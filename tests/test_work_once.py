@@ -118,6 +118,16 @@ def test_bigram_vectors_are_of_the_bigrams(spark):
     assert dict(made.select("id", "tf").collect()) == dict(expected) and len(expected) == 5
 
 
+def test_own_fields_are_hashed_for_the_pairs_that_stay(spark):
+    descriptions = spark.createDataFrame([(7, "steel bolt"), (8, None)], "product_uid bigint, product_description string")
+    entries = relevance.product_entries(descriptions, _attributes(spark), 64)
+    counted = relevance.field_counts(_pairs(spark), None, None, 64, products=entries)
+    plan = _plan(counted)
+    assert plan.index("regexp_replace") < plan.index("Join")
+    assert plan.rindex("regexp_replace") < plan.index("Join")
+    assert {r["id"] for r in counted.collect()} == {1, 2, 5}
+
+
 def test_new_pairs_are_scored_from_the_stored_vectors(spark, tiny, monkeypatch):
     made, real = [], relevance.bigram_vectors
     monkeypatch.setattr(relevance, "bigram_vectors", lambda *a, **k: made.append(a) or real(*a, **k))
