@@ -136,6 +136,12 @@ def test_new_pairs_are_scored_from_the_stored_vectors(spark, tiny, monkeypatch):
     assert scored.select("id").distinct().count() == scored.count()
 
 
+def test_pairs_are_made_once_for_both_sets(spark, tiny, monkeypatch):
+    made, real = [], retail.pairs
+    monkeypatch.setattr(retail, "pairs", lambda *a: made.append(a) or real(*a))
+    assert queries.score_fields_additive(spark, tiny).where("difference <> 0").isEmpty() and len(made) == 1
+
+
 def test_lines_bound_the_pairs_of_each_product(spark, tiny):
     counted = joins.key_counts(retail.pairs(spark, tiny), "product_uid").withColumnRenamed("n", "pairs")
     both = counted.join(retail.pair_counts(spark, tiny), "product_uid", "left")
