@@ -146,3 +146,35 @@ def test_lines_bound_the_pairs_of_each_product(spark, tiny):
     counted = joins.key_counts(retail.pairs(spark, tiny), "product_uid").withColumnRenamed("n", "pairs")
     both = counted.join(retail.pair_counts(spark, tiny), "product_uid", "left")
     assert both.where("n is null or n < pairs").isEmpty() and not both.isEmpty()
+
+
+def test_titles_are_cleaned_once_per_product(spark):
+    titles = spark.createDataFrame(
+        [(7, "red bolt 5"), (7, "red bolt 5"), (8, None), (9, "the"), (10, ""), (11, "unsold"), (None, "x")],
+        "product_uid bigint, product_title string",
+    )
+    attributes = spark.createDataFrame(
+        [(7, "size", "3 big red bolt"), (8, "size", None), (9, "size", "a-b c"), (10, "size", " "), (None, "size", "4")],
+        "product_uid bigint, name string, value string",
+    )
+    terms = ["red bolt", "", None, "nut  b red ", "the"]
+    pairs = spark.createDataFrame(
+        [(10 * uid + n, uid, term) for uid in (7, 8, 9, 10, 11, 12) for n, term in enumerate(terms)] + [(1, None, "x y")],
+        "id bigint, product_uid bigint, search_term string",
+    )
+    for how in ("inner", "left"):
+        titled = relevance.bigram_vectors(pairs.join(titles, "product_uid"), attributes, 500, how)
+        made = relevance.bigram_vectors(pairs, attributes, 500, how, titles=titles)
+        found = sorted(made.select("id", "tf").collect())
+        assert found == sorted(titled.select("id", "tf").collect())
+        assert len(found) == (25 if how == "inner" else 30)
+        # of the texts only the search term is cleaned where the pairs are, and what is stored is read for the rest
+        assert _plan(made).count("regexp_replace") == 2 and "product_title" not in _plan(made)
+
+
+def test_pairs_of_the_bigram_model_meet_their_products_once(spark, tiny, monkeypatch):
+    monkeypatch.setattr(retail, "pairs", None)
+    made = queries._bigram_counts(spark, tiny)
+    plan = _plan(made)
+    assert "p_name" not in plan and plan.count("product_uid#") > 0
+    assert made.select("id").distinct().count() == made.count() == retail.untitled_pairs(spark, tiny).count()
