@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.functions.text import clean_tokens, join_tokens, pad_sequence
-from termlens.operators.embeddings import pool_sequences, pooled_features
-from termlens.operators.models import POOLED_FIT, FitSettings, fit_linear
+from termlens.operators.embeddings import pool_sequences, pooled_features, pooled_moments, pooled_predictions
+from termlens.operators.models import POOLED_FIT, FitSettings, fit_linear, fit_moments
 from termlens.operators.vocabulary import build_vocabulary, encode_tokens
 
 # Lengths the sequences are padded or cut to.
@@ -78,3 +79,24 @@ def pooled_pairs(encoded: DataFrame, matrix: DataFrame, dimensions: int) -> Data
 def fit_pooled(rows: DataFrame, settings: FitSettings = POOLED_FIT) -> PipelineModel:
     """A model that can be stored, loaded and applied to new pairs like the others."""
     return PipelineModel([fit_linear(rows.where(F.col("split") == "train"), settings)])
+
+
+def fit_sequences(
+    encoded: DataFrame, matrix: DataFrame, dimensions: int, settings: FitSettings = POOLED_FIT
+) -> PipelineModel:
+    """``fit_pooled`` of ``pooled_pairs``, for rows too many to hand a wide vector each from task to fit: the
+    features are made where the ids are, and only their sums leave the tasks."""
+    train = pad_pairs(encoded.where(F.col("split") == "train"))
+    moments = pooled_moments(train, matrix, list(PADDED_LENGTHS), dimensions, "relevance")
+    return PipelineModel([fit_moments(encoded.sparkSession, moments, settings)])
+
+
+def score_sequences(model: PipelineModel, encoded: DataFrame, matrix: DataFrame, dimensions: int) -> DataFrame:
+    """Encoded pairs with ``prediction``, as ``model.transform`` of ``pooled_pairs``; the features stay where they are made."""
+    regression = model.stages[-1]
+    if len(model.stages) != 1 or not isinstance(regression, LinearRegressionModel):
+        raise ValueError("the model must be one linear regression on pooled features")
+    weights = regression.coefficients.toArray()
+    return pooled_predictions(
+        pad_pairs(encoded), matrix, list(PADDED_LENGTHS), dimensions, weights, float(regression.intercept)
+    )
