@@ -4,6 +4,7 @@ import pytest
 
 from porter_by_row import stem
 
+from checks import queries
 from termlens.functions import stems as native
 from termlens.operators import stems
 
@@ -58,3 +59,19 @@ def test_jobs_stem_every_term(spark):
     assert table == {"cats": "cat", "hopping": "hop", "": "", "happy": "happi"}
     rows = stems.stem_tokens(tokens, {"tokens": "stems"}).collect()
     assert {r["id"]: r["stems"] for r in rows} == {1: ["cat", "hop", "cat"], 2: [], 3: ["", "happi"]}
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 100])
+def test_frequent_terms_are_looked_up_and_others_stemmed_where_they_stand(spark, most):
+    rows = [(1, ["cats", None, "hopping"], ["Ponies"]), (2, ["cats", "cats", "x" * 70], None), (3, None, ["hopping", "cats"]), (4, [], [])]
+    tokens = spark.createDataFrame(rows, "id int, a array<string>, b array<string>")
+    assert {r["term"] for r in stems.frequent_stems(tokens, ["a", "b"], most).collect()} == [set(), {"cats"}, {"cats", "hopping"}][min(most, 2)]
+    got = {r["id"]: (r["p"], r["q"]) for r in stems.stem_tokens(tokens, {"a": "p", "b": "q"}, most).collect()}
+    assert got == {1: (["cat", "hop"], ["poni"]), 2: (["cat", "cat", "x" * 70], []), 3: ([], ["hop", "cat"]), 4: ([], [])}
+
+
+def test_tokens_are_not_stored_for_their_stems(spark, tiny, monkeypatch):
+    stored, real = [], stems.materialize
+    monkeypatch.setattr(stems, "materialize", lambda frame, label: stored.append(frame.columns) or real(frame, label))
+    plan = queries.QUERIES["stem_tokens"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert stored == [["term", "n"], ["term", "stem"]] and "Join" not in plan and "Aggregate" not in plan
